@@ -81,12 +81,15 @@ def audit_enrichment(enriched: DataFrame) -> DataFrame:
         F.when(size("pedagogy.learning_objectives") > 4, F.lit("more than 4 objectives")),
         F.when(stray, F.lit("highlight outside the chapter")),
     )
-    return enriched.select("video_id", "number", F.explode(F.array_compact(checks)).alias("issue"))
+    return enriched.select("video_id", "number", F.explode_outer(F.array_compact(checks)).alias("issue")).filter(
+        "issue is not null"
+    )
 
 
 def term_fidelity(enriched: DataFrame) -> DataFrame:
     """Declared terms with their real, case-insensitive count in the transcript."""
-    rows = enriched.select("video_id", "number", F.lower("transcript").alias("said"), F.explode("terms_used").alias("t"))
+    rows = enriched.select("video_id", "number", F.lower("transcript").alias("said"), F.explode_outer("terms_used").alias("t"))
+    rows = rows.filter("t is not null")
     term = F.lower(F.col("t.term"))
     count = F.when(F.length(term) > 0, _occurrences(F.col("said"), term)).otherwise(F.lit(0))
     return rows.select(
@@ -105,14 +108,16 @@ def top_highlights(enriched: DataFrame, k: int = 6) -> DataFrame:
     rank = lambda h: F.array_position(F.array(*map(F.lit, S.HIGHLIGHT_TYPES)), h["type"])
     ranked = F.transform("highlights", lambda h, i: F.struct(rank(h).alias("rank"), i.alias("i"), h.alias("h")))
     best = F.slice(F.array_sort(ranked), 1, k)
-    rows = enriched.select("video_id", "number", F.posexplode(best).alias("place", "x"))
+    rows = enriched.select("video_id", "number", F.posexplode_outer(best).alias("place", "x"))
+    rows = rows.filter("place is not null")
     return rows.select("video_id", "number", (F.col("place") + 1).cast("long").alias("place"), "x.h.*")
 
 
 def top_terms(enriched: DataFrame, k: int = 15) -> DataFrame:
     """The ``k`` most frequent terms of a chapter, then alphabetical."""
     ranked = F.transform("terms_used", lambda t: F.struct((-t["frequency"]).alias("f"), t["term"].alias("term")))
-    rows = enriched.select("video_id", "number", F.posexplode(F.slice(F.array_sort(ranked), 1, k)).alias("place", "x"))
+    rows = enriched.select("video_id", "number", F.posexplode_outer(F.slice(F.array_sort(ranked), 1, k)).alias("place", "x"))
+    rows = rows.filter("place is not null")
     return rows.select(
         "video_id", "number", (F.col("place") + 1).cast("long").alias("place"), "x.term", (-F.col("x.f")).cast("long").alias("frequency")
     )
@@ -120,11 +125,11 @@ def top_terms(enriched: DataFrame, k: int = 15) -> DataFrame:
 
 def knowledge_index(enriched: DataFrame) -> DataFrame:
     """Terms, concepts and entities of the corpus with chapter and video counts."""
-    terms = enriched.select("video_id", F.lit("term").alias("kind"), F.explode("terms_used.term").alias("name"))
-    concepts = enriched.select("video_id", F.lit("concept").alias("kind"), F.explode("key_concepts").alias("name"))
-    by_kind = enriched.select("video_id", F.explode("entities_detected").alias("cat", "names"))
-    entities = by_kind.select("video_id", F.concat(F.lit("entity:"), F.col("cat")).alias("kind"), F.explode("names").alias("name"))
+    terms = enriched.select("video_id", F.lit("term").alias("kind"), F.explode_outer("terms_used.term").alias("name"))
+    concepts = enriched.select("video_id", F.lit("concept").alias("kind"), F.explode_outer("key_concepts").alias("name"))
+    by_kind = enriched.select("video_id", F.explode_outer("entities_detected").alias("cat", "names"))
+    entities = by_kind.select("video_id", F.concat(F.lit("entity:"), F.col("cat")).alias("kind"), F.explode_outer("names").alias("name"))
     # Collapsing to (kind, name, video) first spreads a name said everywhere.
-    said = terms.unionByName(concepts).unionByName(entities)
+    said = terms.unionByName(concepts).unionByName(entities).filter("name is not null")
     per_video = said.groupBy("kind", "name", "video_id").agg(F.count(F.lit(1)).alias("n"))
     return per_video.groupBy("kind", "name").agg(F.sum("n").alias("mentions"), F.count(F.lit(1)).alias("videos"))

@@ -134,7 +134,8 @@ def captions_from_text(chapters: DataFrame, keys: tuple[str, ...] = ("video_id",
     k = list(keys)
     cut = chapters.select(*k, "start_s", "end_s", sentences.alias("__all"))
     step = (F.col("end_s") - F.col("start_s")) / F.size("__all")
-    rows = cut.select(*k, "start_s", step.alias("__step"), F.posexplode("__all").alias("__i", "text"))
+    rows = cut.select(*k, "start_s", step.alias("__step"), F.posexplode_outer("__all").alias("__i", "text"))
+    rows = rows.filter("__i is not null")
     return rows.select(
         *k,
         (F.col("__i") + 1).cast("long").alias("cue"),

@@ -1,7 +1,9 @@
 """Transcript tables derived from the given tables, at any scale.
 
 Everything is a narrow projection of one source row (tokens, lines, times in
-whole milliseconds) unless noted, so the derivations add no shuffle.
+whole milliseconds) unless noted, so the derivations add no shuffle. Arrays
+are opened with the outer generators and a null filter: for the plain ones
+the optimizer adds a size check that evaluates the array expression twice.
 """
 
 from __future__ import annotations
@@ -39,8 +41,13 @@ def _timed(rows: DataFrame, key: str) -> DataFrame:
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("video_id"), "text")
-    rows = docs.select("video_id", F.posexplode(_tokens(F.col("text"))).alias("p", "word"))
+    return words_from(table(spark, sf_dir, "documents"))
+
+
+def words_from(documents: DataFrame) -> DataFrame:
+    """Words of documents; also usable on a stream of them."""
+    docs = documents.select(F.col("doc_id").alias("video_id"), "text")
+    rows = docs.select("video_id", F.posexplode_outer(_tokens(F.col("text"))).alias("p", "word")).filter("p is not null")
     rows = rows.select("video_id", F.col("p").cast("long").alias("pos"), "word")
     return _timed(rows, "video_id")
 
@@ -152,8 +159,8 @@ def chunk_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = turns.select(
         F.col("conv_id").alias("video_id"),
         F.col("turn").alias("chunk_index"),
-        F.posexplode(_tokens(F.col("text"))).alias("p", "word"),
-    ).select("video_id", "chunk_index", F.col("p").cast("long").alias("pos"), "word")
+        F.posexplode_outer(_tokens(F.col("text"))).alias("p", "word"),
+    ).filter("p is not null").select("video_id", "chunk_index", F.col("p").cast("long").alias("pos"), "word")
     return _timed(rows, "video_id")
 
 
@@ -162,8 +169,8 @@ def speaker_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     rows = turns.select(
         F.col("conv_id").alias("video_id"), "turn", F.col("role").alias("speaker"),
-        F.posexplode(_tokens(F.col("text"))).alias("p", "word"),
-    )
+        F.posexplode_outer(_tokens(F.col("text"))).alias("p", "word"),
+    ).filter("p is not null")
     pos = F.col("turn") * 100000 + F.col("p")
     start = F.col("turn") * 1170000 + F.col("p").cast("long") * 400
     return rows.select(
@@ -172,7 +179,7 @@ def speaker_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+def chapter_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A chapter per non-blank line; times follow the share of characters."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("video_id"), "text")
     cut = docs.select(
@@ -181,31 +188,40 @@ def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
         _tokens(F.col("text")).alias("toks"),
     )
     cut = cut.withColumn("n", F.size("toks").cast("long")).select(
-        "video_id", "lines", _last_end_ms(F.col("toks")).alias("duration_ms")
+        "video_id", "lines", _last_end_ms(F.col("toks")).alias("ms")
     )
     upto = F.aggregate(
         F.col("lines"),
         F.array(F.lit(0).cast("long")),
         lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x))),
     )
-    cut = cut.withColumn("upto", upto)
-    rows = cut.select("video_id", "duration_ms", "upto", F.posexplode("lines").alias("i", "transcript"))
-    total = F.element_at("upto", -1)
-    at = lambda i: F.expr(f"duration_ms * upto[{i}] div element_at(upto, -1)")
-    number = (F.col("i") + 1).cast("long")
-    return rows.filter(total > 0).select(
-        "video_id",
-        number.alias("number"),
-        F.array_join(F.slice(_tokens(F.col("transcript")), 1, 6), " ").alias("title"),
-        (at("i") / F.lit(1000.0)).alias("start_s"),
-        (at("i + 1") / F.lit(1000.0)).alias("end_s"),
-        ((40 + (F.col("video_id") * 3 + number * 17) % 61) / F.lit(100.0)).alias("confidence"),
-        "transcript",
-        (F.col("duration_ms") / F.lit(1000.0)).alias("duration_s"),
-        (F.size("upto") - 1 == F.col("i") + 1).alias("is_last"),
+    cut = cut.filter(F.size("lines") > 0).withColumn("upto", upto)
+    cut = cut.withColumn("total", F.element_at("upto", -1))
+
+    def chapter(line: Column, i: Column) -> Column:
+        number = (i + 1).cast("long")
+        share = lambda j: F.floor(F.col("ms") * F.get("upto", j) / F.col("total")) / F.lit(1000.0)
+        return F.struct(
+            number.alias("number"),
+            F.array_join(F.slice(_tokens(line), 1, 6), " ").alias("title"),
+            share(i).alias("start_s"),
+            share(i + 1).alias("end_s"),
+            ((40 + (F.col("video_id") * 3 + number * 17) % 61) / F.lit(100.0)).alias("confidence"),
+            line.alias("transcript"),
+            (F.size("lines") == number).alias("is_last"),
+        )
+
+    return cut.select(
+        "video_id", (F.col("ms") / F.lit(1000.0)).alias("duration_s"), F.transform("lines", chapter).alias("chapters")
     )
 
 
+def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chapter_arrays(spark, sf_dir).select(
+        "video_id", "duration_s", F.inline_outer("chapters")
+    ).filter("number is not null")
+
+
 def chapters_rough(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chapters with shifted starts and a short tail, to be repaired or audited."""
     shift = 7.0 * (F.col("number") % 3 - 1)
@@ -215,3 +231,240 @@ def chapters_rough(spark: SparkSession, sf_dir: str) -> DataFrame:
             "end_s": F.round(F.when(F.col("is_last"), F.col("end_s") - 4.0).otherwise(F.col("end_s")), 3),
         }
     )
+
+
+def block_chapters(spark: SparkSession, sf_dir: str, plan: DataFrame) -> DataFrame:
+    """Two local chapters per planned block, none for every fifth block."""
+    answered = plan.filter((F.col("video_id") + F.col("block")) % 5 != 0)
+    half = F.round((F.col("end_s") - F.col("start_s")) / 2, 3)
+    rows = answered.select("video_id", "block", half.alias("half"), F.explode(F.array(F.lit(1), F.lit(2)).cast("array<bigint>")).alias("number"))
+    return rows.select(
+        "video_id", "block", "number", ((F.col("number") - 1) * F.col("half")).alias("start_s"),
+        (F.col("number") * F.col("half")).alias("end_s"),
+    )
+
+
+def short_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """40-second chunks every 30 seconds, so their words do overlap."""
+    return table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("video_id"),
+        F.col("turn").alias("chunk_index"),
+        (F.col("turn") * 30.0).alias("start_s"),
+        (F.col("turn") * 30.0 + 40.0).alias("end_s"),
+    )
+
+
+HIGHLIGHT_TYPES = [
+    "insight", "warning", "example", "takeaway", "demo", "hook", "controversial", "definition", "unheard-of",
+]
+IMPORTANCES = ["alta", "media", "baja", "unknown"]
+
+
+def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chapters with concepts, terms, eight highlights, goals and scores."""
+    rows = chapters(spark, sf_dir).withColumn("toks", _tokens(F.col("transcript")))
+    concepts = F.slice(F.array_distinct(F.filter("toks", lambda t: F.length(t) >= 9)), 1, 5)
+    rows = rows.withColumn("key_concepts", concepts)
+    v, n = F.col("video_id"), F.col("number")
+
+    def pick(values: list[str], at: Column) -> Column:
+        return F.element_at(F.array(*map(F.lit, values)), (at % len(values) + 1).cast("int"))
+
+    highlight = lambda j: F.struct(
+        F.format_string("00:%02d:%02d.000", F.floor((F.floor("start_s") + j) / 60 % 60), (F.floor("start_s") + j) % 60).alias("timestamp"),
+        pick(HIGHLIGHT_TYPES, v + n + j).alias("type"),
+        F.concat(F.lit("h"), j.cast("string")).alias("label"),
+        F.array_join(F.slice("toks", F.lit(1), 6 + 4 * j), " ").alias("quote"),
+        pick(IMPORTANCES, v + n + j).alias("importance"),
+    )
+    c = F.col("key_concepts")
+    return rows.select(
+        "video_id", "number", "title", "start_s", "end_s", "transcript", "key_concepts",
+        F.concat(F.lit("About "), F.col("title")).alias("description"),
+        F.lit("").alias("context"),
+        F.slice(F.split("title", " "), F.lit(1), (n % 9).cast("int")).alias("summary_bullets"),
+        F.transform(
+            c,
+            lambda t: F.struct(
+                t.alias("term"), F.lit("concepto").alias("type"), (1 + n % 3).cast("int").alias("frequency"), F.lit("").alias("definition")
+            ),
+        ).alias("terms_used"),
+        F.create_map(F.lit("personas"), F.slice(c, 1, 2), F.lit("tecnologías"), F.slice(c, 3, 1)).alias("entities_detected"),
+        F.transform(F.sequence(F.lit(0), F.lit(7)), highlight).alias("highlights"),
+        F.struct(
+            F.lit("intermedio").alias("difficulty_level"),
+            F.array().cast("array<string>").alias("prerequisites"),
+            F.slice("toks", F.lit(1), (n % 6).cast("int")).alias("learning_objectives"),
+            F.array().cast("array<string>").alias("teaching_methods"),
+        ).alias("pedagogy"),
+        F.struct(
+            F.col("confidence").alias("segmentation_score"),
+            ((50 + (v * 5 + n) % 51) / F.lit(100.0)).alias("transcription_quality"),
+            ((55 + (v * 11 + n * 3) % 46) / F.lit(100.0)).alias("content_coherence"),
+            F.lit(False).alias("needs_review"),
+            F.array().cast("array<string>").alias("review_reasons"),
+        ).alias("confidence"),
+    )
+
+
+def chapter_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chapter arrays as model answers, clean or damaged in one of seven ways."""
+    rows = chapter_arrays(spark, sf_dir)
+    asked = F.transform(
+        "chapters",
+        lambda c: F.struct(
+            c["number"].alias("number"), c["title"].alias("title"),
+            F.lit("00:00:00.000").alias("start_time"), F.lit("00:00:01.000").alias("end_time"),
+            c["start_s"].alias("start_seconds"), c["end_s"].alias("end_seconds"),
+            c["confidence"].alias("confidence"), c["transcript"].alias("transcript"),
+        ),
+    )
+    rows = rows.select("video_id", asked.alias("asked")).select(
+        "video_id", F.to_json("asked").alias("j"), F.to_json(F.col("asked")[0]).alias("first")
+    )
+    way, j = F.col("video_id") % 8, F.col("j")
+    bare = F.regexp_replace(
+        j, r'"(number|title|start_time|end_time|start_seconds|end_seconds|confidence|transcript)":', "$1:"
+    )
+    text = (
+        F.when(way == 0, j)
+        .when(way == 1, F.concat(F.lit("```json\n"), j, F.lit("\n```")))
+        .when(way == 2, F.concat(F.lit("Claro: "), j, F.lit(" fin.")))
+        .when(way == 3, F.concat(F.expr("left(j, length(j) - 1)"), F.lit(",]")))
+        .when(way == 4, bare)
+        .when(way == 5, F.substring(j, 1, 30))
+        .when(way == 6, F.concat(j, F.lit(" Espero que ayude.")))
+        .otherwise(F.col("first"))
+    )
+    return rows.select("video_id", text.alias("text"))
+
+
+def enrichment_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Enrichments as model answers; one in five lacks a section, one is fenced."""
+    e = enriched(spark, sf_dir)
+    parts = dict(
+        chapter=F.struct("title"),
+        content=F.struct("description", "context", "summary_bullets"),
+        knowledge=F.struct("terms_used", "key_concepts", "entities_detected"),
+        highlights=F.slice("highlights", F.lit(1), (F.col("number") % 3).cast("int")),
+        pedagogy=F.col("pedagogy"),
+        confidence=F.col("confidence"),
+    )
+    whole = F.to_json(F.struct(*[c.alias(n) for n, c in parts.items()]))
+    short = F.to_json(F.struct(*[c.alias(n) for n, c in parts.items() if n != "pedagogy"]))
+    way = (F.col("video_id") + F.col("number")) % 5
+    text = (
+        F.when(way == 3, short).when(way == 4, F.concat(F.lit("```json\n"), whole, F.lit("\n```"))).otherwise(whole)
+    )
+    return e.select("video_id", "number", text.alias("text"))
+
+
+def asr_responses(spark: SparkSession, sf_dir: str, dialect: str) -> DataFrame:
+    """Every document as a recogniser response of one dialect."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("video_id"), "text")
+    cut = docs.withColumn("toks", _tokens(F.col("text"))).withColumn("n", F.size("toks").cast("long"))
+    ms = dialect == "millis"
+
+    def word(w: Column, i: Column) -> Column:
+        p = i.cast("long")
+        start = p * 400 + 700 * F.floor(p / 12) + 6000 * F.floor(p / 150)
+        end = start + 100 + 15 * F.least(F.length(w), F.lit(18))
+        confidence = (50 + (F.col("video_id") * 7 + p * 13) % 51) / F.lit(100.0)
+        times = [start, end] if ms else [start / F.lit(1000.0), end / F.lit(1000.0)]
+        named = w.alias("text" if ms else "word")
+        fields = [named, times[0].alias("start"), times[1].alias("end")]
+        return F.struct(*fields) if dialect == "segmented" else F.struct(*fields, confidence.alias("confidence"))
+
+    cut = cut.withColumn("words", F.transform("toks", word))
+    if dialect == "seconds":
+        body = F.struct("text", "words")
+    elif ms:
+        body = F.struct("text", "words", _last_end_ms(F.col("toks")).alias("audio_duration"), F.lit(0.0).alias("confidence"))
+    elif dialect == "text":
+        body = F.struct(F.concat(F.lit("  "), F.col("text")).alias("text"), F.size("toks").alias("n"))
+    else:
+        starts = F.sequence(F.lit(0), F.greatest(F.size("toks") - 1, F.lit(0)), F.lit(12))
+        body = F.struct("text", F.transform(starts, lambda s: F.struct(F.slice("words", s + 1, 12).alias("words"))).alias("segments"))
+    models = ["tiny", "large-v3", "other"]
+    return cut.select(
+        "video_id", F.to_json(body).alias("body"), F.lit(dialect).alias("provider"),
+        F.element_at(F.array(*map(F.lit, models)), (F.col("video_id") % 3 + 1).cast("int")).alias("model"),
+    )
+
+
+def _k() -> Column:
+    return F.regexp_extract("props", "[0-9]+", 0).cast("long")
+
+
+def progress_from(events: DataFrame) -> DataFrame:
+    """Progress events of all seven types; also usable on a stream of events."""
+    e = events.withColumn("k", _k())
+    kind = (
+        F.when(F.col("event_type") == "signup", F.lit("stage_start"))
+        .when((F.col("event_type") == "view") & (F.col("k") >= 85), F.lit("stage_complete"))
+        .when(F.col("event_type") == "view", F.lit("stage_progress"))
+        .when(F.col("event_type") == "click", F.lit("cost_update"))
+        .when(F.col("event_type") == "purchase", F.lit("chapter_complete"))
+        .when(F.col("k") < 40, F.lit("warning"))
+        .otherwise(F.lit("stage_error"))
+    )
+    stages = F.array(*map(F.lit, ["extract", "transcribe", "segment", "enrich", "materialize"]))
+    return e.select(
+        F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), "ts", kind.alias("type"),
+        F.element_at(stages, (F.col("k") % 5 + 1).cast("int")).alias("stage"),
+        (F.col("k") % 5).alias("stage_index"), F.lit(5).cast("long").alias("total_stages"),
+        (F.col("k") / 100.0).alias("progress"),
+        F.when(F.col("k") % 4 != 0, F.col("k") * 3).alias("eta_seconds"),
+        (F.col("value") / 1000.0).alias("cost_usd"), F.lit(0.1).alias("budget_usd"),
+        F.concat(F.lit("m"), F.col("k").cast("string")).alias("message"),
+        (F.col("k") % 20).alias("chapter_number"),
+    )
+
+
+def progress_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return progress_from(table(spark, sf_dir, "events"))
+
+
+def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumn("k", _k())
+    failed = F.col("event_type") == "error"
+    chunk = F.col("k") % 3 != 0
+    texts = F.array(*map(F.lit, ["Audio duration exceeded", "429 rate limit", "503 unavailable", "401 bad key"]))
+    codes = F.array(*map(F.lit, [400, 429, 503, 401]))
+    at = (F.col("k") % 4 + 1).cast("int")
+    return e.select(
+        F.col("user_id").alias("run_id"), F.col("event_id").alias("attempt_number"),
+        F.element_at(F.array(*map(F.lit, PROVIDERS)), (F.col("event_id") % 4 + 1).cast("int")).alias("provider"),
+        F.when(chunk, F.lit("chunk")).otherwise(F.lit("full")).alias("strategy"),
+        F.when(chunk, F.col("k") % 10).alias("chunk_index"),
+        (F.col("value") / 1000.0).alias("cost_usd"), (~failed).alias("success"),
+        F.when(failed, F.element_at(texts, at)).alias("error_message"),
+        F.when(failed, F.element_at(codes, at)).alias("status"),
+    )
+
+
+def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A recogniser and a model usage row per document."""
+    models = ["deepseek", "groq", "openai", "other"]
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("video_id"), "n_chars")
+    at = (F.col("video_id") % 4 + 1).cast("int")
+    both = F.array(
+        F.struct(
+            F.lit("asr").alias("kind"), F.element_at(F.array(*map(F.lit, PROVIDERS)), at).alias("provider"),
+            F.col("n_chars").cast("double").alias("duration_s"), F.lit(0).cast("long").alias("tokens"),
+        ),
+        F.struct(
+            F.lit("model").alias("kind"), F.element_at(F.array(*map(F.lit, models)), at).alias("provider"),
+            F.lit(0.0).alias("duration_s"), (F.col("n_chars") * 100).alias("tokens"),
+        ),
+    )
+    return docs.select("video_id", F.inline(both))
+
+
+def stage_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stages before ``doc_id % 6`` are done."""
+    stages = F.array(*map(F.lit, ["extract", "transcribe", "segment", "enrich", "materialize"]))
+    done = F.slice(stages, F.lit(1), (F.col("doc_id") % 6).cast("int"))
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("video_id"), F.explode(done).alias("stage"), F.lit(True).alias("success")
+    )

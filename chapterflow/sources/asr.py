@@ -94,7 +94,7 @@ def ingest_asr(responses: DataFrame, dialect: str, media: DataFrame | None = Non
 
 
 def explode_words(transcripts: DataFrame) -> DataFrame:
-    rows = transcripts.select("video_id", F.posexplode("words").alias("pos", "w"))
+    rows = transcripts.select("video_id", F.posexplode_outer("words").alias("pos", "w")).filter("pos is not null")
     return rows.select(
         "video_id", F.col("pos").cast("long").alias("pos"), "w.word",
         F.col("w.start").alias("start_s"), F.col("w.end").alias("end_s"), "w.confidence",
@@ -102,7 +102,7 @@ def explode_words(transcripts: DataFrame) -> DataFrame:
 
 
 def explode_segments(transcripts: DataFrame) -> DataFrame:
-    rows = transcripts.select("video_id", F.posexplode("segments").alias("pos", "s"))
+    rows = transcripts.select("video_id", F.posexplode_outer("segments").alias("pos", "s")).filter("pos is not null")
     return rows.select(
         "video_id", F.col("pos").cast("long").alias("pos"),
         F.col("s.start").alias("start_s"), F.col("s.end").alias("end_s"), "s.text",

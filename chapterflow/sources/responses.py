@@ -9,6 +9,16 @@ from chapterflow import schemas as S
 from chapterflow.functions.text import strip
 
 
+def sealed(df: DataFrame) -> DataFrame:
+    """The same rows, opaque to filters applied later.
+
+    The optimizer moves filters below projections by copying the projected
+    expressions into them; for a chain of parsing columns that repeats the
+    parsing many times over. Filters stop at a generator's output.
+    """
+    return df.select(F.inline_outer(F.array(F.struct(*df.columns))))
+
+
 def _json_or_null(c: Column) -> Column:
     """The text if it is exactly one JSON value.
 
@@ -16,8 +26,7 @@ def _json_or_null(c: Column) -> Column:
     an element; on its own the parser would accept it.
     """
     v = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
-    one = F.try_variant_get(v, "$[0]", "variant").isNotNull() & F.try_variant_get(v, "$[1]", "variant").isNull()
-    return F.when(one, c)
+    return F.when(F.size(F.try_variant_get(v, "$", "array<variant>")) == 1, c)
 
 
 def _outermost(c: Column, left: str, right: str) -> Column:
@@ -58,31 +67,35 @@ def scrape_pairs(c: Column) -> Column:
 
 
 def extract_json(responses: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add ``json`` and the ``parse_stage`` that found it (``failed`` if none did)."""
+    """Add ``json`` and the ``parse_stage`` that found it (``failed`` if none did).
+
+    Candidates become columns one by one, each built only where the earlier
+    ones failed, so a clean response is parsed once.
+    """
     c = F.col(text_col)
-    tried = responses.withColumns(
-        {
-            "__whole": _json_or_null(strip(c)),
-            "__object": _json_or_null(_outermost(c, "{", "}")),
-            "__array": _json_or_null(_outermost(c, "[", "]")),
-            "__mended": _json_or_null(_mended(c)),
-        }
+    candidates = {
+        "whole": strip(c),
+        "object": _outermost(c, "{", "}"),
+        "array": _outermost(c, "[", "]"),
+        "mended": _mended(c),
+    }
+    rows = responses.withColumns({"json": F.lit(None).cast("string"), "parse_stage": F.lit(None).cast("string")})
+    for stage, candidate in candidates.items():
+        rows = rows.withColumn("__try", F.when(F.col("json").isNull(), candidate))
+        rows = rows.withColumn("__found", _json_or_null(F.col("__try")))
+        rows = rows.withColumns(
+            {
+                "json": F.coalesce("json", "__found"),
+                "parse_stage": F.coalesce("parse_stage", F.when(F.col("__found").isNotNull(), F.lit(stage))),
+            }
+        ).drop("__try", "__found")
+    rows = rows.withColumn("__found", F.when(F.col("json").isNull(), scrape_pairs(c)))
+    scraped = F.when(F.col("__found").isNotNull(), F.lit("scraped")).otherwise(F.lit("failed"))
+    return sealed(
+        rows.withColumns(
+            {"json": F.coalesce("json", "__found"), "parse_stage": F.coalesce("parse_stage", scraped)}
+        ).drop("__found")
     )
-    stages = ["whole", "object", "array", "mended"]
-    json, stage = F.coalesce(*[F.col(f"__{s}") for s in stages]), F.lit(None).cast("string")
-    for s in reversed(stages):
-        stage = F.when(F.col(f"__{s}").isNotNull(), F.lit(s)).otherwise(stage)
-    tried = tried.withColumns({"json": json, "parse_stage": stage}).drop(*[f"__{s}" for s in stages])
-    scraped = F.when(F.col("json").isNull(), scrape_pairs(c))
-    tried = tried.withColumn("__scraped", scraped)
-    return tried.withColumns(
-        {
-            "json": F.coalesce("json", "__scraped"),
-            "parse_stage": F.coalesce(
-                "parse_stage", F.when(F.col("__scraped").isNotNull(), F.lit("scraped")).otherwise(F.lit("failed"))
-            ),
-        }
-    ).drop("__scraped")
 
 
 def parse_chapters(responses: DataFrame, array_mode: str = "all") -> tuple[DataFrame, DataFrame]:
@@ -102,7 +115,8 @@ def parse_chapters(responses: DataFrame, array_mode: str = "all") -> tuple[DataF
     quarantine = found.filter(F.coalesce(F.size("__rows"), F.lit(0)) < 1).select(
         "video_id", "parse_stage", F.substring("text", 1, 500).alias("raw_response")
     )
-    parsed = found.filter(F.size("__rows") > 0).select("video_id", "parse_stage", F.inline("__rows"))
+    opened = found.select("video_id", "parse_stage", F.posexplode_outer("__rows").alias("__i", "__row"))
+    parsed = opened.filter("__i is not null").select("video_id", "parse_stage", "__row.*")
     return parsed, quarantine
 
 
@@ -139,6 +153,7 @@ def parse_enrichments(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.col("e.pedagogy").alias("pedagogy"),
         F.col("e.confidence").alias("confidence"),
     )
+    typed = sealed(typed)
     in_domain = F.forall(
         "highlights", lambda h: h["type"].isin(S.HIGHLIGHT_TYPES) & h["importance"].isin(S.IMPORTANCES)
     )

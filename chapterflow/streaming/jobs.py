@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chapterflow.sources.stages import StageStore, shared_folder
 
@@ -22,6 +23,11 @@ def read_stream(spark: SparkSession, folder: str, pattern: str, files_per_trigge
     )
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder for one stream under the shared folder."""
+    return f"{shared_folder(spark)}/streams/{name}-{uuid.uuid4().hex}"
+
+
 def run_to_table(stream: DataFrame, mode: str, name: str, keys: list[str] | None = None) -> DataFrame:
     """Drain a stream into a table of the shared folder and return the table.
 
@@ -30,7 +36,7 @@ def run_to_table(stream: DataFrame, mode: str, name: str, keys: list[str] | None
     replayed after a failure overwrites its own folder, so nothing doubles.
     """
     spark = stream.sparkSession
-    root = f"{shared_folder(spark)}/streams/{name}-{uuid.uuid4().hex}"
+    root = new_folder(spark, name)
     table, progress = f"{root}/table", f"{root}/progress"
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -41,7 +47,8 @@ def run_to_table(stream: DataFrame, mode: str, name: str, keys: list[str] | None
         .option("checkpointLocation", progress).trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    written = spark.read.schema(stream.schema.add("batch", "long")).parquet(table)
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+    written = spark.read.schema(schema).parquet(table)
     if mode == "append" or keys is None:
         return written.drop("batch")
     rest = [c for c in stream.columns if c not in keys]
