@@ -102,7 +102,12 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dirty_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dirty_from(table(spark, sf_dir, "documents"))
+
+
+def dirty_from(documents: DataFrame) -> DataFrame:
+    """Documents with recogniser debris in front; also usable on a stream."""
+    docs = documents.select("doc_id", "text")
     prefix = (
         F.when(F.col("doc_id") % 6 == 1, F.lit("[Risas] (MÚSICA) "))
         .when(F.col("doc_id") % 6 == 2, F.lit("eh um hmm "))
@@ -236,7 +241,7 @@ def chapters_rough(spark: SparkSession, sf_dir: str) -> DataFrame:
 def block_chapters(spark: SparkSession, sf_dir: str, plan: DataFrame) -> DataFrame:
     """Two local chapters per planned block, none for every fifth block."""
     answered = plan.filter((F.col("video_id") + F.col("block")) % 5 != 0)
-    half = F.round((F.col("end_s") - F.col("start_s")) / 2, 3)
+    half = (F.col("end_s") - F.col("start_s")) / 2
     rows = answered.select("video_id", "block", half.alias("half"), F.explode(F.array(F.lit(1), F.lit(2)).cast("array<bigint>")).alias("number"))
     return rows.select(
         "video_id", "block", "number", ((F.col("number") - 1) * F.col("half")).alias("start_s"),
@@ -410,7 +415,7 @@ def progress_from(events: DataFrame) -> DataFrame:
     )
     stages = F.array(*map(F.lit, ["extract", "transcribe", "segment", "enrich", "materialize"]))
     return e.select(
-        F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), "ts", kind.alias("type"),
+        F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("type"),
         F.element_at(stages, (F.col("k") % 5 + 1).cast("int")).alias("stage"),
         (F.col("k") % 5).alias("stage_index"), F.lit(5).cast("long").alias("total_stages"),
         (F.col("k") / 100.0).alias("progress"),

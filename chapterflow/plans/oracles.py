@@ -86,7 +86,22 @@ def oracle(name: str, needs: str, body: str) -> None:
     for n in needs.split():
         add(n)
     head = ",\n".join(f"{n} AS ({CTES[n][1]})" for n in seen)
-    ORACLES[name] = (f"WITH {head}\n" if head else "") + body
+    ORACLES[name] = _six_digits((f"WITH {head}\n" if head else "") + body)
+
+
+def _six_digits(sql: str) -> str:
+    """Spell ``round(x, 6)`` the way ``queries.rounded`` computes it, ties included."""
+    at = sql.find("round(")
+    while at >= 0:
+        depth, end = 1, at + 6
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        inner = sql[at + 6 : end - 1]
+        if inner.endswith(", 6"):
+            sql = f"{sql[:at]}(floor(({inner[:-3]}) * 1e6 + 0.500001) / 1e6){sql[end:]}"
+        at = sql.find("round(", at + 1)
+    return sql
 
 
 cte("tok", f"SELECT doc_id AS video_id, text, {_toks('text')} AS t FROM documents")
@@ -121,7 +136,7 @@ cte(
 cte(
     "dirty",
     r"""SELECT doc_id, CASE doc_id % 6 WHEN 1 THEN '[Risas] (MÚSICA) ' WHEN 2 THEN 'eh um hmm ' WHEN 3 THEN 'la La LA la casa '
-        WHEN 4 THEN 'hola ,mundo!!! sí.....no ' WHEN 5 THEN '¿Cómo estás? ' || chr(160) || chr(7) ELSE '' END || text AS text
+        WHEN 4 THEN 'hola ,mundo!!! sí.....no ' WHEN 5 THEN replace('~u00bfC~u00f3mo est~u00e1s? ', '~', chr(92)) || chr(160) || chr(7) ELSE '' END || text AS text
         FROM documents""",
 )
 cte(
@@ -424,3 +439,493 @@ oracle(
     """SELECT video_id, n_words AS word_count, n_words > 0 AS has_word_timestamps,
        CASE WHEN n_words > 0 THEN round(duration_s / n_words, 4) ELSE 0 END AS seconds_per_word FROM transcripts""",
 )
+
+# --- chunks and media -------------------------------------------------------
+
+oracle("supported_media", "media", "SELECT video_id, extension, size_bytes FROM media WHERE extension IN ('.mp4', '.mov', '.avi', '.mkv')")
+
+
+def chunk_sql(source: str, length: str, overlap: float = 30, merge: bool = False) -> str:
+    n = f"CASE WHEN duration_s <= {length} THEN 1 ELSE CAST(ceil((duration_s - {length}) / ({length} - {overlap})) AS BIGINT) + 1 END"
+    cut = f"n > 1 AND duration_s - (n - 1) * step < 0.3 * len" if merge else "false"
+    return f"""SELECT video_id, k AS chunk_index, round(k * step, 6) AS start_s,
+      round(CASE WHEN k = n - 1 THEN duration_s ELSE least(k * step + len, duration_s) END, 6) AS end_s, n AS n_chunks FROM (
+      SELECT *, unnest(range(n)) AS k FROM (SELECT video_id, duration_s, step, len, CASE WHEN {cut} THEN n - 1 ELSE n END AS n FROM (
+        SELECT video_id, duration_s, CAST({length} - {overlap} AS DOUBLE) AS step, CAST({length} AS DOUBLE) AS len, {n} AS n FROM {source})))"""
+
+
+oracle("plan_chunks", "media", chunk_sql("media", "1200"))
+oracle("plan_chunks_merged_tail", "media", chunk_sql("media", "600", merge=True))
+cte(
+    "routed",
+    """SELECT video_id, duration_s, CASE WHEN size_bytes > 25 * 1024 * 1024 OR duration_s > 1800 THEN 'chunked' ELSE 'full' END AS strategy,
+       CASE provider WHEN 'groq' THEN 8 WHEN 'assemblyai' THEN 30 WHEN 'openai' THEN 25 WHEN 'mlx' THEN 20 ELSE 20 END AS chunk_min FROM media""",
+    "media",
+)
+oracle("route_media", "routed", "SELECT video_id, strategy, chunk_min FROM routed")
+cte("long_media", "SELECT * FROM routed WHERE strategy = 'chunked'", "routed")
+oracle("routed_chunk_plan", "long_media", chunk_sql("long_media", "(chunk_min * 60)"))
+oracle(
+    "eligible_providers", "media",
+    """SELECT m.video_id, c.provider FROM media m JOIN (VALUES ('groq', 0, 26214400), ('assemblyai', 0, 0), ('openai', 0, 26214400), ('mlx-whisper', 3600, 0)) c(provider, s, b)
+       ON (c.s = 0 OR m.duration_s <= c.s) AND (c.b = 0 OR m.size_bytes <= c.b)""",
+)
+oracle(
+    "media_strategy", "media",
+    """SELECT video_id, CASE WHEN duration_s > 14400 THEN 'split first' WHEN speakers > 1 THEN 'assemblyai' WHEN duration_s < 1800 THEN 'groq'
+       WHEN duration_s < 7200 THEN 'groq chunked' ELSE 'assemblyai or mlx-whisper' END AS advice FROM media""",
+)
+cte(
+    "results",
+    f"""SELECT conv_id AS video_id, turn AS chunk_index, text, (conv_id + turn) % 7 <> 0 AS ok, (60 + (turn * 11) % 40) / 100::DOUBLE AS confidence,
+        {PROVIDERS}[turn % 4 + 1] AS provider, 'model-' || turn % 3 AS model FROM conversations""",
+)
+oracle(
+    "reassemble", "results",
+    """SELECT video_id, 0 AS part, string_agg(CASE WHEN ok THEN text ELSE '[TRANSCRIPTION_FAILED]' END, ' ' ORDER BY chunk_index) AS text,
+       round(coalesce(avg(confidence) FILTER (ok), 0), 6) AS confidence, max(chunk_index) * 1170.0::DOUBLE + 1200 AS duration_s,
+       coalesce(arg_min(provider, chunk_index) FILTER (ok), 'unknown') AS provider, coalesce(arg_min(model, chunk_index) FILTER (ok), 'unknown') AS model,
+       count(*) AS n_chunks, count(*) FILTER (NOT ok) AS failed_chunks FROM results GROUP BY video_id""",
+)
+cte(
+    "chunk_words",
+    f"""SELECT video_id, chunk_index, pos, word, {_start('pos')} / 1000::DOUBLE AS s, ({_start('pos')} + 100 + 15 * least(length(word), 18)) / 1000::DOUBLE AS e,
+        (50 + (video_id * 7 + pos * 13) % 51) / 100::DOUBLE AS confidence FROM
+        (SELECT video_id, chunk_index, unnest(t) AS word, unnest(range(len(t))) AS pos FROM
+          (SELECT video_id, chunk_index, {_toks('text')} AS t FROM results WHERE ok))""",
+    "results",
+)
+oracle(
+    "reassembled_words", "chunk_words",
+    """SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY chunk_index, pos) - 1 AS pos, chunk_index, word,
+       round(s + chunk_index * 1170.0::DOUBLE, 6) AS start_s, round(e + chunk_index * 1170.0::DOUBLE, 6) AS end_s FROM chunk_words""",
+)
+oracle(
+    "reassembled_words_best", "chunk_words",
+    """SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY chunk_index, pos) - 1 AS pos, chunk_index, word, round(st, 6) AS start_s FROM (
+         SELECT *, avg(confidence) FILTER (later = 0) OVER w AS early, avg(confidence) FILTER (later = 1) OVER w AS late FROM (
+           SELECT *, CASE WHEN tail THEN chunk_index WHEN head THEN chunk_index - 1 END AS ov, CASE WHEN tail THEN 0 WHEN head THEN 1 END AS later FROM (
+             SELECT *, coalesce(nxt AND st >= (chunk_index + 1) * 30.0 AND st <= chunk_index * 30.0 + 40, false) AS tail,
+                    coalesce(prv AND st <= (chunk_index - 1) * 30.0 + 40, false) AS head FROM (
+               SELECT w.*, s + chunk_index * 30.0::DOUBLE AS st,
+                 EXISTS (SELECT 1 FROM chunk_words n WHERE n.video_id = w.video_id AND n.chunk_index = w.chunk_index + 1) AS nxt,
+                 EXISTS (SELECT 1 FROM chunk_words n WHERE n.video_id = w.video_id AND n.chunk_index = w.chunk_index - 1) AS prv FROM chunk_words w)))
+         WINDOW w AS (PARTITION BY video_id, ov))
+       WHERE ov IS NULL OR later = CASE WHEN late > coalesce(early, -1) THEN 1 ELSE 0 END""",
+)
+
+# --- chapters ---------------------------------------------------------------
+
+oracle(
+    "chapter_context", "chapters",
+    """SELECT video_id, number, lag(title) OVER w AS prev_title, lead(title) OVER w AS next_title, count(*) OVER (PARTITION BY video_id) AS total_chapters
+       FROM chapters WINDOW w AS (PARTITION BY video_id ORDER BY number)""",
+)
+
+
+def block_sql(threshold: int, size: int) -> str:
+    return f"""SELECT video_id, b AS block, n AS n_blocks, CASE WHEN n = 1 THEN text ELSE substring(text, (b - 1) * {size} + 1, {size}) END AS text,
+      (b - 1) * {size} / rate AS start_s, CASE WHEN n = 1 THEN len ELSE least(b * {size}, len) END / rate AS end_s FROM (
+      SELECT *, unnest(range(1, n + 1)) AS b FROM (
+        SELECT video_id, text, length(text) AS len, CASE WHEN duration_s > 0 THEN length(text) / duration_s ELSE 15 END AS rate,
+               CASE WHEN length(text) > {threshold} THEN CAST(ceil(length(text) / {size}) AS BIGINT) ELSE 1 END AS n FROM transcripts))"""
+
+
+cte("blocks", block_sql(3000, 2000), "transcripts")
+cte("blocks_default", block_sql(30000, 20000), "transcripts")
+_cols = f"video_id, block, n_blocks, round(start_s, 6) AS start_s, round(end_s, 6) AS end_s, {clock('(end_s - start_s)')} AS duration"
+oracle("plan_blocks", "blocks", f"SELECT text, {_cols} FROM blocks")
+oracle("plan_blocks_default", "blocks_default", f"SELECT {_cols} FROM blocks_default")
+oracle(
+    "merge_block_chapters", "blocks",
+    """SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY block, k) AS number, block, round(start_s + (k - 1) * half, 6) AS start_s,
+       round(start_s + k * half, 6) AS end_s FROM
+       (SELECT video_id, block, start_s, (end_s - start_s) / 2 AS half, unnest([1, 2]) AS k FROM blocks WHERE (video_id + block) % 5 <> 0)""",
+)
+oracle("unsegmented_videos", "blocks", "SELECT video_id FROM blocks GROUP BY 1 HAVING bool_and((video_id + block) % 5 = 0)")
+oracle(
+    "estimate_ratios", "chapters transcripts",
+    """SELECT video_id, number, round(greatest(s / n, 0), 6) AS start_ratio, round(CASE WHEN e < 0 THEN 1 ELSE least((e + length(right(transcript, 50))) / n, 1) END, 6) AS end_ratio FROM (
+       SELECT c.video_id, c.number, c.transcript, length(t.text) AS n,
+         CASE WHEN instr(t.text, left(c.transcript, 50)) > 0 THEN instr(t.text, left(c.transcript, 50)) ELSE instr(t.text, left(c.transcript, 20)) END - 1 AS s,
+         CASE WHEN instr(t.text, right(c.transcript, 50)) > 0 THEN instr(t.text, right(c.transcript, 50)) ELSE instr(t.text, right(c.transcript, 20)) END - 1 AS e
+       FROM chapters c JOIN transcripts t USING (video_id))""",
+)
+oracle(
+    "repair_chapters", "rough",
+    """, RECURSIVE_PLACEHOLDER""",
+)
+ORACLES["repair_chapters"] = ORACLES["repair_chapters"].replace("WITH ", "WITH RECURSIVE ", 1).replace(
+    "\n, RECURSIVE_PLACEHOLDER",
+    """,
+fold AS (
+  SELECT video_id, number, start_s AS s, least(CASE WHEN end_s <= start_s THEN start_s + 1 ELSE end_s END, duration_s) AS e FROM rough WHERE number = 1
+  UNION ALL
+  SELECT r.video_id, r.number, greatest(r.start_s, f.e + 0.1::DOUBLE),
+    least(CASE WHEN r.end_s <= greatest(r.start_s, f.e + 0.1::DOUBLE) THEN greatest(r.start_s, f.e + 0.1::DOUBLE) + 1 ELSE r.end_s END, r.duration_s)
+  FROM fold f JOIN rough r ON r.video_id = f.video_id AND r.number = f.number + 1),
+edge AS (
+  SELECT f.video_id, f.number, CASE WHEN f.number = 1 AND s > 1 THEN 0 ELSE s END AS s, CASE WHEN r.is_last AND e < r.duration_s - 1 THEN r.duration_s ELSE e END AS e
+  FROM fold f JOIN rough r USING (video_id, number))
+SELECT video_id, number, floor((CASE WHEN s < lag(e) OVER w THEN lag(e) OVER w + 0.1::DOUBLE ELSE s END) * 1e6 + 0.500001) / 1e6 AS start_s,
+  floor((CASE WHEN lead(s) OVER w > e + 5 THEN lead(s) OVER w - 0.1::DOUBLE ELSE e END) * 1e6 + 0.500001) / 1e6 AS end_s
+FROM edge WINDOW w AS (PARTITION BY video_id ORDER BY number)""",
+)
+oracle("flag_for_review", "chapters", "SELECT video_id, number, confidence, confidence < 0.7 AS needs_review FROM chapters")
+oracle("review_queue", "chapters", "SELECT video_id, number, confidence FROM chapters WHERE confidence < 0.7 ORDER BY confidence, video_id, number LIMIT 100")
+oracle(
+    "audit_chapters", "rough",
+    """SELECT video_id, number, unnest(list_filter([
+         CASE WHEN end_s - start_s < 30 THEN 'too short' END, CASE WHEN end_s - start_s > 480 THEN 'too long' END,
+         CASE WHEN number <> coalesce(pn, 0) + 1 THEN 'number out of sequence' END,
+         CASE WHEN start_s - pe > 0.001 THEN 'gap' END, CASE WHEN start_s - pe < -0.001 THEN 'overlap' END,
+         CASE WHEN pn IS NULL AND start_s > 0.001 THEN 'does not start at zero' END,
+         CASE WHEN is_last AND abs(end_s - duration_s) > 0.001 THEN 'does not end at the duration' END], lambda x: x IS NOT NULL)) AS issue
+       FROM (SELECT *, lag(end_s) OVER w AS pe, lag(number) OVER w AS pn FROM rough WINDOW w AS (PARTITION BY video_id ORDER BY number))
+       UNION ALL SELECT video_id, 0, 'chapter count out of band' FROM rough GROUP BY video_id, duration_s
+       HAVING NOT CASE WHEN duration_s < 300 THEN count(*) BETWEEN 1 AND 2 WHEN duration_s < 900 THEN count(*) BETWEEN 2 AND 4
+         WHEN duration_s < 1800 THEN count(*) BETWEEN 3 AND 6 WHEN duration_s < 3600 THEN count(*) BETWEEN 6 AND 10
+         WHEN duration_s < 7200 THEN count(*) BETWEEN 10 AND 15 ELSE count(*) BETWEEN 15 AND 20 END""",
+)
+cte(
+    "routes",
+    """SELECT video_id, provider, CASE WHEN video_id % 3 = 0 THEN 'segment_optimized' WHEN provider IN ('assemblyai', 'mlx-whisper') THEN 'advanced' ELSE 'clean' END AS processor,
+       CASE WHEN video_id % 3 <> 0 AND provider IN ('assemblyai', 'mlx-whisper') THEN 'segmenter-basic' ELSE 'segmenter' END AS template, text, duration_s FROM transcripts""",
+    "transcripts",
+)
+oracle("route_transcripts", "routes", "SELECT video_id, provider, processor, template FROM routes")
+oracle(
+    "assemble_enriched", "chapters",
+    """SELECT video_id, number, title, round(start_s, 6) AS start_s, round(end_s, 6) AS end_s,
+       round(CASE WHEN video_id % 4 <> 3 AND number % 4 = 0 THEN 0.8 ELSE confidence END, 6) AS confidence,
+       CASE WHEN video_id % 4 <> 3 AND number = 2 THEN '' ELSE transcript END AS transcript,
+       CASE WHEN video_id % 4 <> 3 THEN false END AS needs_review, CASE WHEN video_id % 4 <> 3 THEN 'About ' || title END AS description
+       FROM chapters WHERE video_id % 4 <> 3 OR number <> 2""",
+)
+cte("short_slugs", f"SELECT video_id, number, {slug('left(title, 3)')} AS slug FROM chapters", "chapters")
+oracle(
+    "resolve_slugs", "short_slugs",
+    """SELECT video_id, number, CASE WHEN n > 1 THEN slug || '-' || n ELSE slug END AS slug FROM
+       (SELECT *, row_number() OVER (PARTITION BY video_id, slug ORDER BY number) AS n FROM short_slugs)""",
+)
+oracle("resolve_slugs_last_wins", "short_slugs", "SELECT video_id, max(number) AS number, slug FROM short_slugs GROUP BY video_id, slug")
+cte(
+    "stats",
+    f"SELECT *, CAST(trunc(end_s - start_s) AS BIGINT) AS duration_seconds, len({_toks('transcript')}) AS word_count FROM chapters",
+    "chapters",
+)
+oracle("chapter_stats", "stats", "SELECT video_id, number, duration_seconds, word_count FROM stats")
+oracle(
+    "chapter_rollup", "stats",
+    f"""SELECT {PROVIDERS}[video_id % 4 + 1] AS provider, confidence < 0.7 AS needs_review, count(*) AS chapters, sum(word_count) AS words,
+       sum(duration_seconds) AS seconds FROM stats GROUP BY ROLLUP (provider, needs_review)""",
+)
+cte(
+    "enriched",
+    f"""SELECT *, list_filter(list_transform(range(1, len(toks) + 1), lambda i: CASE WHEN length(toks[i]) >= 9 AND list_position(toks, toks[i]) = i THEN toks[i] END), lambda x: x IS NOT NULL)[1:5] AS concepts,
+        ['insight', 'warning', 'example', 'takeaway', 'demo', 'hook', 'controversial', 'definition', 'unheard-of'] AS types, ['alta', 'media', 'baja', 'unknown'] AS imps
+        FROM (SELECT *, {_toks('transcript')} AS toks FROM chapters)""",
+    "chapters",
+)
+oracle(
+    "chapter_metadata", "enriched",
+    f"""SELECT video_id, number, title, {slug('title')} AS slug, {clock('start_s')} AS start_time, round(end_s, 6) AS end_seconds,
+       CASE WHEN number % 2 = 0 THEN 'About ' || title ELSE transcript END AS summary, len(concepts) AS n_topics, round(confidence, 6) AS confidence FROM enriched""",
+)
+oracle(
+    "chapter_manifest", "enriched",
+    """SELECT video_id, number, replace(lower(title), ' ', '-') AS slug, CAST(trunc(end_s - start_s) AS BIGINT) AS duration_seconds, len(toks) AS word_count,
+       'About ' || title AS description, types[(video_id + number) % 9 + 1] AS first_highlight,
+       round((55 + (video_id * 11 + number * 3) % 46) / 100, 6) AS coherence FROM enriched""",
+)
+oracle(
+    "clip_manifest", "chapters media",
+    f"""SELECT video_id, number, 'media/' || video_id || extension AS source, round(start_s, 6) AS start_s, round(end_s, 6) AS end_s,
+       'chapters/' || video_id || '/' || s || '/' || s || '.mp4' AS target FROM (
+         SELECT *, CASE WHEN n > 1 THEN base || '-' || n ELSE base END AS s FROM (
+           SELECT *, row_number() OVER (PARTITION BY video_id, base ORDER BY number) AS n FROM (
+             SELECT c.video_id, number, extension, c.start_s, c.end_s, {slug('title')} AS base FROM chapters c JOIN media m USING (video_id))))""",
+)
+
+
+def index_sql(source: str, summary: str, topics: str = "''") -> str:
+    stamp = lambda c: f"{hms(c)} || ' (' || CAST(trunc({c}) AS BIGINT) || 's)'"
+    nl = "chr(10)"
+    entry = f"""'## ' || lpad(CAST(idx AS VARCHAR), CAST(greatest(2, length(CAST(total AS VARCHAR))) AS INTEGER), '0') || ' — ' || title || {nl} || {nl}
+      || '- **Start**: ' || {stamp('start_s')} || {nl} || '- **End**: ' || {stamp('end_s')} || {nl}
+      || '- **Duration**: ' || {human('(end_s - start_s)')} || {nl} || '- **Slug**: `' || {slug('title')} || '`' || {nl}
+      || '- **Folder**: `' || {slug('title')} || '/`' || {nl}
+      || CASE WHEN summary <> '' THEN {nl} || summary || {nl} ELSE '' END || {topics}
+      || CASE WHEN idx < total THEN {nl} || '---' || {nl} ELSE '' END"""
+    return rf"""SELECT video_id, 0 AS part, regexp_replace('# Chapters' || {nl} || {nl} || 'Total: ' || max(total) || ' chapters  •  Source duration: ' || {hms('max(end_s)')}
+      || '  •  Generated: 2024-01-01 00:00:00' || {nl} || {nl} || string_agg({entry}, {nl} ORDER BY idx), '\s+$', '') || {nl} AS markdown FROM (
+        SELECT *, {_strip(summary)} AS summary, row_number() OVER (PARTITION BY video_id ORDER BY start_s, number) AS idx, count(*) OVER (PARTITION BY video_id) AS total FROM {source})
+      GROUP BY video_id"""
+
+
+oracle("chapter_index", "chapters", index_sql("chapters", "left(transcript, 200)"))
+oracle(
+    "enriched_index", "enriched",
+    index_sql(
+        "enriched", "CASE WHEN number % 2 = 0 THEN 'About ' || title ELSE transcript END",
+        "CASE WHEN len(concepts) > 0 THEN chr(10) || '**Key topics**: ' || array_to_string(concepts, ', ') || chr(10) ELSE '' END",
+    ),
+)
+
+# --- model answers ----------------------------------------------------------
+
+# Residues 3 and 4 are damaged: one chapter alone can be mended or cut out as
+# an object, several can only be scraped. Mending quotes bare keys, which
+# breaks texts that look like keys themselves.
+cte(
+    "answers",
+    r"""SELECT video_id, video_id % 8 AS way, count(*) AS n, sum(number) AS total, max(number) AS last,
+        bool_or(regexp_matches(title || ' ' || transcript, '[{,]\s*[\p{L}\p{N}_]+\s*:')) AS keylike FROM chapters GROUP BY video_id""",
+    "chapters",
+)
+cte(
+    "parsed",
+    """SELECT video_id, CASE way WHEN 0 THEN 'whole' WHEN 7 THEN 'whole' WHEN 5 THEN 'scraped'
+         WHEN 3 THEN CASE WHEN n = 1 THEN 'object' ELSE 'scraped' END
+         WHEN 4 THEN CASE WHEN n = 1 AND NOT keylike THEN 'mended' ELSE 'scraped' END
+         ELSE CASE WHEN n = 1 THEN 'object' ELSE 'array' END END AS parse_stage,
+       CASE WHEN way IN (5, 7) OR way IN (3, 4) THEN 1 ELSE n END AS n_chapters,
+       CASE WHEN way IN (5, 7) THEN 1 WHEN way IN (3, 4) THEN last ELSE total END AS sum_number, way FROM answers""",
+    "answers",
+)
+oracle("parse_chapters", "parsed", "SELECT video_id, parse_stage, n_chapters, sum_number FROM parsed")
+oracle("validate_chapters", "parsed", "SELECT video_id, n_chapters FROM parsed WHERE way <> 5")
+oracle(
+    "quarantined_responses", "",
+    r"""SELECT doc_id AS video_id, 'failed' AS parse_stage, left(regexp_replace(text, '[:{}\[\]]', '', 'g'), 500) AS raw_response FROM documents""",
+)
+cte("judged", """SELECT *, (video_id + number) % 5 AS way, list_transform(range(number % 3), lambda j: (types[(video_id + number + j) % 9 + 1] <> 'unheard-of')
+       AND (imps[(video_id + number + j) % 4 + 1] <> 'unknown')) AS oks FROM enriched""", "enriched")
+oracle(
+    "parse_enrichments", "judged",
+    """SELECT video_id, number, 'About ' || title AS description, len(concepts) AS n_concepts, number % 3 AS n_highlights, round(confidence, 6) AS segmentation_score
+       FROM judged WHERE way <> 3 AND NOT list_contains(oks, false)""",
+)
+oracle(
+    "rejected_enrichments", "judged",
+    """SELECT video_id, number, CASE WHEN way = 3 THEN 'pedagogy' ELSE 'highlight outside its domain' END AS reason
+       FROM judged WHERE way = 3 OR list_contains(oks, false)""",
+)
+oracle(
+    "segment_prompts", "routes",
+    f"""SELECT video_id, template, CASE template WHEN 'segmenter' THEN 'Video: ' || source || ' (' || {clock('duration_s')} || ')' || chr(10) || 'Tema: ' || lang || chr(10) || r.text || chr(10) || '{{{{UNKNOWN}}}}'
+       ELSE source || '|' || {clock('duration_s')} || '|' || r.text END AS prompt FROM routes r JOIN documents d ON d.doc_id = r.video_id""",
+)
+oracle(
+    "enrich_prompts", "chapters",
+    f"""SELECT video_id, number, source || ' ' || number || '/' || count(*) OVER (PARTITION BY video_id) || ' ' || {clock('start_s')} || '-' || {clock('end_s')} || chr(10)
+       || '< ' || coalesce(lag(title) OVER w, 'N/A') || ' > ' || coalesce(lead(title) OVER w, 'N/A') || chr(10) || transcript AS prompt
+       FROM chapters c JOIN documents d ON d.doc_id = c.video_id WINDOW w AS (PARTITION BY video_id ORDER BY number)""",
+)
+oracle(
+    "template_sections", "",
+    """SELECT doc_id, CASE WHEN lang <> 'en' THEN 'Idioma: ' || lang || '.' ELSE '' END || CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'Sin tema.' END || ' ' || doc_id AS prompt FROM documents""",
+)
+_scores = {
+    "segmentation_score": ("confidence", 0.7, 0.5),
+    "transcription_quality": ("(50 + (video_id * 5 + number) % 51) / 100::DOUBLE", 0.8, 0.6),
+    "content_coherence": ("(55 + (video_id * 11 + number * 3) % 46) / 100::DOUBLE", 0.8, 0.7),
+}
+oracle(
+    "grade_confidence", "chapters",
+    "SELECT video_id, number, "
+    + ", ".join(f"CASE WHEN {e} < {r} THEN 'review' WHEN {e} < {w} THEN 'warning' ELSE 'ok' END AS {m}_grade" for m, (e, w, r) in _scores.items())
+    + ", " + " OR ".join(f"{e} < {r}" for e, _, r in _scores.values()) + " AS needs_review, concat_ws('; ', "
+    + ", ".join(f"CASE WHEN {e} < {r} THEN 'Low {m} (' || {e} || ' < {r} threshold)' END" for m, (e, _, r) in _scores.items())
+    + ") AS review_reasons FROM chapters",
+)
+oracle(
+    "audit_enrichment", "enriched",
+    """SELECT video_id, number, unnest(list_filter([
+         CASE WHEN least(number % 9, len(string_split(title, ' '))) > 6 THEN 'more than 6 bullets' END,
+         'more than 6 highlights', CASE WHEN len(toks) > 25 THEN 'quote over 25 words' END,
+         CASE WHEN least(number % 6, len(toks)) > 4 THEN 'more than 4 objectives' END,
+         CASE WHEN len(list_filter(range(8), lambda j: NOT ((floor(start_s) + j) % 3600 BETWEEN floor(start_s) AND end_s))) > 0 THEN 'highlight outside the chapter' END
+         ], lambda x: x IS NOT NULL)) AS issue FROM enriched""",
+)
+oracle(
+    "term_fidelity", "enriched",
+    """SELECT video_id, number, term, 1 + number % 3 AS declared, found, found > 0 AS faithful FROM (
+         SELECT video_id, number, term, CAST((length(lower(transcript)) - length(replace(lower(transcript), lower(term), ''))) / length(lower(term)) AS BIGINT) AS found
+         FROM (SELECT *, unnest(concepts) AS term FROM enriched))""",
+)
+oracle(
+    "top_highlights", "enriched",
+    """SELECT video_id, number, place, type, 'h' || j AS label, importance FROM (
+         SELECT *, row_number() OVER (PARTITION BY video_id, number ORDER BY list_position(['insight', 'warning', 'example', 'takeaway', 'demo', 'hook', 'controversial', 'definition'], type), j) AS place FROM (
+           SELECT video_id, number, j, types[(video_id + number + j) % 9 + 1] AS type, imps[(video_id + number + j) % 4 + 1] AS importance
+           FROM (SELECT *, unnest(range(8)) AS j FROM enriched)) WHERE type <> 'unheard-of' AND importance <> 'unknown') WHERE place <= 6""",
+)
+oracle(
+    "top_terms", "enriched",
+    """SELECT video_id, number, row_number() OVER (PARTITION BY video_id, number ORDER BY encode(term)) AS place, term, 1 + number % 3 AS frequency
+       FROM (SELECT *, unnest(concepts) AS term FROM enriched) QUALIFY place <= 3""",
+)
+oracle(
+    "knowledge_index", "enriched",
+    """SELECT kind, name, count(*) AS mentions, count(DISTINCT video_id) AS videos FROM (
+         SELECT video_id, 'term' AS kind, unnest(concepts) AS name FROM enriched UNION ALL SELECT video_id, 'concept', unnest(concepts) FROM enriched
+         UNION ALL SELECT video_id, 'entity:personas', unnest(concepts[1:2]) FROM enriched UNION ALL SELECT video_id, 'entity:tecnologías', unnest(concepts[3:3]) FROM enriched)
+       GROUP BY kind, name""",
+)
+cte("asked", "SELECT doc_id AS request_id, text, length(text) AS n FROM documents")
+oracle(
+    "model_attempts", "asked",
+    """SELECT request_id, unnest(range(1, k + 1)) AS attempt, unnest(list_transform(range(1, k + 1), lambda i: CASE WHEN n % 5 > 1 OR i < k OR false THEN 'primary' ELSE 'backup' END)) AS provider,
+       unnest(list_transform(range(1, k + 1), lambda i: i = k AND n % 35 <> 0)) AS success,
+       unnest(list_transform(range(1, k + 1), lambda i: CASE WHEN i = k AND n % 35 <> 0 THEN NULL WHEN n % 5 = 1 AND i < k THEN 'transient' ELSE 'permanent' END)) AS error_class
+       FROM (SELECT *, CASE WHEN n % 5 = 0 THEN 2 WHEN n % 5 = 1 THEN 4 ELSE 1 END AS k FROM asked)""",
+)
+oracle(
+    "resolve_attempts", "asked",
+    """SELECT request_id, CASE WHEN n % 5 = 0 THEN 2 WHEN n % 5 = 1 THEN 4 ELSE 1 END AS n_attempts, CASE WHEN n % 5 = 0 THEN 2 WHEN n % 5 = 1 THEN 4 ELSE 1 END AS attempt,
+       CASE WHEN n % 5 > 1 THEN 'primary' ELSE 'backup' END AS provider, n % 35 <> 0 AS success, CASE WHEN n % 35 = 0 THEN 'permanent' END AS error_class,
+       CASE WHEN n % 35 <> 0 THEN CASE WHEN n % 5 > 1 THEN 'primary:' ELSE 'backup:' END || left(text, 20) END AS response FROM asked""",
+)
+
+# --- recogniser answers -----------------------------------------------------
+
+_last = "t[len(t)] AS last_word, CASE WHEN len(t) > 0 THEN " + _start("(len(t) - 1)") + " / 1000::DOUBLE END"
+_mean = "(SELECT round(avg(confidence), 4) FROM words w WHERE w.video_id = k.video_id)"
+_model = "['tiny', 'large-v3', 'other'][video_id % 3 + 1]"
+_size = f"CASE {_model} WHEN 'tiny' THEN 0.6 WHEN 'large-v3' THEN 0.94 ELSE 0.7 END"
+_duration = "coalesce((SELECT max(end_s) FROM words w WHERE w.video_id = k.video_id), 0)"
+_last_conf = "CASE WHEN len(t) > 0 THEN (50 + (video_id * 7 + (len(t) - 1) * 13) % 51) / 100::DOUBLE END"
+
+
+def ingest_sql(confidence: str, duration: str, last_conf: str, words: bool = True, chars: str = "length(text)") -> str:
+    last = f"len(t) AS n_words, {_last} AS last_start" if words else "0 AS n_words, NULL AS last_word, NULL AS last_start"
+    return f"""SELECT video_id, {chars} AS n_chars, round({confidence}, 6) AS confidence, round({duration}, 6) AS duration_s, {_model} AS model,
+      NULL AS error, {last}, {last_conf} AS last_confidence FROM tok k"""
+
+
+cte("mean_conf", "SELECT video_id, floor(avg(confidence) * 10000 + 0.500001) / 10000 AS m FROM words GROUP BY 1", "words")
+oracle("ingest_asr_seconds", "tok words mean_conf", ingest_sql("coalesce((SELECT m FROM mean_conf c WHERE c.video_id = k.video_id), 1)", _duration, _last_conf))
+oracle("ingest_asr_millis", "tok words", ingest_sql("1", _duration, _last_conf))
+oracle("ingest_asr_text", "tok", ingest_sql("1", "0", "NULL", words=False, chars=f"length({_strip('text')})"))
+oracle("ingest_asr_segmented", "tok words", ingest_sql(_size, _duration, f"CASE WHEN len(t) > 0 THEN {_size} END", chars=f"length({_strip('text')})"))
+oracle("ingested_words", "words", "SELECT video_id, pos, word, round(start_s, 6) AS start_s, round(end_s, 6) AS end_s, round(confidence, 6) AS confidence FROM words")
+
+# --- operations -------------------------------------------------------------
+
+cte(
+    "attempts",
+    f"""SELECT *, CASE WHEN k % 3 <> 0 THEN 'chunk' ELSE 'full' END AS strategy, {PROVIDERS}[event_id % 4 + 1] AS provider, event_type <> 'error' AS success, value / 1000 AS cost,
+        CASE WHEN event_type = 'error' THEN ['duration', 'transient', 'transient', 'permanent'][k % 4 + 1] END AS error_class
+        FROM (SELECT *, CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS k FROM events)""",
+)
+oracle("classify_errors", "attempts", "SELECT user_id AS run_id, event_id AS attempt_number, error_class FROM attempts WHERE NOT success")
+cte(
+    "costs",
+    f"""SELECT doc_id AS video_id, 'asr' AS kind, {PROVIDERS}[doc_id % 4 + 1] AS provider, [0.0004, 0.0004, 0.006, 0.001][doc_id % 4 + 1]::DOUBLE * n_chars / 60 AS cost_usd, doc_id % 4 = 3 AS defaulted FROM documents
+        UNION ALL SELECT doc_id, 'model', ['deepseek', 'groq', 'openai', 'other'][doc_id % 4 + 1], [0.14, 0.0007, 2.5, 0.01][doc_id % 4 + 1]::DOUBLE * n_chars * 100 / 1000000, doc_id % 4 = 3 FROM documents""",
+)
+oracle("estimate_costs", "costs", "SELECT video_id, kind, provider, round(cost_usd, 6) AS cost_usd, defaulted FROM costs")
+cte("gate", "SELECT user_id AS run_id, event_id AS seq, cost AS cost_usd, sum(cost) OVER (PARTITION BY user_id ORDER BY event_id) AS total_usd FROM attempts", "attempts")
+oracle("budget_gate", "gate", "SELECT run_id, seq, round(cost_usd, 6) AS cost_usd, round(total_usd, 6) AS total_usd, total_usd > 1 AS over_budget FROM gate")
+oracle("first_breaches", "gate", "SELECT run_id, min(seq) AS seq, round(arg_min(total_usd, seq), 6) AS total_usd FROM gate WHERE total_usd > 1 GROUP BY 1")
+oracle(
+    "transcription_summary", "attempts",
+    """SELECT user_id AS run_id, round(sum(cost), 6) AS total_cost_usd, bool_or(strategy = 'chunk') AS used_chunking,
+       count(DISTINCT CASE WHEN strategy = 'chunk' THEN k % 10 END) AS chunk_count, count(*) FILTER (strategy = 'chunk' AND NOT success) AS failed_chunks, count(*) AS n_attempts
+       FROM attempts GROUP BY 1""",
+)
+oracle(
+    "provider_scorecard", "attempts",
+    """SELECT provider, count(*) AS calls, count(*) FILTER (success) AS successes, count(*) FILTER (NOT ps AND pp = provider) AS retries, count(*) FILTER (NOT ps AND pp <> provider) AS fallbacks,
+       count(*) FILTER (error_class = 'transient') AS transient_errors, count(*) FILTER (error_class = 'permanent') AS permanent_errors,
+       count(*) FILTER (error_class = 'duration') AS duration_errors, round(sum(cost), 6) AS cost_usd FROM
+       (SELECT *, lag(success) OVER w AS ps, lag(provider) OVER w AS pp FROM attempts WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) GROUP BY provider""",
+)
+oracle(
+    "cheapest_combination", "",
+    """SELECT doc_id, CAST(n_chars AS DOUBLE) AS duration_s, n_chars * 100 AS tokens, 'assemblyai' AS asr_provider, 'groq' AS model_provider,
+       round(0.0004::DOUBLE * (n_chars / 60) + 0.0007::DOUBLE * (n_chars * 100 / 1000000), 6) AS cost_usd FROM documents""",
+)
+oracle(
+    "capability_gaps", "transcripts",
+    """SELECT video_id, provider, missing, CASE missing WHEN 'word_timestamps' THEN CASE provider WHEN 'mlx-whisper' THEN 'assemblyai' ELSE 'assemblyai,mlx-whisper' END
+         WHEN 'utterances' THEN '' ELSE 'assemblyai' END AS suggested FROM (
+         SELECT video_id, provider, CASE video_id // 4 % 4 WHEN 0 THEN CASE WHEN provider IN ('groq', 'openai') THEN 'word_timestamps' END
+           WHEN 1 THEN CASE provider WHEN 'assemblyai' THEN NULL WHEN 'mlx-whisper' THEN 'speaker_diarization' ELSE 'word_timestamps,speaker_diarization' END
+           WHEN 2 THEN 'utterances' END AS missing FROM transcripts) WHERE missing IS NOT NULL""",
+)
+oracle(
+    "resume_plan", "",
+    """SELECT doc_id AS video_id, coalesce(['extract', 'transcribe', 'segment', 'enrich', 'materialize'][doc_id % 6 + 1], 'done') AS resume_stage, doc_id % 6 AS stage_index FROM documents""",
+)
+cte(
+    "report",
+    """SELECT t.video_id, t.duration_s, t.duration_s * (1 + t.video_id % 4) AS run_seconds, t.video_id % 5 AS fallbacks, t.video_id % 8 AS retries,
+       coalesce(c.n, 0) AS chapters_generated, coalesce(c.low, 0) AS warnings_count, coalesce(c.bad, 0) AS needs_review_count, a.provider AS asr_provider, m.provider AS model_provider,
+       a.cost_usd AS asr_cost_usd, m.cost_usd AS model_cost_usd, a.cost_usd + m.cost_usd AS total_cost_usd
+       FROM transcripts t LEFT JOIN (SELECT video_id, count(*) AS n, count(*) FILTER (confidence < 0.7) AS low, count(*) FILTER (confidence < 0.5) AS bad FROM chapters GROUP BY 1) c USING (video_id)
+       JOIN costs a ON a.video_id = t.video_id AND a.kind = 'asr' JOIN costs m ON m.video_id = t.video_id AND m.kind = 'model'""",
+    "transcripts chapters costs",
+)
+oracle(
+    "processing_report", "report",
+    """SELECT * REPLACE (round(duration_s, 6) AS duration_s, round(run_seconds, 6) AS run_seconds, round(asr_cost_usd, 6) AS asr_cost_usd,
+       round(model_cost_usd, 6) AS model_cost_usd, round(total_cost_usd, 6) AS total_cost_usd) FROM report""",
+)
+oracle(
+    "report_warnings", "chapters",
+    """SELECT video_id, number, 'low_confidence' AS warning_type, confidence AS confidence_score, 'Low segmentation confidence - manual review recommended' AS message FROM chapters WHERE confidence < 0.7""",
+)
+oracle(
+    "alerts", "report",
+    """SELECT video_id, 'error' AS level, 'cost above budget' AS alert FROM report WHERE total_cost_usd / 0.5 > 1
+       UNION ALL SELECT video_id, 'warning', 'cost above 80% of budget' FROM report WHERE total_cost_usd / 0.5 > 0.8 AND total_cost_usd / 0.5 <= 1
+       UNION ALL SELECT video_id, 'error', 'no chapters' FROM report WHERE chapters_generated = 0
+       UNION ALL SELECT video_id, 'warning', 'more than 3 warnings' FROM report WHERE warnings_count > 3
+       UNION ALL SELECT video_id, 'warning', 'more than 1 chapter to review' FROM report WHERE needs_review_count > 1
+       UNION ALL SELECT video_id, 'warning', 'more than 2 fallbacks' FROM report WHERE fallbacks > 2
+       UNION ALL SELECT video_id, 'warning', 'more than 5 retries' FROM report WHERE retries > 5
+       UNION ALL SELECT video_id, 'warning', 'slower than twice the media duration' FROM report WHERE run_seconds > 2 * duration_s""",
+)
+
+# --- streams ----------------------------------------------------------------
+
+cte(
+    "progress",
+    """SELECT user_id AS run_id, event_id AS seq, k, value / 1000 AS cost, CASE WHEN event_type = 'signup' THEN 'stage_start' WHEN event_type = 'view' AND k >= 85 THEN 'stage_complete'
+         WHEN event_type = 'view' THEN 'stage_progress' WHEN event_type = 'click' THEN 'cost_update' WHEN event_type = 'purchase' THEN 'chapter_complete'
+         WHEN k < 40 THEN 'warning' ELSE 'stage_error' END AS type FROM attempts""",
+    "attempts",
+)
+# Each event sees the stage that was current when it arrived, as a sequential fold would.
+cte("staged", "SELECT *, last_value(CASE WHEN type = 'stage_start' THEN k % 5 END IGNORE NULLS) OVER (PARTITION BY run_id ORDER BY seq) AS at_stage FROM progress", "progress")
+_state = """SELECT run_id, arg_max(['extract', 'transcribe', 'segment', 'enrich', 'materialize'][k % 5 + 1], seq) FILTER (type = 'stage_start') AS current_stage,
+  coalesce(arg_max(k % 5, seq) FILTER (type = 'stage_start'), 0) AS stage_index, CASE WHEN bool_or(type = 'stage_start') THEN 5 ELSE 0 END AS total_stages,
+  coalesce(round(arg_max(CASE type WHEN 'stage_start' THEN 0 WHEN 'stage_complete' THEN 1 ELSE k / 100 END, seq) FILTER (type IN ('stage_start', 'stage_progress', 'stage_complete')), 6), 0) AS stage_progress,
+  nullif(arg_max(CASE WHEN type = 'stage_progress' AND k % 4 <> 0 THEN k * 3 ELSE -1 END, seq) FILTER (type IN ('stage_progress', 'stage_complete')), -1) AS eta_seconds,
+  coalesce(round(arg_max(cost, seq) FILTER (type = 'cost_update'), 6), 0) AS total_cost, CASE WHEN bool_or(type = 'cost_update') THEN 0.1 END AS budget,
+  coalesce(arg_max(k % 20, seq) FILTER (type = 'chapter_complete'), 0) AS chapters_completed, count(*) FILTER (type = 'stage_error') AS errors, count(*) FILTER (type = 'warning') AS warnings,
+  coalesce(arg_max(type = 'stage_start', seq) FILTER (type IN ('stage_start', 'stage_error') OR (type = 'stage_complete' AND at_stage = 4)), false) AS is_running,
+  coalesce(arg_max(type = 'stage_complete', seq) FILTER (type = 'stage_start' OR (type = 'stage_complete' AND at_stage = 4)), false) AS is_complete,
+  coalesce(arg_max(type = 'stage_error', seq) FILTER (type IN ('stage_start', 'stage_error')), false) AS is_failed FROM staged GROUP BY run_id"""
+oracle("run_state", "staged", _state)
+oracle("run_state_stream", "staged", _state)
+oracle("run_messages", "progress", "SELECT run_id, seq, type, 'm' || k AS message FROM progress WHERE type IN ('stage_error', 'warning')")
+oracle(
+    "spend_alerts_stream", "progress",
+    """SELECT run_id, round(max(cost), 6) AS spent_usd, 0.1 AS budget_usd, CASE WHEN max(cost) / 0.1 > 1 THEN 'error' WHEN max(cost) / 0.1 > 0.8 THEN 'warning' ELSE 'ok' END AS level
+       FROM progress WHERE type = 'cost_update' GROUP BY run_id""",
+)
+oracle(
+    "confidence_windows_stream", "words",
+    """SELECT video_id, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 SECOND * CAST(floor(start_s / 60) * 60 AS BIGINT) AS start_ts, count(*) AS n_words, round(avg(confidence), 6) AS confidence
+       FROM words GROUP BY 1, 2""",
+)
+oracle(
+    "captions_live", "words",
+    f"""SELECT video_id, round(min(start_s), 6) AS start_s, round(max(end_s), 6) AS end_s, count(*) AS n_words, {tighten("string_agg(word, ' ' ORDER BY pos)")} AS text FROM (
+         SELECT *, sum(CAST(opens AS INT)) OVER (PARTITION BY video_id ORDER BY pos) AS run FROM (
+           SELECT *, coalesce(start_s - lag(end_s) OVER (PARTITION BY video_id ORDER BY pos) > 0.5, true) AS opens FROM words)) GROUP BY video_id, run""",
+)
+oracle("distinct_words_stream", "words", "SELECT video_id, pos, word FROM words")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chapterflow.functions import text as T
@@ -44,7 +44,12 @@ def query(fn: Query) -> Query:
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    return df.select([F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select([six_digits(F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def six_digits(c: Column) -> Column:
+    """Half-up at six digits; the nudge keeps ties from hanging on summation order."""
+    return F.floor(c * 1e6 + 0.500001) / 1e6
 
 
 def _on_dirty(name: str, clean) -> None:
@@ -111,7 +116,7 @@ def time_formats(spark, sf_dir):
         M.human_duration(e * 7).alias("human"),
         M.eta(F.when(F.col("number") % 5 != 0, (e * 3))).alias("eta"),
         M.usd(F.floor(e) / 100).alias("usd"),
-        F.round(M.parse_clock(clock), 6).alias("parsed"),
+        six_digits(M.parse_clock(clock)).alias("parsed"),
         M.parse_clock(F.col("title")).alias("malformed"),
     )
 
@@ -317,7 +322,7 @@ def plan_blocks_default(spark, sf_dir):
 def merge_block_chapters(spark, sf_dir):
     plan = _block_plan(spark, sf_dir).select("video_id", "block", "start_s", "end_s")
     rows, _ = C.merge_block_chapters(X.block_chapters(spark, sf_dir, plan), plan)
-    return rows.select("video_id", "number", "block", F.round("start_s", 3).alias("start_s"), F.round("end_s", 3).alias("end_s"))
+    return rounded(rows.select("video_id", "number", "block", "start_s", "end_s"))
 
 
 @query
@@ -410,9 +415,9 @@ def chapter_metadata(spark, sf_dir):
     at = lambda p: F.get_json_object(j, f"$.{p}")
     return C.chapter_metadata(_published(spark, sf_dir)).select(
         "video_id", "number", at("title").alias("title"), at("slug").alias("slug"),
-        at("start_time").alias("start_time"), F.round(at("end_seconds").cast("double"), 6).alias("end_seconds"),
+        at("start_time").alias("start_time"), six_digits(at("end_seconds").cast("double")).alias("end_seconds"),
         at("summary").alias("summary"), F.coalesce(F.json_array_length(at("key_topics")), F.lit(0)).cast("long").alias("n_topics"),
-        F.round(at("confidence").cast("double"), 6).alias("confidence"),
+        six_digits(at("confidence").cast("double")).alias("confidence"),
     )
 
 
@@ -426,7 +431,7 @@ def chapter_manifest(spark, sf_dir):
         at("timing.word_count").cast("long").alias("word_count"),
         at("content.description").alias("description"),
         at("highlights[0].type").alias("first_highlight"),
-        F.round(at("confidence.content_coherence").cast("double"), 6).alias("coherence"),
+        six_digits(at("confidence.content_coherence").cast("double")).alias("coherence"),
     )
 
 
@@ -477,7 +482,7 @@ def parse_enrichments(spark, sf_dir):
     return ok.select(
         "video_id", "number", "description", F.size("key_concepts").cast("long").alias("n_concepts"),
         F.size("highlights").cast("long").alias("n_highlights"),
-        F.round("confidence.segmentation_score", 6).alias("segmentation_score"),
+        six_digits(F.col("confidence.segmentation_score")).alias("segmentation_score"),
     )
 
 
@@ -760,6 +765,6 @@ def distinct_words_stream(spark, sf_dir):
 def process_stage_stream(spark, sf_dir):
     """Cleaning as an incremental stage over arriving documents."""
     store = StageStore(spark, jobs.new_folder(spark, "stage"))
-    docs = jobs.read_stream(spark, sf_dir, "documents.parquet")
+    docs = X.dirty_from(jobs.read_stream(spark, sf_dir, "documents.parquet"))
     jobs.process_stage(docs, store, "clean", lambda b: b.select("doc_id", T.preprocess(F.col("text")).alias("text")))
     return store.load("clean").select("doc_id", "text")
