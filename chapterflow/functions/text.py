@@ -133,13 +133,21 @@ def remove_markers(c: Column) -> Column:
 def remove_repetitions(c: Column, max_repeats: int = 2) -> Column:
     """Runs of one token longer than ``max_repeats`` shrink to ``max_repeats``.
 
-    The run keeps the spelling of its first token. Up to ``max_repeats``
-    tokens in all leave the text untouched. The quantifiers are possessive,
-    so a run of any length is matched without recursion.
+    Every run, shrunk or not, is spelled like its first token. Up to
+    ``max_repeats`` tokens in all leave the text untouched. The quantifiers
+    are possessive, so a run of any length is matched without recursion.
     """
-    run = rf"(?iuU)(?<!{NON_SPACE})({NON_SPACE}++)(?:{SPACE}++\1(?!{NON_SPACE})){{{max_repeats},}}+"
+
+    def run(group: int, repeats: str) -> str:
+        return rf"(?<!{NON_SPACE})({NON_SPACE}++)(?:{SPACE}++\{group}(?!{NON_SPACE})){repeats}+"
+
     spaced = strip(_sub(c, rf"(?U){SPACE}+", " "))
-    shrunk = _sub(spaced, run, " ".join(["$1"] * max_repeats))
+    least = max(max_repeats, 2)
+    shrunk = _sub(spaced, "(?iuU)" + run(1, f"{{{least - 1},}}"), " ".join(["$1"] * max_repeats))
+    for n in range(2, max_repeats):
+        # Longer runs match first and stay (group 1); runs of exactly n are respelled.
+        either = f"(?iuU)({run(2, f'{{{n},}}')})|{run(3, f'{{{n - 1}}}')}"
+        shrunk = strip(collapse_blanks(_sub(shrunk, either, "$1" + " ".join(["$3"] * n))))
     more = rf"(?U)(?:{NON_SPACE}++{SPACE}++){{{max_repeats}}}{NON_SPACE}"
     return F.when(c.rlike(more), shrunk).otherwise(c)
 

@@ -388,7 +388,8 @@ def asr_responses(spark: SparkSession, sf_dir: str, dialect: str) -> DataFrame:
     elif dialect == "text":
         body = F.struct(F.concat(F.lit("  "), F.col("text")).alias("text"), F.size("toks").alias("n"))
     else:
-        starts = F.sequence(F.lit(0), F.greatest(F.size("toks") - 1, F.lit(0)), F.lit(12))
+        # "words" is named twice, so the optimizer computes it once and not per segment.
+        starts = F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(12))
         body = F.struct("text", F.transform(starts, lambda s: F.struct(F.slice("words", s + 1, 12).alias("words"))).alias("segments"))
     models = ["tiny", "large-v3", "other"]
     return cut.select(

@@ -196,7 +196,7 @@ def markers(c: str) -> str:
 def repetitions(c: str) -> str:
     """Over a table with columns text_in, t (tokens) and l (lower tokens)."""
     kept = "list_filter(range(1, len(t) + 1), lambda i: NOT coalesce(l[i] = l[i - 1] AND l[i] = l[i - 2] AND i > 2, false))"
-    word = "CASE WHEN i > 1 AND l[i] = l[i - 1] AND coalesce(l[i + 1] = l[i], false) THEN t[i - 1] ELSE t[i] END"
+    word = "CASE WHEN i > 1 AND l[i] = l[i - 1] THEN t[i - 1] ELSE t[i] END"
     return f"CASE WHEN len(t) <= 2 THEN {c} ELSE array_to_string(list_transform({kept}, lambda i: {word}), ' ') END"
 
 
@@ -437,7 +437,7 @@ oracle(
 oracle(
     "transcript_stats", "transcripts",
     """SELECT video_id, n_words AS word_count, n_words > 0 AS has_word_timestamps,
-       CASE WHEN n_words > 0 THEN round(duration_s / n_words, 4) ELSE 0 END AS seconds_per_word FROM transcripts""",
+       CASE WHEN n_words > 0 THEN CAST(round(CAST(CAST(duration_s / n_words AS VARCHAR) AS DECIMAL(38, 20)), 4) AS DOUBLE) ELSE 0 END AS seconds_per_word FROM transcripts""",
 )
 
 # --- chunks and media -------------------------------------------------------
@@ -804,7 +804,7 @@ def ingest_sql(confidence: str, duration: str, last_conf: str, words: bool = Tru
       NULL AS error, {last}, {last_conf} AS last_confidence FROM tok k"""
 
 
-cte("mean_conf", "SELECT video_id, floor(avg(confidence) * 10000 + 0.500001) / 10000 AS m FROM words GROUP BY 1", "words")
+cte("mean_conf", "SELECT video_id, CAST(round(CAST(CAST(sum(confidence ORDER BY pos) / count(*) AS VARCHAR) AS DECIMAL(38, 20)), 4) AS DOUBLE) AS m FROM words GROUP BY 1", "words")
 oracle("ingest_asr_seconds", "tok words mean_conf", ingest_sql("coalesce((SELECT m FROM mean_conf c WHERE c.video_id = k.video_id), 1)", _duration, _last_conf))
 oracle("ingest_asr_millis", "tok words", ingest_sql("1", _duration, _last_conf))
 oracle("ingest_asr_text", "tok", ingest_sql("1", "0", "NULL", words=False, chars=f"length({_strip('text')})"))
