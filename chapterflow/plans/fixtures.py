@@ -17,7 +17,14 @@ PROVIDERS = ["groq", "assemblyai", "openai", "mlx-whisper"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table, spread over the cores where it has fewer splits than cores.
+
+    Rows grow manifold when texts become words, and a file of one row group
+    would leave all of that to one task. Tables of many files are left alone.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def _tokens(c: Column) -> Column:
