@@ -145,8 +145,8 @@ def reassembled_words(
     base = counts.select(*ck, (F.col("upto") - F.col("n")).alias("base"))
     if overlap == "best":
         # Dropped copies leave holes in the chunk's own numbering.
-        local = F.row_number().over(blocks.Window.partitionBy(*ck).orderBy("pos")) - 1
-        placed = placed.withColumn("pos", local.cast("long"))
+        placed = blocks.add_index(blocks.spread(placed, ck, "pos", 65536), ck, ["pos"], "__n")
+        placed = placed.withColumn("pos", F.col("__n") - 1).drop("__n", blocks.BLOCK)
     return placed.join(base, ck).withColumn("pos", F.col("base") + F.col("pos")).drop("base")
 
 

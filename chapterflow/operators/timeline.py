@@ -44,13 +44,13 @@ def captions(
     word, as the original writer did.
     """
     k = list(keys)
-    cols = words.select(*k, "pos", "word", "start_s", "end_s").filter(T.strip(F.col("word")) != "")
-    rows = blocks.spread(cols, k, "pos", block_words)
+    ends = F.col("word").rlike(SENTENCE_ENDS).alias("ends")
+    spoken = words.filter(F.col("word").rlike(rf"(?U){T.NON_SPACE}")).select(*k, "pos", "word", "start_s", "end_s", ends)
+    rows = blocks.spread(spoken, k, "pos", block_words)
     along = blocks.block_window(k, "pos")
-    ends = F.col("word").rlike(SENTENCE_ENDS)
-    breaks = F.lag(ends).over(along) | (F.col("start_s") - F.lag("end_s").over(along) > gap_s)
+    breaks = F.lag("ends").over(along) | (F.col("start_s") - F.lag("end_s").over(along) > gap_s)
     local = rows.select(
-        "*", ends.alias("ends"), F.row_number().over(along).cast("long").alias("r"), breaks.alias("breaks")
+        "*", F.row_number().over(along).cast("long").alias("r"), breaks.alias("breaks")
     ).withColumn("run", F.max(F.when(F.col("breaks"), F.col("r"))).over(blocks.so_far(k, "pos")))
 
     # One row per block: its size, its first and last break, the captions
@@ -95,22 +95,15 @@ def captions(
         ((i - run) % max_words == 0).alias("opens"), (i == F.col("total")).alias("final"),
     )
     cue = F.col("cues") + F.sum(F.col("opens").cast("long")).over(blocks.so_far(k, "pos"))
-    placed = placed.select(*k, BLOCK, "word", "start_s", "end_s", "ends", "i", "final", cue.alias("cue"))
+    placed = placed.select(*k, "word", "start_s", "end_s", "ends", "i", "final", cue.alias("cue"))
 
-    # Fragments stay inside a block (no shuffle); those cut by a border meet after.
-    fragments = placed.groupBy(*k, BLOCK, "cue").agg(
+    # Combines map-side: only captions cut by a block border really merge after the shuffle.
+    caps = placed.groupBy(*k, "cue").agg(
         F.min_by("start_s", "i").alias("start_s"),
         F.max_by("end_s", "i").alias("end_s"),
         F.max_by("ends", "i").alias("ends"),
         F.max("final").alias("final"),
-        F.collect_list(F.struct("i", "word")).alias("words"),
-    )
-    caps = fragments.groupBy(*k, "cue").agg(
-        F.min_by("start_s", BLOCK).alias("start_s"),
-        F.max_by("end_s", BLOCK).alias("end_s"),
-        F.max_by("ends", BLOCK).alias("ends"),
-        F.max("final").alias("final"),
-        F.array_sort(F.flatten(F.collect_list("words"))).alias("words"),
+        F.array_sort(F.collect_list(F.struct("i", "word"))).alias("words"),
     )
     n_words = F.size("words").cast("long")
     if legacy_duplicate_tail:

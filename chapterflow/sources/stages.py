@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``).
 
-    A session without one, as in tests, gets a temporary folder of its own.
+    A local session without one, as in tests, gets a temporary folder of its
+    own; on a cluster a machine-local folder would be lost to the others.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all machines share")
         found = tempfile.mkdtemp(prefix="chapterflow-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
