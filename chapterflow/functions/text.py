@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 # white space plus the four ASCII separators.
 SPACE = r"[\s\x1c-\x1f]"
 NON_SPACE = r"[^\s\x1c-\x1f]"
+WHITE = (
+    "\x09\x0a\x0b\x0c\x0d\x1c\x1d\x1e\x1f\x20\x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 # --- fixed values -----------------------------------------------------------
 # Literal six-character escapes found in recogniser output.
@@ -80,7 +84,7 @@ def _sub(c: Column, pattern: str, replacement: str) -> Column:
 
 def strip(c: Column) -> Column:
     """Trim every kind of white space at both ends (``trim`` drops blanks only)."""
-    return _sub(c, rf"(?U)\A{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def collapse_blanks(c: Column) -> Column:
@@ -143,10 +147,10 @@ def remove_repetitions(c: Column, max_repeats: int = 2) -> Column:
 
     spaced = strip(_sub(c, rf"(?U){SPACE}+", " "))
     least = max(max_repeats, 2)
-    shrunk = _sub(spaced, "(?iuU)" + run(1, f"{{{least - 1},}}"), " ".join(["$1"] * max_repeats))
+    shrunk = _sub(spaced, "(?iu)" + run(1, f"{{{least - 1},}}"), " ".join(["$1"] * max_repeats))
     for n in range(2, max_repeats):
         # Longer runs match first and stay (group 1); runs of exactly n are respelled.
-        either = f"(?iuU)({run(2, f'{{{n},}}')})|{run(3, f'{{{n - 1}}}')}"
+        either = f"(?iu)({run(2, f'{{{n},}}')})|{run(3, f'{{{n - 1}}}')}"
         shrunk = strip(collapse_blanks(_sub(shrunk, either, "$1" + " ".join(["$3"] * n))))
     more = rf"(?U)(?:{NON_SPACE}++{SPACE}++){{{max_repeats}}}{NON_SPACE}"
     return F.when(c.rlike(more), shrunk).otherwise(c)
