@@ -143,7 +143,8 @@ def remove_repetitions(c: Column, max_repeats: int = 2) -> Column:
     """
 
     def run(group: int, repeats: str) -> str:
-        return rf"(?<!{NON_SPACE})({NON_SPACE}++)(?:{SPACE}++\{group}(?!{NON_SPACE})){repeats}+"
+        # Tokens are one blank apart by now.
+        return rf"(?<![^ ])([^ ]++)(?: \{group}(?![^ ])){repeats}+"
 
     spaced = strip(_sub(c, rf"(?U){SPACE}+", " "))
     least = max(max_repeats, 2)
