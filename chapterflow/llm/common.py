@@ -9,13 +9,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+import pyarrow.ipc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chapterflow.sources.stages import shared_folder
 
-BLOCK_SCHEMA = "block bigint, ids array<bigint>, sizes array<bigint>, payload binary"
+BLOCK_SCHEMA = "block bigint, ids array<bigint>, sizes array<bigint>, payload binary, rest binary"
 
 
 class Scratch:
@@ -46,23 +47,26 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def blocks(docs: DataFrame, block_bytes: int = 8 << 20) -> DataFrame:
-    """(doc_id, text) rows packed by the scanning tasks into compressed blocks.
+def blocks(docs: DataFrame, block_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """Documents packed by the scanning tasks into compressed blocks.
 
     A block holds whole documents, up to ``block_bytes`` of text or one longer
     document, so later steps move few compressed rows and meet corpus-wide
-    facts block by block. Rows keep their order; null and repeated ids stay.
-    Store the result before using it twice.
+    facts block by block. Rows keep their order; null and repeated ids stay;
+    a null text is empty. ``carry`` adds the whole rows but for the text, for
+    ``restored``. Store the result before using it twice.
     """
+    others = [c for c in docs.columns if c != text_col] if carry else []
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze, part, count = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId(), 0
         ids: list = []
         parts: list[bytes] = []
+        rows: list[pa.RecordBatch] = []
         held = 0
 
         def row() -> pa.RecordBatch:
-            nonlocal ids, parts, held, count
+            nonlocal ids, parts, rows, held, count
             count += 1
             out = pa.record_batch(
                 {
@@ -70,23 +74,42 @@ def blocks(docs: DataFrame, block_bytes: int = 8 << 20) -> DataFrame:
                     "ids": pa.array([ids], pa.list_(pa.int64())),
                     "sizes": pa.array([[len(x) for x in parts]], pa.list_(pa.int64())),
                     "payload": pa.array([squeeze.compress(b"".join(parts))], pa.binary()),
+                    "rest": pa.array([_packed(rows) if others else None], pa.binary()),
                 }
             )
-            ids, parts, held = [], [], 0
+            ids, parts, rows, held = [], [], [], 0
             return out
 
         for batch in batches:
-            for i, text in zip(batch.column(0), batch.column(1), strict=True):
+            begun = 0
+            for at, (i, text) in enumerate(zip(batch.column(0), batch.column(1), strict=True)):
                 data = text.as_buffer().to_pybytes() if text.is_valid else b""
                 if ids and held + len(data) > block_bytes:
+                    rows.append(batch.slice(begun, at - begun))
+                    begun = at
                     yield row()
                 ids.append(i.as_py())
                 parts.append(data)
                 held += len(data)
+            rows.append(batch.slice(begun))
         if ids:
             yield row()
 
-    return docs.select("doc_id", "text").mapInArrow(pack, BLOCK_SCHEMA)
+    def _packed(rows: list[pa.RecordBatch]) -> bytes:
+        table = pa.Table.from_batches(rows).drop_columns(["_id", "_text"])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(table.combine_chunks())
+        return sink.getvalue().to_pybytes()
+
+    return docs.select(F.col(id_col).cast("bigint").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), *others).mapInArrow(pack, BLOCK_SCHEMA)
+
+
+def restored(rest: bytes, names: list[str], text_col: str, texts: list, only: np.ndarray | None = None) -> pa.Table:
+    """The rows of a block made with ``carry``, with new texts, in the order of ``names``."""
+    table = pa.ipc.open_stream(rest).read_all()
+    table = table.append_column(text_col, pa.array(texts, pa.string())).select(names)
+    return table if only is None else table.filter(pa.array(only))
 
 
 def unpack(ids: pa.Scalar, sizes: pa.Scalar, payload: pa.Scalar) -> tuple[list, np.ndarray, bytes]:

@@ -66,10 +66,14 @@ def repeated_words(hashes: str, windows: str, width: int = 8) -> Column:
     )
 
 
-def statistics(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep: list[str] | None = None) -> DataFrame:
-    """(row, group columns, counts, base_failed, x_*): the columns in ``keep`` (default: all) go into the struct ``row``."""
+def statistics(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep: list[str] | None = None, full: bool = False) -> DataFrame:
+    """(row, group columns, counts, base_failed, x_*): the columns in ``keep`` (default: all) go into the struct ``row``.
+
+    ``full`` adds n_marks and n_distinct, the number of different words.
+    """
     columns = docs.columns if keep is None else keep
     text = F.coalesce(F.col(text_col), F.lit(""))
+    more = [_count(text, "^!?.,;:").alias("n_marks")] if full else []
     cut = docs.select(
         F.struct(*[F.col(c) for c in columns]).alias("row"),
         F.col(lang_col).alias("g_lang"),
@@ -78,6 +82,7 @@ def statistics(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
         F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
         _count(text, "^#*$%&|<>").alias("n_symbols"),
         _count(text, r"^\p{Lu}").alias("n_upper"),
+        *more,
     )
     hashed = cut.withColumns(
         {
@@ -87,6 +92,7 @@ def statistics(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
             "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint"),
             "hashes": F.transform("words", lambda w: F.xxhash64(w)),
         }
+        | ({"n_distinct": F.size(F.array_distinct("words")).cast("bigint")} if full else {})
     ).drop("words", "lines")
     windows = hashed.withColumn("windows", F.expr("CASE WHEN size(hashes) < 8 THEN array() ELSE transform(sequence(1, size(hashes) - 7), i -> xxhash64(slice(hashes, i, 8))) END"))
     counted = windows.withColumn("n_repeat_words", repeated_words("hashes", "windows")).drop("hashes", "windows")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chapterflow.llm import bpe, outliers, sequences, token_counts
+from chapterflow.llm import bpe, context_tree, discriminant, outliers, sequences, token_counts
 from chapterflow.llm.common import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,21 @@ def op6_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.read_documents(spark, folder).select(
         "doc_id", "start", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
     )
+
+
+@query
+def op3_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base score and context-tree score of every document."""
+    return context_tree.scores(documents(spark, sf_dir), Scratch(spark, "op3"), folds=7, fold=2)
+
+
+@query
+def op10_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learnt from the labels outside the held-out third."""
+    scratch = Scratch(spark, "op10")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    rows = scratch.store("features", discriminant.features(documents(spark, sf_dir))).withColumn("held_out", held_out)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    model = discriminant.fit(rows.where(~F.col("held_out")).join(labels, "doc_id"), "quality")
+    scored = discriminant.scored(rows, model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

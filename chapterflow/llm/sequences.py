@@ -36,8 +36,6 @@ from chapterflow.llm.fragments import Memo, tokenizer
 
 MANIFEST = "part int, ids_file string, docs_file string, n_docs bigint, n_ids bigint"
 DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
-#: Sequences in a record batch.
-BATCH_ROWS = 128
 
 
 def _place(uri: str) -> tuple[fs.FileSystem, str]:
@@ -47,16 +45,16 @@ def _place(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.LocalFileSystem(), re.sub("^file:", "", uri)
 
 
-def ids_schema(width: np.dtype, length: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(width), length)), ("mask", pa.list_(pa.bool_(), length))])
+def ids_schema(width: np.dtype, length: int, batch_rows: int) -> pa.Schema:
+    return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(width), length)), ("mask", pa.list_(pa.bool_(), length))], {"batch_rows": str(batch_rows)})
 
 
 class SequenceWriter:
     """Appends ids of documents; holds one record batch at most."""
 
-    def __init__(self, uri: str, width: np.dtype, length: int):
+    def __init__(self, uri: str, width: np.dtype, length: int, batch_rows: int):
         place, path = _place(uri)
-        self.schema, self.width, self.length, self.step = ids_schema(width, length), width, length, length * BATCH_ROWS
+        self.schema, self.width, self.length, self.step = ids_schema(width, length, batch_rows), width, length, length * batch_rows
         self.sink = place.open_output_stream(path)
         self.out = ipc.new_file(self.sink, self.schema)
         self.held, self.size = [], 0
@@ -94,7 +92,8 @@ class SequenceFile:
         self.source = pa.memory_map(path) if isinstance(place, fs.LocalFileSystem) else place.open_input_file(path)
         self.file = ipc.open_file(self.source)
         self.length = self.file.schema.field("ids").type.list_size
-        self.step = self.length * BATCH_ROWS
+        self.rows = int(self.file.schema.metadata[b"batch_rows"])
+        self.step = self.length * self.rows
 
     def batch(self, k: int, column: str = "ids") -> np.ndarray:
         """All values of record batch k in a row; ids are a view."""
@@ -103,11 +102,11 @@ class SequenceFile:
 
     def sequence(self, k: int) -> np.ndarray:
         """Sequence k: a view."""
-        return self.batch(k // BATCH_ROWS)[k % BATCH_ROWS * self.length :][: self.length]
+        return self.batch(k // self.rows)[k % self.rows * self.length :][: self.length]
 
     def mask(self, k: int) -> np.ndarray:
         """True where sequence k holds an id, not padding."""
-        return self.batch(k // BATCH_ROWS, "mask")[k % BATCH_ROWS * self.length :][: self.length]
+        return self.batch(k // self.rows, "mask")[k % self.rows * self.length :][: self.length]
 
     def slice(self, start: int, n: int) -> np.ndarray:
         """n ids from a position on: a view unless they cross record batches."""
@@ -122,7 +121,7 @@ class SequenceFile:
 
 
 def write_sequences(
-    docs: DataFrame, path: str, folder: str, length: int = 2048, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, path: str, folder: str, length: int = 2048, end_id: int = 2, batch_rows: int = 128, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Encode all texts and write them below ``folder``; returns the manifest, one row a file.
 
@@ -142,7 +141,7 @@ def write_sequences(
             if ids_out is None:
                 place, at = _place(folder)
                 place.create_dir(at, recursive=True)
-                ids_out = SequenceWriter(names[0], width, length)
+                ids_out = SequenceWriter(names[0], width, length, batch_rows)
                 place, at = _place(names[1])
                 docs_sink = place.open_output_stream(at)
                 docs_out = ipc.new_file(docs_sink, DOCS)

@@ -88,10 +88,9 @@ def test_sequences(spark, sf_dir, word):
     assert {tuple(r) for r in queries.op6_sequences(spark, sf_dir).collect()} == want
 
 
-def test_sequence_files(spark, tmp_path, word, monkeypatch):
-    monkeypatch.setattr(sequences, "BATCH_ROWS", 2)
+def test_sequence_files(spark, tmp_path, word):
     folder = f"file://{tmp_path}/out"
-    manifest = sequences.write_sequences(frame(spark, AWKWARD).coalesce(1), queries.WORD_BPE, folder, length=16).collect()
+    manifest = sequences.write_sequences(frame(spark, AWKWARD).coalesce(1), queries.WORD_BPE, folder, length=16, batch_rows=2).collect()
     rows = sorted(AWKWARD, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     stream = [i for _, t in rows for i in [*ids_of(word, t), 2]]
     found = []
