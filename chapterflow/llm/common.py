@@ -132,3 +132,43 @@ def lowered(data: bytes) -> bytes:
 
 
 _LOWER = bytes(range(256)).lower()
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """One table for each run of rows with equal integer keys; rows must be sorted by them."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        values = np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in keys])
+        cuts = [0, *(np.flatnonzero((values[:, 1:] != values[:, :-1]).any(axis=0)) + 1).tolist(), b.num_rows]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            key = tuple(values[:, lo].tolist())
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(lo, hi - lo))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def stars(batches: Iterator[pa.RecordBatch], key: str, node: str) -> Iterator[pa.RecordBatch]:
+    """(a, b): every row's node and the first node of its key, where they differ.
+
+    Rows come sorted by key and node; one row is kept between batches, so a
+    key may have any number of rows.
+    """
+    last_key = first_node = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k, v = batch.column(key).to_numpy(), batch.column(node).to_numpy()
+        new = np.concatenate([[last_key is None or k[0] != last_key], k[1:] != k[:-1]])
+        at = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
+        first = np.where(at >= 0, v[np.maximum(at, 0)], first_node if first_node is not None else 0)
+        last_key, first_node = k[-1], first[-1]
+        differ = first != v
+        pairs = np.unique(np.stack([v[differ], first[differ]], axis=1), axis=0)
+        yield pa.record_batch({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})

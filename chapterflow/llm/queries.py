@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chapterflow.llm import bpe, context_tree, discriminant, outliers, sequences, token_counts
+from chapterflow.llm import bpe, context_tree, decontaminate, discriminant, jaccard, outliers, sequences, token_counts
 from chapterflow.llm.common import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,16 @@ def op10_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = discriminant.fit(rows.where(~F.col("held_out")).join(labels, "doc_id"), "quality")
     scored = discriminant.scored(rows, model)
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every leak: document, benchmark item, places and edits. Clean documents have no row."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.contaminated(documents(spark, sf_dir), benchmark)
+
+
+@query
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document by links of three-word shingle sets at 0.9."""
+    return jaccard.groups(documents(spark, sf_dir), Scratch(spark, "op5"), 3, 9, 10).drop("node")
