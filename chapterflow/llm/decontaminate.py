@@ -34,6 +34,8 @@ Q, WINDOW, SHARE = 8, 120, 0.1
 BATCH_BYTES = 8 << 20
 #: Normalised bytes that a task looks at together.
 PIECE = 4 << 20
+#: Shared q-grams that are counted at once.
+HITS = 2 << 20
 MATCHES = "doc_id bigint, item_id bigint, item_start bigint, start bigint, end bigint, edits int"
 _OTHER = re.compile(r"[\W_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -43,14 +45,14 @@ def normalised(text: str) -> bytes:
     return _OTHER.sub(" ", text.lower()).strip().encode()
 
 
-def windows(items: list[tuple[int, bytes]]) -> list[tuple[int, int, bytes]]:
-    """(item, start, bytes): windows over each item, the last one flush with its end."""
-    out = []
-    for i, b in items:
+def windows(items: list[tuple[int, bytes]]) -> dict[bytes, list[tuple[int, int]]]:
+    """Windows over the items, the last one flush with an item's end; each with the items that have it, and its first place there."""
+    out: dict[bytes, dict[tuple[int, int], int]] = {}
+    for k, (i, b) in enumerate(items):
         last = max(0, len(b) - WINDOW)
-        starts = sorted({*range(0, last, WINDOW // 2), last})
-        out += [(i, s, b[s : s + WINDOW]) for s in starts if len(b) >= Q]
-    return out
+        for s in sorted({*range(0, last, WINDOW // 2), last}) if len(b) >= Q else ():
+            out.setdefault(b[s : s + WINDOW], {}).setdefault((k, i), s)
+    return {w: [(i, s) for (_, i), s in x.items()] for w, x in out.items()}
 
 
 def budget(m: int) -> int:
@@ -104,9 +106,11 @@ class Index:
     BITS = 22
 
     def __init__(self, items: list[tuple[int, bytes]]):
-        self.windows = windows(items)
-        self.edits = np.array([budget(len(w)) for _, _, w in self.windows], np.int64)
-        lists = [grams(w) for _, _, w in self.windows]
+        found = windows(items)
+        self.windows, self.owners = list(found), list(found.values())
+        self.edits = np.array([budget(len(w)) for w in self.windows], np.int64)
+        self.sizes = np.array([len(w) for w in self.windows], np.int64)
+        lists = [grams(w) for w in self.windows]
         gram = np.concatenate(lists) if lists else np.zeros(0, np.uint64)
         owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
         place = np.concatenate([np.arange(len(x)) for x in lists]) if lists else np.zeros(0, np.int64)
@@ -128,23 +132,30 @@ class Index:
         true = self.gram[slot] == gram[at] if len(self.gram) else np.zeros(0, bool)
         at, slot = at[true], slot[true]
         n = self.count[slot]
-        posting = np.repeat(self.first[slot] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        owner = self.owner[posting]
-        half = (np.repeat(at, n) - self.place[posting] + WINDOW) // (self.edits[owner] + 1)
-        key, hits = np.unique((owner << 34) | half, return_counts=True)
+        pieces = np.searchsorted(np.cumsum(n), np.arange(0, n.sum(), HITS), side="right").tolist()
+        keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for lo, hi in zip(pieces, [*pieces[1:], len(n)], strict=False):
+            some = n[lo:hi]
+            posting = np.repeat(self.first[slot[lo:hi]] - np.cumsum(some) + some, some) + np.arange(some.sum())
+            owner = self.owner[posting]
+            half = (np.repeat(at[lo:hi], some) - self.place[posting] + WINDOW) // (self.edits[owner] + 1)
+            key, hits = np.unique((owner << 34) | half, return_counts=True)
+            keys.append(key)
+            counts.append(hits)
+        key, where = np.unique(np.concatenate(keys), return_inverse=True)
+        hits = np.bincount(where, weights=np.concatenate(counts), minlength=len(key))
         both = np.concatenate([key, key - 1])  # a hit counts for the band that starts at its half and for the one before
         band, where = np.unique(both, return_inverse=True)
         total = np.bincount(where, weights=np.concatenate([hits, hits]), minlength=len(band))
         owner = band >> 34
-        size = np.array([len(w) for _, _, w in self.windows], np.int64)[owner]
-        for b in band[total >= size + 1 - (self.edits[owner] + 1) * Q].tolist():
+        for b in band[total >= self.sizes[owner] + 1 - (self.edits[owner] + 1) * Q].tolist():
             yield b >> 34, b & ((1 << 34) - 1)
 
     def matches(self, data: bytes) -> set[tuple[int, int, int, int]]:
         """(window, start, end, edits) of every verified region."""
         found = set()
         for w, band in self.regions(data):
-            window, e = self.windows[w][2], int(self.edits[w])
+            window, e = self.windows[w], int(self.edits[w])
             low = band * (e + 1) - WINDOW
             begin = max(0, low - e)
             region = data[begin : low + 3 * e + 2 + len(window)]
@@ -168,8 +179,7 @@ def _found(items: list[tuple[int, bytes]]):
                     k = int(np.searchsorted(ends, start, side="right"))
                     before = int(ends[k - 1]) if k else 0
                     if end < ends[k]:
-                        item, at, _ = index.windows[w]
-                        out.append((held[k][0], item, at, start - before, end - before, edits))
+                        out.extend((held[k][0], item, at, start - before, end - before, edits) for item, at in index.owners[w])
 
             held, size = [], 0
             for i, t in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):

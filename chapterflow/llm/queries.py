@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chapterflow.llm import bpe, context_tree, decontaminate, discriminant, jaccard, outliers, sequences, token_counts
+from chapterflow.llm import bpe, context_tree, decontaminate, discriminant, fuzzy_lines, jaccard, outliers, sequences, token_counts
 from chapterflow.llm.common import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,11 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every document by links of three-word shingle sets at 0.9."""
     return jaccard.groups(documents(spark, sf_dir), Scratch(spark, "op5"), 3, 9, 10).drop("node")
+
+
+@query
+def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest, size and lines of every text after fuzzy line dedup."""
+    left = fuzzy_lines.deduplicated(documents(spark, sf_dir).select("doc_id", "text"), Scratch(spark, "op7"))
+    n_lines = F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n")))
+    return left.select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), n_lines.cast("bigint").alias("n_lines"), F.sha2("text", 256).alias("text_sha256"))
