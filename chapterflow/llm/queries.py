@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chapterflow.llm import bpe, context_tree, decontaminate, discriminant, fuzzy_lines, jaccard, outliers, sequences, token_counts
+import corpus_pipeline
+from chapterflow.llm import bpe, context_tree, decontaminate, discriminant, fuzzy_lines, jaccard, outliers, sequences, suffix_dedup, token_counts
 from chapterflow.llm.common import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +101,17 @@ def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = fuzzy_lines.deduplicated(documents(spark, sf_dir).select("doc_id", "text"), Scratch(spark, "op7"))
     n_lines = F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n")))
     return left.select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), n_lines.cast("bigint").alias("n_lines"), F.sha2("text", 256).alias("text_sha256"))
+
+
+@query
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is removed from every text, and the digest of what is kept."""
+    left = suffix_dedup.deduplicated(documents(spark, sf_dir), Scratch(spark, "op9"))
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return left.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline over all documents."""
+    return corpus_pipeline.run(spark, sf_dir)
