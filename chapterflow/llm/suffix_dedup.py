@@ -120,7 +120,9 @@ def _segments(left: pa.Table, right: pa.Table) -> pa.Table:
                 key = (int(lo[k + x]), int(hi[k + x]), cut[x].tobytes())
                 known = key in seen
                 seen.add(key)
-                for column, v in zip(out, (gram[k + x], doc[k + x], block, row[k + x], at[k + x] - begin[k + x], key[0], key[1], None if known else key[2]), strict=True):
+                # a covered row has nothing to meet: it is dealt by its place, not with its gram
+                to = hash((block, int(at[k + x]))) if known else gram[k + x]
+                for column, v in zip(out, (to, doc[k + x], block, row[k + x], at[k + x] - begin[k + x], key[0], key[1], None if known else key[2]), strict=True):
                     column.append(v)
     kinds = [pa.int64()] * 5 + [pa.int32(), pa.int32(), pa.binary()]
     return pa.table([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["gram", "doc", "block", "row", "place", "lo", "hi", "segment"])
