@@ -105,11 +105,10 @@ def blocks(docs: DataFrame, block_bytes: int = 8 << 20, id_col: str = "doc_id",
     return docs.select(F.col(id_col).cast("bigint").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), *others).mapInArrow(pack, BLOCK_SCHEMA)
 
 
-def restored(rest: bytes, names: list[str], text_col: str, texts: list, only: np.ndarray | None = None) -> pa.Table:
+def restored(rest: bytes, names: list[str], text_col: str, texts: pa.Array) -> pa.Table:
     """The rows of a block made with ``carry``, with new texts, in the order of ``names``."""
     table = pa.ipc.open_stream(rest).read_all()
-    table = table.append_column(text_col, pa.array(texts, pa.string())).select(names)
-    return table if only is None else table.filter(pa.array(only))
+    return table.append_column(text_col, texts).select(names)
 
 
 def unpack(ids: pa.Scalar, sizes: pa.Scalar, payload: pa.Scalar) -> tuple[list, np.ndarray, bytes]:
