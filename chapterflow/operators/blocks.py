@@ -15,16 +15,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = "__block"
+#: Block of the rows whose order is null.
+UNORDERED = -(1 << 62)
 
 
 def cut(df: DataFrame, keys: list[str], order: Column | str, size: float) -> DataFrame:
-    """Number blocks of ``size`` order units; rows without a key or order drop out.
+    """Number blocks of ``size`` order units; rows without an order are a block before all others.
 
-    The null filter matters for reuse: joins infer it on one side only, and
-    two otherwise equal shuffles would differ by it.
+    Rows without a key belong to no sequence and drop out. The null filter
+    matters for reuse: joins infer it on one side only, and two otherwise
+    equal shuffles would differ by it.
     """
     order = F.col(order) if isinstance(order, str) else order
-    df = df.withColumn(BLOCK, F.floor(order / size))
+    df = df.withColumn(BLOCK, F.coalesce(F.floor(order / size).cast("long"), F.lit(UNORDERED)))
     return df.filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*keys, BLOCK)]))
 
 
@@ -86,23 +89,16 @@ def add_index(df: DataFrame, keys: list[str], order: list[Column | str], name: s
 
 
 def with_lag(
-    df: DataFrame, keys: list[str], order: str, size: int, dense: bool = False, **columns: Column
+    df: DataFrame, keys: list[str], order: str, size: int, **columns: Column
 ) -> DataFrame:
     """Spread ``df`` and add each expression's value on the key's previous row.
 
-    With ``dense`` order values (no holes inside a key) the predecessor of a
-    block's first row has a known position and is picked by a filter;
-    otherwise each block's last row is found by aggregation.
+    Order values may have holes: each block's last row is found by aggregation.
     """
     flat = cut(df, keys, order, size)
     rows = flat.repartition(*keys, BLOCK)
-    tails = [c.alias(f"__tail_{n}") for n, c in columns.items()]
-    if dense:
-        border = flat.filter(F.col(order) % size == size - 1)
-        rows = rows.join(border.select(*keys, (F.col(BLOCK) + 1).alias(BLOCK), *tails), [*keys, BLOCK], "left")
-    else:
-        items = {f"__tail_{n}": (F.max_by(c, F.col(order)), "last_before") for n, c in columns.items()}
-        rows = carry(rows, keys, source=flat, **items)
+    items = {f"__tail_{n}": (F.max_by(c, F.col(order)), "last_before") for n, c in columns.items()}
+    rows = carry(rows, keys, source=flat, **items)
     w = block_window(keys, order)
     first = F.row_number().over(w) == 1
     rows = rows.withColumns(

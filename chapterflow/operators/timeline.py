@@ -214,7 +214,7 @@ def word_order_issues(words: DataFrame, block_words: int = BLOCK_WORDS) -> DataF
     """Words that start before their predecessor ends."""
     w = words.select("video_id", "pos", "word", "start_s", "end_s")
     w = blocks.with_lag(
-        w, ["video_id"], "pos", block_words, dense=True, prev_word=F.col("word"), prev_end=F.col("end_s")
+        w, ["video_id"], "pos", block_words, prev_word=F.col("word"), prev_end=F.col("end_s")
     )
     message = F.format_string(
         "Word '%s' at %ss starts before '%s' ends at %ss",
@@ -225,7 +225,7 @@ def word_order_issues(words: DataFrame, block_words: int = BLOCK_WORDS) -> DataF
 
 def silences(words: DataFrame, gap_s: float, block_words: int = BLOCK_WORDS) -> DataFrame:
     w = words.select("video_id", "pos", "start_s", "end_s")
-    w = blocks.with_lag(w, ["video_id"], "pos", block_words, dense=True, prev_end=F.col("end_s"))
+    w = blocks.with_lag(w, ["video_id"], "pos", block_words, prev_end=F.col("end_s"))
     return w.filter(F.col("start_s") - F.col("prev_end") > gap_s).select(
         "video_id", F.col("prev_end").alias("start_s"), F.col("start_s").alias("end_s")
     )

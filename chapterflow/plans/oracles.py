@@ -674,9 +674,9 @@ oracle(
 
 # --- model answers ----------------------------------------------------------
 
-# Residues 3 and 4 are damaged: one chapter alone can be mended or cut out as
-# an object, several can only be scraped. Mending quotes bare keys, which
-# breaks texts that look like keys themselves.
+# Residues 3 and 4 are damaged: arrays are mended whole, one chapter alone can
+# also be cut out as an object. Mending quotes bare keys, which breaks texts
+# that look like keys themselves; those can only be scraped.
 cte(
     "answers",
     r"""SELECT video_id, video_id % 8 AS way, count(*) AS n, sum(number) AS total, max(number) AS last,
@@ -686,18 +686,18 @@ cte(
 cte(
     "parsed",
     """SELECT video_id, CASE way WHEN 0 THEN 'whole' WHEN 7 THEN 'whole' WHEN 5 THEN 'scraped'
-         WHEN 3 THEN CASE WHEN n = 1 THEN 'object' ELSE 'scraped' END
-         WHEN 4 THEN CASE WHEN n = 1 AND NOT keylike THEN 'mended' ELSE 'scraped' END
+         WHEN 3 THEN CASE WHEN n = 1 THEN 'object' WHEN NOT keylike THEN 'mended' ELSE 'scraped' END
+         WHEN 4 THEN CASE WHEN NOT keylike THEN 'mended' ELSE 'scraped' END
          ELSE CASE WHEN n = 1 THEN 'object' ELSE 'array' END END AS parse_stage,
-       CASE WHEN way IN (5, 7) OR way IN (3, 4) THEN 1 ELSE n END AS n_chapters,
-       CASE WHEN way IN (5, 7) THEN 1 WHEN way IN (3, 4) THEN last ELSE total END AS sum_number, way FROM answers""",
+       CASE WHEN way IN (5, 7) OR (way IN (3, 4) AND keylike) THEN 1 ELSE n END AS n_chapters,
+       CASE WHEN way IN (5, 7) THEN 1 WHEN way IN (3, 4) AND keylike THEN last ELSE total END AS sum_number, way FROM answers""",
     "answers",
 )
 oracle("parse_chapters", "parsed", "SELECT video_id, parse_stage, n_chapters, sum_number FROM parsed")
 oracle("validate_chapters", "parsed", "SELECT video_id, n_chapters FROM parsed WHERE way <> 5")
 oracle(
     "quarantined_responses", "",
-    r"""SELECT doc_id AS video_id, 'failed' AS parse_stage, left(regexp_replace(text, '[:{}\[\]]', '', 'g'), 500) AS raw_response FROM documents""",
+    r"""SELECT doc_id AS video_id, 'failed' AS parse_stage, regexp_replace(text, '[:{}\[\]]', '', 'g') AS raw_response FROM documents""",
 )
 cte("judged", """SELECT *, (video_id + number) % 5 AS way, list_transform(range(number % 3), lambda j: (types[(video_id + number + j) % 9 + 1] <> 'unheard-of')
        AND (imps[(video_id + number + j) % 4 + 1] <> 'unknown')) AS oks FROM enriched""", "enriched")

@@ -35,10 +35,10 @@ def _outermost(c: Column, left: str, right: str) -> Column:
 
 
 def _mended(c: Column) -> Column:
-    """Drop code fences, cut to the outer braces, drop trailing commas, quote bare keys."""
+    """Drop code fences, cut to the outer braces or brackets, whichever open first, drop trailing commas, quote bare keys."""
     c = F.regexp_replace(c, r"(?iU)```json\s*|\s*```", "")
-    c = F.regexp_replace(c, r"(?s)\A[^{]*(\{)", "$1")
-    c = F.regexp_replace(c, r"(?s)(\})[^}]*\z", "$1")
+    c = F.regexp_replace(c, r"(?s)\A[^{\[]*([{\[])", "$1")
+    c = F.regexp_replace(c, r"(?s)([}\]])[^}\]]*\z", "$1")
     c = F.regexp_replace(c, r"(?U),\s*([}\]])", "$1")
     return strip(F.regexp_replace(c, r"(?U)([{,]\s*)(\w+)(\s*:)", '$1"$2"$3'))
 
@@ -113,7 +113,7 @@ def parse_chapters(responses: DataFrame, array_mode: str = "all") -> tuple[DataF
         rows = F.when(F.col("parse_stage") == "array", F.slice(rows, 1, 1)).otherwise(rows)
     found = found.withColumn("__rows", rows)
     quarantine = found.filter(F.coalesce(F.size("__rows"), F.lit(0)) < 1).select(
-        "video_id", "parse_stage", F.substring("text", 1, 500).alias("raw_response")
+        "video_id", "parse_stage", F.col("text").alias("raw_response")
     )
     opened = found.select("video_id", "parse_stage", F.posexplode_outer("__rows").alias("__i", "__row"))
     parsed = opened.filter("__i is not null").select("video_id", "parse_stage", "__row.*")

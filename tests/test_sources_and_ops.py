@@ -4,6 +4,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from chapterflow.operators import blocks
 from chapterflow.operators import models as A
 from chapterflow.operators import ops as O
 from chapterflow.plans import fixtures as X
@@ -20,6 +21,7 @@ from chapterflow.streaming import jobs, live
         ('Aqui: {"number":1} fin', "object", 1),
         ('```json\n[{"number":1},{"number":2}]\n```', "array", 2),
         ("x {number:1, title:\"a\",} y", "mended", 1),
+        ('Vale: [{"number":1},{"number":2},] fin', "mended", 2),
         ('number: 1, title: "b"\n', "scraped", 1),
         ("nada", "failed", 0),
     ],
@@ -157,15 +159,28 @@ def test_stream_drops_repeated_words(spark, tmp_path):
     assert jobs.run_to_table(live.distinct_words_live(stream), "append", "d").count() == 20
 
 
-def test_late_words_are_dropped(spark, tmp_path):
-    def batch(seconds, name):
-        df = spark.createDataFrame([(1, float(s), 0.5) for s in seconds], "video_id long, start_s double, confidence double")
-        df.withColumn("ts", live.event_time(F.col("start_s"))).coalesce(1).write.mode("append").parquet(str(tmp_path / "late"))
-
-    batch([0, 1], "a")
-    batch([4000], "b")
-    batch([4010], "c")
-    batch([2], "d")
+def test_streams_of_many_files_equal_one_batch(spark, tmp_path):
+    rows = [(1, float(s), f"w{s}", 0.5) for s in (0, 1, 4000, 4010)] + [(2, float(s), f"v{s}", 0.25) for s in (2, 2, 70, 9000)] + [(3, 1.0, "u", 1.0)]
+    words = spark.createDataFrame(rows, "video_id long, start_s double, word string, confidence double").withColumn("ts", live.event_time(F.col("start_s")))
+    for part in (words.filter("start_s >= 4000"), words.filter("video_id = 2 and start_s < 4000"), words.filter("video_id = 1 and start_s < 4000"), words.filter("video_id = 3")):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "late"))  # the late times first
     stream = jobs.read_stream(spark, str(tmp_path / "late"), "*.parquet")
     out = jobs.run_to_table(live.confidence_windows_live(stream), "update", "c", keys=["video_id", "start_ts"])
-    assert sorted(r.n_words for r in out.collect()) == [2, 2]
+    want = live.confidence_windows_live(words)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
+    once = jobs.run_to_table(live.distinct_words_live(stream), "append", "d")
+    assert sorted((r.video_id, r.word) for r in once.collect()) == sorted({(v, w) for v, _, w, _ in rows})
+
+
+def test_rows_without_order_count(spark):
+    spend = spark.createDataFrame([("a", None, 5.0), ("a", 1, 0.5), ("a", 70_000, 0.7)], "run_id string, seq long, usd double")
+    rows = blocks.spread(spend, ["run_id"], "seq", 10)
+    got = blocks.add_running_sum(rows, ["run_id"], "seq", "total", F.col("usd")).collect()
+    assert {r.seq: round(r.total, 6) for r in got} == {None: 5.0, 1: 5.5, 70_000: 6.2}
+
+
+def test_predecessor_across_holes(spark):
+    words = spark.createDataFrame([("a", p, p * 1.0) for p in (0, 1, 5, 9, 30)], "video_id string, pos long, end_s double")
+    for size in (2, 4, 100):
+        got = blocks.with_lag(words, ["video_id"], "pos", size, prev=F.col("end_s")).collect()
+        assert {r.pos: r.prev for r in got} == {0: None, 1: 0.0, 5: 1.0, 9: 5.0, 30: 9.0}
