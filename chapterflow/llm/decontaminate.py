@@ -100,6 +100,34 @@ def banded(window: bytes, region: bytes, low: int, width: int, most: int) -> tup
     return (int(start[best]), int(ends[best]), int(cost[best])) if cost[best] <= most else None
 
 
+def places(window: bytes) -> dict[int, int]:
+    """For each byte, a bit for every place where the window has it."""
+    out: dict[int, int] = {}
+    for i, c in enumerate(window):
+        out[c] = out.get(c, 0) | 1 << i
+    return out
+
+
+def near(where: dict[int, int], m: int, region: bytes, most: int) -> bool:
+    """Is a window of m bytes within ``most`` edits of any part of the region? By a bit-parallel column of the distance table."""
+    full, top = (1 << m) - 1, 1 << (m - 1)
+    up, down, distance = full, 0, m
+    for c in region:
+        eq = where.get(c, 0)
+        xv = eq | down
+        xh = (((eq & up) + up) ^ up) | eq
+        ph, mh = down | (full & ~(xh | up)), up & xh
+        if ph & top:
+            distance += 1
+        elif mh & top:
+            distance -= 1
+            if distance <= most:
+                return True
+        ph, mh = (ph << 1) & full, (mh << 1) & full
+        up, down = mh | (full & ~(xv | ph)), ph & xv
+    return distance <= most
+
+
 class Index:
     """Postings of the windows' q-grams, sorted; a bit table screens most q-grams out."""
 
@@ -108,6 +136,7 @@ class Index:
     def __init__(self, items: list[tuple[int, bytes]]):
         found = windows(items)
         self.windows, self.owners = list(found), list(found.values())
+        self.places = [places(w) for w in self.windows]
         self.edits = np.array([budget(len(w)) for w in self.windows], np.int64)
         self.sizes = np.array([len(w) for w in self.windows], np.int64)
         lists = [grams(w) for w in self.windows]
@@ -160,7 +189,9 @@ class Index:
             begin = max(0, low - e)
             region = data[begin : low + 3 * e + 2 + len(window)]
             exact = region.find(window)
-            got = (exact, exact + len(window), 0) if exact >= 0 else banded(window, region, low - begin - e, 4 * e + 1, e)
+            got = (exact, exact + len(window), 0) if exact >= 0 else None
+            if got is None and e and near(self.places[w], len(window), region, e):  # the band is filled only where it can hold a match
+                got = banded(window, region, low - begin - e, 4 * e + 1, e)
             if got:
                 found.add((w, begin + got[0], begin + got[1], got[2]))
         return found
