@@ -12,8 +12,8 @@ deepest context that was seen in training.
 
 Corpus-wide counts are joined block by block: every block asks for the byte
 strings and words it holds, the counts of all training texts are summed by
-string, the trees are built level by level with joins, and each block gets
-back the values it asked for. What is gathered grows with the input, and
+string, the deep levels of the trees are built subtree by subtree and the
+levels above with joins, and each block gets back the values it asked for. What is gathered grows with the input, and
 nothing is broadcast.
 
 Defined cases: a null text is empty (its end alone); a null id counts as
@@ -31,12 +31,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chapterflow.llm.common import Scratch, blocks, lowered, unpacked
 
-DEPTH = 5
+DEPTH, TOP = 5, 3
+#: Strings of whole subtrees that a task works on at once.
+ROWS = 200_000
 END = b"\n"
 
 
@@ -101,50 +103,162 @@ def _words(folds: int, fold: int):
     return run
 
 
-def _log_gamma(x: Column) -> Column:
-    """ln of the gamma function for x > 0: Stirling's series at x + 8."""
+def _log_gamma(x, log=F.log):
+    """ln of the gamma function for x > 0, of a column or (with numpy's log) an array: Stirling's series at x + 8."""
     y = x + 8
     series = 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y)
     product = x
     for k in range(1, 8):
         product = product * (x + k)
-    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + series - F.log(product)
+    return (y - 0.5) * log(y) - y + 0.5 * math.log(2 * math.pi) + series - log(product)
+
+
+def _log_pe(zeros, ones, log=F.log):
+    """ln of the Krichevsky-Trofimov estimate of so many zeros and ones."""
+    return _log_gamma(zeros + 0.5, log) + _log_gamma(ones + 0.5, log) - _log_gamma(zeros + ones + 1, log) - math.log(math.pi)
 
 
 def _estimated(level: DataFrame) -> DataFrame:
     """Adds the estimate ``kt`` of bit 1, the weighted log probability, and the weight ``own`` of the node's estimate."""
     zeros, ones = F.col("n0").cast("double"), F.col("n1").cast("double")
-    out = level.withColumn("log_pe", _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - _log_gamma(zeros + ones + 1) - math.log(math.pi))
-    out = out.withColumn("kt", (ones + 0.5) / (zeros + ones + 1))
-    if "below" not in level.columns:  # the deepest contexts
-        return out.withColumn("log_pw", F.col("log_pe")).withColumn("own", F.lit(1.0))
+    out = level.withColumn("log_pe", _log_pe(zeros, ones)).withColumn("kt", (ones + 0.5) / (zeros + ones + 1))
     mixed = F.greatest("log_pe", "below") + F.log1p(F.exp(-F.abs(F.col("log_pe") - F.col("below")))) - math.log(2)
     return out.withColumn("log_pw", mixed).withColumn("own", F.exp(F.col("log_pe") - math.log(2) - F.col("log_pw")))
 
 
-def _decisions(strings: DataFrame) -> DataFrame:
-    """The eight decisions of each string: (context, node, bit)."""
-    steps = strings.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    return steps.selectExpr(
-        *[c for c in strings.columns],
-        "shiftright(string, 8) AS context",
-        "CAST(shiftleft(1, k) | shiftright(string & 255, 8 - k) AS INT) AS node",
-        "CAST(shiftright(string & 255, 7 - k) & 1 AS INT) AS bit",
-    )
+def _sums(values: np.ndarray, groups: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(groups, weights=values, minlength=n)
+
+
+class Subtrees:
+    """The nodes of one decision at depths ``top`` to ``depth``, for whole subtrees of contexts.
+
+    ``string`` and ``n`` come in order of context, latest byte first, and byte.
+    Levels run from the deepest up; ``parent`` tells the place of each node's
+    parent in the next level.
+    """
+
+    def __init__(self, ordered: np.ndarray, byte: np.ndarray, n: np.ndarray, k: int, depth: int, top: int):
+        self.bit = (byte >> (7 - k)) & 1
+        node = (1 << k) | (byte >> (8 - k))
+        new = np.concatenate([[True], np.diff(ordered >> (8 - k)) != 0])
+        self.leaf = np.cumsum(new) - 1
+        context, node = (ordered >> 8)[new], node[new]
+        size = len(node)
+        self.n0, self.n1 = [_sums(n * (1 - self.bit), self.leaf, size)], [_sums(n * self.bit, self.leaf, size)]
+        self.log_pe = [_log_pe(self.n0[0], self.n1[0], np.log)]
+        self.log_pw, self.own, self.parent = [self.log_pe[0]], [np.ones(size)], []
+        for _ in range(depth - top):
+            context = context >> 8
+            key, up = np.unique((context << 8) | node, return_inverse=True)
+            context, node = key >> 8, key & 255
+            n0, n1, below = (_sums(x[-1], up, len(key)) for x in (self.n0, self.n1, self.log_pw))
+            log_pe = _log_pe(n0, n1, np.log)
+            log_pw = np.logaddexp(log_pe, below) - math.log(2)
+            self.parent.append(up)
+            for held, x in zip((self.n0, self.n1, self.log_pe, self.log_pw, self.own), (n0, n1, log_pe, log_pw, np.exp(log_pe - math.log(2) - log_pw)), strict=True):
+                held.append(x)
+        self.context, self.node = context, node  # of the top level
+
+    def kt(self, level: int) -> np.ndarray:
+        return (self.n1[level] + 0.5) / (self.n0[level] + self.n1[level] + 1)
+
+    def predicted(self, done: np.ndarray, rest: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Probability of each string's bit, from the state of the path at the top level."""
+        for level in range(len(self.parent) - 1, -1, -1):
+            up, kt, own = self.parent[level], self.kt(level), self.own[level]
+            done, rest, last = done[up], rest[up], last[up]
+            last = np.where(self.n0[level] + self.n1[level] > 0, done + rest * kt, last)
+            done, rest = done + rest * own * kt, rest * (1 - own)
+        return np.where(self.bit == 1, last[self.leaf], 1 - last[self.leaf])
+
+
+def _turned(context: np.ndarray, depth: int) -> np.ndarray:
+    """The bytes of each context in reverse."""
+    out = np.zeros_like(context)
+    for k in range(depth):
+        out = (out << 8) | ((context >> (8 * k)) & 255)
+    return out
+
+
+def _whole_subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of at least ``ROWS`` rows (but the last) that hold all rows of each ``top`` in them; rows come sorted by it."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        if sum(x.num_rows for x in held) >= ROWS:
+            top, last = b.column("top").to_numpy(), held[-1].column("top")[-1].as_py()
+            cut = int(np.searchsorted(top, last, side="right"))  # what still belongs to the last subtree held
+            if cut < b.num_rows:
+                yield pa.Table.from_batches([*held, b.slice(0, cut)])
+                held, b = [], b.slice(cut)
+        held.append(b)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _decided(strings: pa.Table, depth: int, top: int) -> Iterator[tuple[np.ndarray, Subtrees]]:
+    """The order of the strings of whole subtrees, and the nodes of each of the eight decisions."""
+    string, n = strings.column("string").to_numpy(), strings.column("n").to_numpy()
+    ordered = (_turned(string >> 8, depth) << 8) | (string & 255)
+    order = np.argsort(ordered)
+    for k in range(8):
+        yield order, Subtrees(ordered[order], string[order] & 255, n[order], k, depth, top)
+
+
+def _tops(depth: int, top: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_subtrees(batches):
+            for _, t in _decided(table, depth, top):
+                columns = {"n0": t.n0[-1], "n1": t.n1[-1], "kt": t.kt(-1), "log_pw": t.log_pw[-1], "own": t.own[-1]}
+                yield pa.record_batch({"context": pa.array(_turned(t.context, top)), "node": pa.array(t.node, pa.int32()), **{c: pa.array(x, pa.float64()) for c, x in columns.items()}})
+
+    return run
+
+
+def _predicted(depth: int, top: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_subtrees(batches):
+            is_path = pa.compute.is_null(table.column("n"))
+            paths, strings = table.filter(is_path), table.filter(pa.compute.invert(is_path))
+            key = (paths.column("top").to_numpy() << 8) | paths.column("string").to_numpy()
+            by_key = np.argsort(key)
+            key = key[by_key]
+            state = [paths.column(c).to_numpy()[by_key] for c in ("done", "rest", "last")]
+            total = np.zeros(strings.num_rows)
+            order = np.zeros(0, np.int64)
+            for order, t in _decided(strings, depth, top):
+                at = np.searchsorted(key, (_turned(t.context, top) << 8) | t.node)
+                # the path at the top level has taken that level in already
+                total += np.log10(t.predicted(*(x[at] for x in state)))
+            yield pa.record_batch({"string": pa.array(strings.column("string").to_numpy()[order]), "log10_p": pa.array(total)})
+
+    return run
 
 
 def tree_predictions(totals: DataFrame, scratch: Scratch, depth: int) -> DataFrame:
-    """(string, log10_p): log probability of the string's last byte after the bytes before it."""
-    leaf = _decisions(totals).groupBy("context", "node").agg(F.sum(F.col("n") * (1 - F.col("bit"))).alias("n0"), F.sum(F.col("n") * F.col("bit")).alias("n1"))
-    levels = {depth: _estimated(scratch.store(f"level{depth}", leaf))}
-    for d in range(depth - 1, -1, -1):
+    """(string, log10_p): log probability of the string's last byte after the bytes before it.
+
+    Contexts that agree in their latest ``TOP`` bytes make a subtree, which one
+    task holds (at most 256 ** (depth - TOP + 1) strings, many subtrees a
+    task); the levels above are joined.
+    """
+    top = min(TOP, depth)
+    latest = F.shiftright("string", 8).bitwiseAND((1 << (8 * top)) - 1).alias("top")
+    keyed = totals.select(latest, "string", "n")
+    tops = keyed.repartition("top").sortWithinPartitions("top").mapInArrow(
+        _tops(depth, top), "context bigint, node int, n0 double, n1 double, kt double, log_pw double, own double"
+    )
+    levels = {top: scratch.store(f"level{top}", tops)}
+    for d in range(top - 1, -1, -1):
         up = levels[d + 1].groupBy(F.col("context").bitwiseAND((1 << (8 * d)) - 1).alias("context"), "node")
         level = up.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("log_pw").alias("below"))
-        levels[d] = _estimated(scratch.store(f"level{d}", level))
+        levels[d] = scratch.store(f"level{d}", _estimated(level))
     seen = (F.col("n0") + F.col("n1")) > 0
     # done: mixed so far; rest: weight left; last: the prediction if no deeper context was seen
     path = levels[0].select("context", "node", (F.col("own") * F.col("kt")).alias("done"), (1 - F.col("own")).alias("rest"), F.when(seen, F.col("kt")).otherwise(0.5).alias("last"))
-    for d in range(1, depth + 1):
+    for d in range(1, top + 1):
         child = levels[d].withColumn("parent", F.col("context").bitwiseAND((1 << (8 * (d - 1))) - 1))
         both = child.join(path.withColumnRenamed("context", "parent"), ["parent", "node"])
         path = both.select(
@@ -154,9 +268,9 @@ def tree_predictions(totals: DataFrame, scratch: Scratch, depth: int) -> DataFra
             (F.col("rest") * (1 - F.col("own"))).alias("rest"),
             F.when(seen, F.col("done") + F.col("rest") * F.col("kt")).otherwise(F.col("last")).alias("last"),
         )
-    p = F.when(F.col("bit") == 1, F.col("last")).otherwise(1 - F.col("last"))
-    each = _decisions(totals.select("string")).join(path.select("context", "node", "last"), ["context", "node"])
-    return each.groupBy("string").agg(F.sum(F.log10(p)).alias("log10_p"))
+    state = path.select(F.col("context").alias("top"), F.col("node").cast("bigint").alias("string"), "done", "rest", "last")
+    rows = keyed.unionByName(state, allowMissingColumns=True)
+    return rows.repartition("top").sortWithinPartitions("top").mapInArrow(_predicted(depth, top), "string bigint, log10_p double")
 
 
 def _scored(folds: int, fold: int, depth: int, log_all: float):
@@ -168,14 +282,16 @@ def _scored(folds: int, fold: int, depth: int, log_all: float):
         words = right.filter(pa.compute.is_valid(right.column("word")))
         counts = dict(zip(words.column("word").to_pylist(), words.column("value").to_pylist(), strict=True))
         base = {w: math.log10(c + 1) - log_all for w, c in counts.items()}
+        seen = {w for w, c in counts.items() if c > 0}
         out: list[tuple] = []
         for _, ids, sizes, data in unpacked(iter(left.to_batches())):
             tokens = list(token_lists(sizes, data))
             code, lengths = byte_strings([spelled(t) for t in tokens], depth)
-            each = log10_p[np.searchsorted(known, code)]
+            which, distinct = pd.factorize(code)
+            each = log10_p[np.searchsorted(known, distinct)][which]
             score = np.add.reduceat(each, np.concatenate([[0], np.cumsum(lengths)[:-1]]))
             for i, t, s, n in zip(ids, tokens, score.tolist(), lengths.tolist(), strict=True):
-                out.append((i, is_held_out(i, folds, fold), len(t), sum(counts[w] > 0 for w in t), math.fsum(base[w] for w in t), s, n))
+                out.append((i, is_held_out(i, folds, fold), len(t), sum(map(seen.__contains__, t)), math.fsum(map(base.__getitem__, t)), s, n))
         columns = list(zip(*out, strict=True))
         kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
         names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "n_scored_bytes"]
@@ -196,7 +312,7 @@ def scores(docs: DataFrame, scratch: Scratch, folds: int = 7, fold: int = 2, dep
     words = scratch.store("words", packed.mapInArrow(_words(folds, fold), "block bigint, word binary, n bigint"))
     totals = scratch.store("totals", strings.groupBy("string").agg(F.sum("n").alias("n")))
     model = scratch.store("model", tree_predictions(totals, scratch, depth))
-    scratch.drop("totals", *(f"level{d}" for d in range(depth + 1)))
+    scratch.drop("totals", *(f"level{d}" for d in range(min(TOP, depth) + 1)))
     counts = scratch.store("counts", words.groupBy("word").agg(F.sum("n").alias("c")))
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     asked = strings.join(model, "string").select("block", "string", F.lit(None).cast("binary").alias("word"), F.col("log10_p").alias("value"))
