@@ -36,6 +36,8 @@ BATCH_BYTES = 8 << 20
 PIECE = 4 << 20
 #: Shared q-grams that are counted at once.
 HITS = 2 << 20
+#: Windows and regions that are held against each other at once.
+PAIRS = 4096
 MATCHES = "doc_id bigint, item_id bigint, item_start bigint, start bigint, end bigint, edits int"
 _OTHER = re.compile(r"[\W_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -100,32 +102,45 @@ def banded(window: bytes, region: bytes, low: int, width: int, most: int) -> tup
     return (int(start[best]), int(ends[best]), int(cost[best])) if cost[best] <= most else None
 
 
-def places(window: bytes) -> dict[int, int]:
-    """For each byte, a bit for every place where the window has it."""
-    out: dict[int, int] = {}
-    for i, c in enumerate(window):
-        out[c] = out.get(c, 0) | 1 << i
-    return out
-
+def near(windows: list[bytes], regions: list[bytes], most: np.ndarray) -> np.ndarray:
+    """Is each window within ``most`` edits of any part of its region?
 
-def near(where: dict[int, int], m: int, region: bytes, most: int) -> bool:
-    """Is a window of m bytes within ``most`` edits of any part of the region? By a bit-parallel column of the distance table."""
-    full, top = (1 << m) - 1, 1 << (m - 1)
-    up, down, distance = full, 0, m
-    for c in region:
-        eq = where.get(c, 0)
-        xv = eq | down
-        xh = (((eq & up) + up) ^ up) | eq
-        ph, mh = down | (full & ~(xh | up)), up & xh
-        if ph & top:
-            distance += 1
-        elif mh & top:
-            distance -= 1
-            if distance <= most:
-                return True
-        ph, mh = (ph << 1) & full, (mh << 1) & full
-        up, down = mh | (full & ~(xv | ph)), ph & xv
-    return distance <= most
+    By bit-parallel columns of the distance tables of all pairs at once; a
+    column is two 64-bit words, low word first, for windows of up to 128 bytes.
+    """
+    number = {w: k for k, w in enumerate(dict.fromkeys(windows))}
+    which = np.array([number[w] for w in windows], np.int64)
+    one = np.uint64(1)
+    where = np.zeros((2, len(number), 256), np.uint64)  # for each byte, a bit for every place where a window has it
+    for w, k in number.items():
+        for i, c in enumerate(w):
+            where[i >> 6, k, c] |= one << np.uint64(i & 63)
+    sizes = np.array([len(w) for w in windows], np.int64)
+    top_low = np.where(sizes <= 64, one << (np.minimum(sizes, 64) - 1).astype(np.uint64), np.uint64(0))
+    top_high = np.where(sizes > 64, one << np.maximum(sizes - 65, 0).astype(np.uint64), np.uint64(0))
+    longest = max(map(len, regions), default=0)
+    text = np.frombuffer(b"".join(r.ljust(longest, b"\0") for r in regions), np.uint8).reshape(len(regions), longest)
+    lengths = np.array([len(r) for r in regions], np.int64)
+    up0, up1 = np.full(len(windows), ~np.uint64(0)), np.full(len(windows), ~np.uint64(0))
+    down0, down1 = np.zeros_like(up0), np.zeros_like(up0)
+    distance = sizes.copy()
+    found = distance <= most
+    for at in range(longest):
+        eq0, eq1 = where[0, which, text[:, at]], where[1, which, text[:, at]]
+        xv0, xv1 = eq0 | down0, eq1 | down1
+        sum0 = (eq0 & up0) + up0
+        sum1 = (eq1 & up1) + up1 + (sum0 < up0)
+        xh0, xh1 = (sum0 ^ up0) | eq0, (sum1 ^ up1) | eq1
+        ph0, ph1 = down0 | ~(xh0 | up0), down1 | ~(xh1 | up1)
+        mh0, mh1 = up0 & xh0, up1 & xh1
+        distance += ((ph0 & top_low) | (ph1 & top_high)) != 0
+        distance -= ((mh0 & top_low) | (mh1 & top_high)) != 0
+        found |= (distance <= most) & (at < lengths)
+        ph0, ph1 = ph0 << one, (ph1 << one) | (ph0 >> np.uint64(63))
+        mh0, mh1 = mh0 << one, (mh1 << one) | (mh0 >> np.uint64(63))
+        up0, up1 = mh0 | ~(xv0 | ph0), mh1 | ~(xv1 | ph1)
+        down0, down1 = ph0 & xv0, ph1 & xv1
+    return found
 
 
 class Index:
@@ -136,7 +151,6 @@ class Index:
     def __init__(self, items: list[tuple[int, bytes]]):
         found = windows(items)
         self.windows, self.owners = list(found), list(found.values())
-        self.places = [places(w) for w in self.windows]
         self.edits = np.array([budget(len(w)) for w in self.windows], np.int64)
         self.sizes = np.array([len(w) for w in self.windows], np.int64)
         lists = [grams(w) for w in self.windows]
@@ -182,18 +196,33 @@ class Index:
 
     def matches(self, data: bytes) -> set[tuple[int, int, int, int]]:
         """(window, start, end, edits) of every verified region."""
-        found = set()
+        found, held = set(), []
+
+        def flush() -> None:
+            """The band is filled only where it can hold a match."""
+            close = near([self.windows[w] for w, *_ in held], [region for *_, region in held], np.array([self.edits[w] for w, *_ in held]))
+            for k in np.flatnonzero(close).tolist():
+                w, begin, low, region = held[k]
+                e = int(self.edits[w])
+                got = banded(self.windows[w], region, low - begin - e, 4 * e + 1, e)
+                if got:
+                    found.add((w, begin + got[0], begin + got[1], got[2]))
+            held.clear()
+
         for w, band in self.regions(data):
             window, e = self.windows[w], int(self.edits[w])
             low = band * (e + 1) - WINDOW
             begin = max(0, low - e)
             region = data[begin : low + 3 * e + 2 + len(window)]
             exact = region.find(window)
-            got = (exact, exact + len(window), 0) if exact >= 0 else None
-            if got is None and e and near(self.places[w], len(window), region, e):  # the band is filled only where it can hold a match
-                got = banded(window, region, low - begin - e, 4 * e + 1, e)
-            if got:
-                found.add((w, begin + got[0], begin + got[1], got[2]))
+            if exact >= 0:
+                found.add((w, begin + exact, begin + exact + len(window), 0))
+            elif e:
+                held.append((w, begin, low, region))
+                if len(held) == PAIRS:
+                    flush()
+        if held:
+            flush()
         return found
 
 
