@@ -159,9 +159,9 @@ def interval_join(
         df = df.withColumn(f"__first_{side}", F.least(a, b))
         return df.withColumn("__cell", F.explode(F.sequence(F.col(f"__first_{side}"), F.greatest(a, b))))
 
-    left = cells(many, "l").withColumn(
-        "__salt", F.pmod(F.xxhash64("start_s", "end_s"), F.lit(salts)).cast("int")
-    )
+    # Places tell rows with the same times apart, such as untimed words at 0.
+    told_by = [c for c in ("pos", "start_s", "end_s") if c in many.columns]
+    left = cells(many, "l").withColumn("__salt", F.pmod(F.xxhash64(*told_by), F.lit(salts)).cast("int"))
     clash = [c for c in few.columns if c in many.columns and c not in on]
     right = cells(few, "r").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     right = right.withColumnsRenamed({c: c + "_r" for c in clash})
@@ -186,7 +186,7 @@ def chapter_captions(words: DataFrame, chapters: DataFrame) -> DataFrame:
     k = ("video_id", "number")
     inside = chapter_words(words, chapters)
     timed = captions(inside, keys=k).select(*k, "cue", "start_s", "end_s", "text", F.lit("words").alias("origin"))
-    covered = chapter_words(words.select("video_id", "start_s", "end_s"), chapters).select(*k).distinct()
+    covered = chapter_words(words.select("video_id", "pos", "start_s", "end_s"), chapters).select(*k).distinct()
     plain = captions_from_text(chapters.join(covered, list(k), "left_anti"))
     return timed.unionByName(plain.withColumn("origin", F.lit("text")))
 
@@ -271,7 +271,7 @@ def confidence_windows(transcripts: DataFrame, words: DataFrame, window_s: float
         F.explode(F.when(on_border, F.array(cell - 1, cell)).otherwise(F.array(cell))).alias("window"),
         F.col("end_s").alias("w_end"),
         "confidence",
-        F.pmod(F.xxhash64("start_s", "end_s"), F.lit(salts)).cast("int").alias("salt"),
+        F.pmod(F.xxhash64("pos", "start_s", "end_s"), F.lit(salts)).cast("int").alias("salt"),
     )
     salted = windows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     fits = F.col("w_end") <= F.col("end_s")
@@ -328,18 +328,18 @@ def validate_transcripts(transcripts: DataFrame, words: DataFrame) -> DataFrame:
     )
 
 
-def _containing(probes: DataFrame, spans: DataFrame, bucket_s: float) -> DataFrame:
-    """For each (video_id, probe_id, at_s), the first span in list order around it."""
+def _containing(probes: DataFrame, spans: DataFrame, bucket_s: float, *carried: str) -> DataFrame:
+    """For each (video_id, probe_id, at_s), the first span in list order around it, with its ``carried`` columns."""
     points = probes.select("video_id", "probe_id", F.col("at_s").alias("start_s"), F.col("at_s").alias("end_s"))
     hits = interval_join(spans, points, bucket_s=bucket_s)
-    return hits.groupBy("video_id", "probe_id").agg(F.min("pos").alias("pos"))
+    first = hits.groupBy("video_id", "probe_id").agg(F.min_by(F.struct("pos", *carried), "pos").alias("first"))
+    return first.select("video_id", "probe_id", "first.*")
 
 
 def word_at(words: DataFrame, probes: DataFrame, bucket_s: float = 10.0) -> DataFrame:
     """The first word spoken at each probe time, or nulls."""
-    found = _containing(probes, words.select("video_id", "pos", "start_s", "end_s"), bucket_s)
-    named = found.join(words.select("video_id", "pos", "word", "confidence"), ["video_id", "pos"])
-    return probes.join(named, ["video_id", "probe_id"], "left")
+    spans = words.select("video_id", "pos", "start_s", "end_s", "word", "confidence")
+    return probes.join(_containing(probes, spans, bucket_s, "word", "confidence"), ["video_id", "probe_id"], "left")
 
 
 def segment_at(segments: DataFrame, probes: DataFrame, bucket_s: float = 10.0) -> DataFrame:
@@ -347,10 +347,9 @@ def segment_at(segments: DataFrame, probes: DataFrame, bucket_s: float = 10.0) -
     spans = segments.select(
         "video_id", "pos",
         F.coalesce("start_s", F.lit(0.0)).alias("start_s"), F.coalesce("end_s", F.lit(0.0)).alias("end_s"),
+        "text",
     )
-    found = _containing(probes, spans, bucket_s)
-    named = found.join(segments.select("video_id", "pos", "text"), ["video_id", "pos"])
-    return probes.join(named, ["video_id", "probe_id"], "left")
+    return probes.join(_containing(probes, spans, bucket_s, "text"), ["video_id", "probe_id"], "left")
 
 
 def snap_to_segments(probes: DataFrame, segments: DataFrame, block_s: float = 3600.0) -> DataFrame:

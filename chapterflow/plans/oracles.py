@@ -235,6 +235,7 @@ oracle("preprocess", "clean", "SELECT doc_id, text FROM clean")
 oracle("preprocess_keep_fillers", "clean3", "SELECT doc_id, text FROM clean3")
 oracle("stage_round_trip", "clean", "SELECT doc_id, text FROM clean")
 oracle("process_stage_stream", "clean", "SELECT doc_id, text FROM clean")
+oracle("process_stage_repeated", "clean", "SELECT doc_id, text FROM clean")
 oracle(
     "cleaning_report", "dirty clean",
     """SELECT lang, count(*) AS n_docs, sum(length(b.text)) AS chars_before, sum(length(a.text)) AS chars_after,

@@ -703,7 +703,7 @@ def alerts(spark, sf_dir):
 @query
 def stage_round_trip(spark, sf_dir):
     """The cleaned transcripts saved as a stage table and loaded again."""
-    store = StageStore(spark)
+    store = StageStore(spark, jobs.new_folder(spark, "stage"))
     store.save("transcribe", X.dirty_text(spark, sf_dir).select("doc_id", T.preprocess(F.col("text")).alias("text")))
     if not store.exists("transcribe"):
         raise RuntimeError("stage table is missing")
@@ -768,3 +768,15 @@ def process_stage_stream(spark, sf_dir):
     docs = X.dirty_from(jobs.read_stream(spark, sf_dir, "documents.parquet"))
     jobs.process_stage(docs, store, "clean", lambda b: b.select("doc_id", T.preprocess(F.col("text")).alias("text")))
     return store.load("clean").select("doc_id", "text")
+
+
+@query
+def process_stage_repeated(spark, sf_dir):
+    """The same stage, resumed after all documents have arrived a second time."""
+    arrived = jobs.new_folder(spark, "arrivals")
+    store = StageStore(spark, jobs.new_folder(spark, "stage"))
+    for _ in range(2):
+        spark.read.parquet(f"{sf_dir}/documents.parquet").write.mode("append").parquet(arrived)
+        docs = X.dirty_from(jobs.read_stream(spark, arrived, "*.parquet", 1000))
+        jobs.process_stage(docs, store, "clean", lambda b: b.select("doc_id", T.preprocess(F.col("text")).alias("text")))
+    return store.load("clean", ["doc_id"]).select("doc_id", "text")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,14 +42,32 @@ class StageStore:
     def save(self, stage: str, df: DataFrame) -> None:
         df.write.mode("overwrite").parquet(self.path(stage))
 
-    def load(self, stage: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(stage))
+    def load(self, stage: str, keys: list[str] | None = None) -> DataFrame:
+        """The stage table. With ``keys``, of a table written batch by batch:
+        each key's rows of the latest batch that had the key, null keys included.
+        """
+        found = self.spark.read.parquet(self.path(stage))
+        if not keys:
+            return found
+        last = found.groupBy(*(F.col(k).alias(f"__{k}") for k in keys)).agg(F.max("batch").alias("__batch"))
+        same = reduce(lambda c, k: c & F.col(k).eqNullSafe(F.col(f"__{k}")), keys, F.col("batch") == F.col("__batch"))
+        return found.join(last, same, "left_semi").drop("batch")
 
     def exists(self, stage: str) -> bool:
         """True once the whole table is committed, not while it is written."""
         fs, p = self._fs(self.path(stage) + "/_SUCCESS")
         return fs.exists(p)
 
+    def commit(self, stage: str) -> None:
+        """Mark a table that was written batch by batch as whole."""
+        fs, p = self._fs(self.path(stage) + "/_SUCCESS")
+        fs.create(p, True).close()
+
+    def reopen(self, stage: str) -> None:
+        """Take the mark away before more batches are written."""
+        fs, p = self._fs(self.path(stage) + "/_SUCCESS")
+        fs.delete(p, False)
+
     def clear(self, stage: str) -> None:
         fs, p = self._fs(self.path(stage))
         fs.delete(p, True)

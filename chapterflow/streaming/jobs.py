@@ -62,8 +62,11 @@ def process_stage(
     """Run ``work`` on each arriving batch of videos and add it to the stage table.
 
     Each micro-batch owns one folder named by its id, so a replay replaces
-    rather than repeats, and the stream's checkpoint is the resume point.
+    rather than repeats, and the stream's checkpoint is the resume point. The
+    stage exists once all that has arrived is written; ``load`` with the
+    video's key gives each video as the latest batch has it.
     """
+    store.reopen(stage)
 
     def step(batch: DataFrame, batch_id: int) -> None:
         work(batch).write.mode("overwrite").parquet(f"{store.path(stage)}/batch={batch_id}")
@@ -73,3 +76,4 @@ def process_stage(
         .option("checkpointLocation", f"{store.root}/_progress/{stage}").trigger(availableNow=True).start()
     )
     query.awaitTermination()
+    store.commit(stage)

@@ -184,3 +184,16 @@ def test_predecessor_across_holes(spark):
     for size in (2, 4, 100):
         got = blocks.with_lag(words, ["video_id"], "pos", size, prev=F.col("end_s")).collect()
         assert {r.pos: r.prev for r in got} == {0: None, 1: 0.0, 5: 1.0, 9: 5.0, 30: 9.0}
+
+
+def test_stage_written_in_batches(spark, tmp_path):
+    store, folder = StageStore(spark, str(tmp_path / "stages")), str(tmp_path / "arrivals")
+    seen = []
+    for text, ids in (("old", [1, 2, None]), ("new", [2, None])):
+        spark.createDataFrame([(i, text) for i in ids], "video_id bigint, text string").write.mode("append").parquet(folder)
+        stream = jobs.read_stream(spark, folder, "*.parquet", 100)
+        jobs.process_stage(stream, store, "clean", lambda b: seen.append(store.exists("clean")) or b)
+        assert store.exists("clean")
+    assert seen == [False, False]
+    got = {r.video_id: r.text for r in store.load("clean", ["video_id"]).collect()}
+    assert got == {1: "old", 2: "new", None: "new"} and store.load("clean").count() == 5
