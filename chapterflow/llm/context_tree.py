@@ -317,7 +317,9 @@ def scores(docs: DataFrame, scratch: Scratch, folds: int = 7, fold: int = 2, dep
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     asked = strings.join(model, "string").select("block", "string", F.lit(None).cast("binary").alias("word"), F.col("log10_p").alias("value"))
     asked = asked.unionByName(words.join(counts, "word").select("block", F.lit(None).cast("bigint").alias("string"), "word", F.col("c").cast("double").alias("value")))
-    found = packed.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(
+    # a named count, which adaptive execution does not merge: the blocks are small and the work on each is not
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = packed.repartition(tasks, "block").groupBy("block").cogroup(asked.repartition(tasks, "block").groupBy("block")).applyInArrow(
         _scored(folds, fold, depth, math.log10(total + distinct + 1)),
         "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, n_scored_bytes bigint",
     )
