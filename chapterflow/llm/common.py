@@ -28,9 +28,11 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.names: list[str] = []
 
     def store(self, name: str, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{name}"
+        self.names.append(name)
         df.write.mode("overwrite").parquet(path)
         gc.collect()  # the driver's handles of finished plans; the JVM then lets go of their shuffle files
         self.spark.sparkContext._jvm.System.gc()
@@ -40,6 +42,11 @@ class Scratch:
         for name in names:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            self.names = [x for x in self.names if x != name]
+
+    def keep(self, *names: str) -> None:
+        """Drops all tables but these."""
+        self.drop(*(x for x in self.names if x not in names))
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

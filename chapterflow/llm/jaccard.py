@@ -255,11 +255,13 @@ def groups(docs: DataFrame, scratch: Scratch, width: int, num: int, den: int, id
     equal sets have the same node.
     """
     limit, plain = Threshold(num, den), texts(docs, id_col, text_col)
-    sets = scratch.store("sets", plain.mapInArrow(_sets(width, limit), "doc_id bigint, n_shingles bigint, node bigint, keys array<bigint>"))
-    nodes = sets.where("node IS NOT NULL").groupBy("node").agg(F.first("keys").alias("keys"), F.first("n_shingles").alias("n"), F.min("doc_id").alias("doc_id"))
-    parts = nodes.select(F.explode("keys").alias("key"), "node")
+    keyed = scratch.store("keyed", plain.mapInArrow(_sets(width, limit), "doc_id bigint, n_shingles bigint, node bigint, keys array<bigint>"))
+    sets = scratch.store("sets", keyed.drop("keys"))
+    nodes = sets.where("node IS NOT NULL").groupBy("node").agg(F.first("n_shingles").alias("n"), F.min("doc_id").alias("doc_id"))
+    parts = keyed.where("node IS NOT NULL").groupBy("node").agg(F.first("keys").alias("keys")).select(F.explode("keys").alias("key"), "node")
     shared = parts.repartition("key").sortWithinPartitions("key", "node").mapInArrow(lambda b: stars(b, "key", "node"), "a bigint, b bigint")
     canopies = scratch.store("canopies", connected(shared, scratch, "shared").withColumnRenamed("component", "canopy"))
+    scratch.keep("sets", "canopies")
     # blocks of a canopy: as many as its shingles ask for, all pairs of them
     members = canopies.join(nodes.select("node", "n", "doc_id"), "node")
     blocks = F.ceil(F.sum("n").over(Window.partitionBy("canopy")) / BLOCK_SHINGLES)
@@ -286,4 +288,5 @@ def firsts(docs: DataFrame, scratch: Scratch, width: int = 5, num: int = 4, den:
     """
     found = groups(docs, scratch, width, num, den, id_col, text_col)
     gone = scratch.store("gone", found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
+    scratch.keep("gone")
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
