@@ -2,10 +2,12 @@
 
 Sets of equal content are one node. To bring sets that may link together,
 each is split by hash ranges into more parts than two linking sets can differ
-in, so they agree in a part (a part's digest is a key; size classes keep the
-number of parts to the sizes that can link). Nodes that share keys, directly
-or through others, are a canopy; a canopy's sets travel once, and large ones
-are split into blocks that meet pair by pair.
+in, so they agree in some (a part's digest is a key; size classes keep the
+number of parts to the sizes that can link). A set of m filled parts that
+links with another shares all but the parts they can differ in; sets that
+share fewer of their keys with any others are left out. The rest that share
+keys of a size class, directly or through others, are a canopy; a canopy's
+sets travel once, and large ones are split into blocks that meet pair by pair.
 
 Within a canopy, every set is a query against an inverted index: with T the
 overlap that the threshold asks for, the shortest lists are heap-merged, the
@@ -45,8 +47,8 @@ from chapterflow.llm.components import connected
 
 #: Shingles of the sets in one block of a canopy.
 BLOCK_SHINGLES = 2_000_000
-#: Parts beyond those that the pigeonhole principle asks for; as many may be empty.
-SPARE = 2
+#: Parts beyond half as many again as two linking sets can differ in.
+SPARE = 3
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -108,45 +110,85 @@ def cuts(parts: int) -> np.ndarray:
     return np.array([(k << 64) // parts + (1 if (k << 64) % parts else 0) for k in range(1, parts)], np.uint64)
 
 
-def keys(found: np.ndarray, limit: Threshold) -> np.ndarray:
-    """Digests of the parts of a set, in every size class of a smaller set that it can link with."""
+def keys(found: np.ndarray, limit: Threshold) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Digests of the parts of a set, in every size class of a smaller set that it can link with.
+
+    Also each class: its number, its digests, and how many of them at least
+    any set that links in it shares. Empty parts count only where two linking
+    sets could agree in nothing else.
+    """
     n = len(found)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(found))])
-    out = []
+    out, classes = [], []
     size = limit.least(n)
     while size <= n:
         number, high = size_class(size)
         differ = (limit.den - limit.num) * (high + high * limit.den // limit.num) // (limit.den + limit.num)
-        parts = differ + 1 + SPARE if differ else 1
+        parts = differ + differ // 2 + SPARE if differ else 1
         at = np.concatenate([[0], np.searchsorted(found, cuts(parts)), [n]])
         part = total[at[1:]] - total[at[:-1]]
-        empty = at[1:] == at[:-1]
+        filled = at[1:] != at[:-1]
+        least = int(filled.sum()) - differ
         digests = _mixed(part + _mixed(np.arange(parts, dtype=np.uint64) + (np.uint64(number) << np.uint64(40))))
-        out.append(digests if empty.sum() > SPARE else digests[~empty])
+        out.append(digests[filled] if least > 0 else digests)
+        classes.append((number, len(out[-1]), max(1, least)))
         size = high + 1
-    return np.concatenate(out).view(np.int64)
+    return np.concatenate(out).view(np.int64), classes
 
 
 def node_of(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(found.tobytes())).view(np.int64))
 
 
+def _lists(lists: list, kind: pa.DataType) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+    flat = np.concatenate([*lists, np.zeros(0, np.int64)]).astype(np.int64)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat).cast(kind))
+
+
 def _sets(width: int, limit: Threshold):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, nodes, parts = [], [], []
+            n, nodes, parts, members, counts, needs = [], [], [], [], [], []
             for t in b.column("text"):
                 found = shingles(t.as_buffer().to_pybytes(), width)
                 n.append(len(found))
                 nodes.append(node_of(found) if len(found) else None)
-                parts.append(keys(found, limit) if len(found) else np.zeros(0, np.int64))
-            offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([*parts, np.zeros(0, np.int64)])))
-            yield pa.record_batch({"doc_id": b.column("doc_id"), "n_shingles": pa.array(n, pa.int64()), "node": pa.array(nodes, pa.int64()), "keys": lists})
+                digests, classes = keys(found, limit) if len(found) else (np.zeros(0, np.int64), [])
+                number, count, need = np.array(classes, np.int64).reshape(-1, 3).T
+                parts.append(digests)
+                members.append(_mixed(np.array([nodes[-1] or 0], np.int64).view(np.uint64) ^ _mixed(number.view(np.uint64) + np.uint64(1))).view(np.int64) if len(found) else number)
+                counts.append(count)
+                needs.append(need)
+            columns = {"keys": _lists(parts, pa.int64()), "members": _lists(members, pa.int64()), "counts": _lists(counts, pa.int32()), "needs": _lists(needs, pa.int32())}
+            yield pa.record_batch({"doc_id": b.column("doc_id"), "n_shingles": pa.array(n, pa.int64()), "node": pa.array(nodes, pa.int64()), **columns})
 
     return run
 
 
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, member) of every part of every set."""
+    for b in batches:
+        members, counts = (b.column(c).flatten().to_numpy() for c in ("members", "counts"))
+        yield pa.record_batch({"key": b.column("keys").flatten(), "member": pa.array(np.repeat(members, counts), pa.int64())})
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows whose key other rows have too; rows come sorted by key, and one is kept between batches."""
+    k0, m0, joined = np.zeros(0, np.int64), np.zeros(0, np.int64), False
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k, m = np.concatenate([k0, b.column("key").to_numpy()]), np.concatenate([m0, b.column("member").to_numpy()])
+        same = k[1:] == k[:-1]
+        before = np.concatenate([[joined], same])
+        met = (before[:-1] | same) if len(same) else np.zeros(0, bool)
+        yield pa.record_batch({"key": pa.array(k[:-1][met]), "member": pa.array(m[:-1][met])})
+        k0, m0, joined = k[-1:], m[-1:], bool(before[-1])
+    if joined:
+        yield pa.record_batch({"key": pa.array(k0), "member": pa.array(m0)})
+
+
 class Index:
     """Inverted lists of set numbers, in ascending order."""
 
@@ -255,12 +297,20 @@ def groups(docs: DataFrame, scratch: Scratch, width: int, num: int, den: int, id
     equal sets have the same node.
     """
     limit, plain = Threshold(num, den), texts(docs, id_col, text_col)
-    keyed = scratch.store("keyed", plain.mapInArrow(_sets(width, limit), "doc_id bigint, n_shingles bigint, node bigint, keys array<bigint>"))
-    sets = scratch.store("sets", keyed.drop("keys"))
+    found = plain.mapInArrow(_sets(width, limit), "doc_id bigint, n_shingles bigint, node bigint, keys array<bigint>, members array<bigint>, counts array<int>, needs array<int>")
+    keyed = scratch.store("keyed", found)
+    sets = scratch.store("sets", keyed.select("doc_id", "n_shingles", "node"))
     nodes = sets.where("node IS NOT NULL").groupBy("node").agg(F.first("n_shingles").alias("n"), F.min("doc_id").alias("doc_id"))
-    parts = keyed.where("node IS NOT NULL").groupBy("node").agg(F.first("keys").alias("keys")).select(F.explode("keys").alias("key"), "node")
-    shared = parts.repartition("key").sortWithinPartitions("key", "node").mapInArrow(lambda b: stars(b, "key", "node"), "a bigint, b bigint")
-    canopies = scratch.store("canopies", connected(shared, scratch, "shared").withColumnRenamed("component", "canopy"))
+    parts = keyed.where("node IS NOT NULL").groupBy("node").agg(F.first(F.struct("keys", "members", "counts")).alias("x")).select("x.*")
+    parts = parts.mapInArrow(_keyed, "key bigint, member bigint")
+    met = scratch.store("met", parts.repartition("key").sortWithinPartitions("key").mapInArrow(_met, "key bigint, member bigint"))
+    classes = keyed.select("node", F.explode(F.arrays_zip("members", "needs")).alias("x")).select("node", F.col("x.members").alias("member"), F.col("x.needs").alias("need"))
+    classes = classes.join(met.groupBy("member").agg(F.count("*").alias("shared")), "member").where("shared >= need")
+    near = scratch.store("near", classes.select("node", "member").distinct())
+    scratch.drop("keyed")
+    shared = met.join(near, "member").select("key", "member").repartition("key").sortWithinPartitions("key", "member").mapInArrow(lambda b: stars(b, "key", "member"), "a bigint, b bigint")
+    canopies = connected(shared, scratch, "shared").withColumnsRenamed({"node": "member", "component": "canopy"})
+    canopies = scratch.store("canopies", canopies.join(near, "member").select("node", "canopy"))
     scratch.keep("sets", "canopies")
     # blocks of a canopy: as many as its shingles ask for, all pairs of them
     members = canopies.join(nodes.select("node", "n", "doc_id"), "node")
