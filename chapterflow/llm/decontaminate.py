@@ -21,7 +21,9 @@ empty tables give no row; columns other than ids and texts are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -194,9 +196,14 @@ class Index:
         for b in band[total >= self.sizes[owner] + 1 - (self.edits[owner] + 1) * Q].tolist():
             yield b >> 34, b & ((1 << 34) - 1)
 
-    def matches(self, data: bytes) -> set[tuple[int, int, int, int]]:
-        """(window, start, end, edits) of every verified region."""
-        found, held = set(), []
+    def matches(self, data: bytes, starts: list[int] | None = None) -> set[tuple[int, int, int, int]]:
+        """(window, start, end, edits) of every verified region.
+
+        ``starts`` are the places where the texts in ``data`` begin, with one
+        byte between two of them; a region lies inside one text.
+        """
+        found, held, starts = set(), [], starts or [0]
+        stops = [*(s - 1 for s in starts[1:]), len(data)]
 
         def flush() -> None:
             """The band is filled only where it can hold a match."""
@@ -212,15 +219,17 @@ class Index:
         for w, band in self.regions(data):
             window, e = self.windows[w], int(self.edits[w])
             low = band * (e + 1) - WINDOW
-            begin = max(0, low - e)
-            region = data[begin : low + 3 * e + 2 + len(window)]
-            exact = region.find(window)
-            if exact >= 0:
-                found.add((w, begin + exact, begin + exact + len(window), 0))
-            elif e:
-                held.append((w, begin, low, region))
-                if len(held) == PAIRS:
-                    flush()
+            first, end = max(0, low - e), low + 3 * e + 2 + len(window)
+            for k in range(bisect_right(starts, first) - 1, bisect_left(starts, end)):
+                begin = max(first, starts[k])
+                region = data[begin : min(end, stops[k])]
+                exact = region.find(window)
+                if exact >= 0:
+                    found.add((w, begin + exact, begin + exact + len(window), 0))
+                elif e and len(region) >= len(window) - e:
+                    held.append((w, begin, low, region))
+                    if len(held) == PAIRS:
+                        flush()
         if held:
             flush()
         return found
@@ -234,12 +243,10 @@ def _found(items: list[tuple[int, bytes]]):
 
             def flush(held: list[tuple[int, bytes]], out: list = out) -> None:
                 data = b"\0".join(x for _, x in held)
-                ends = np.cumsum([len(x) + 1 for _, x in held])
-                for w, start, end, edits in index.matches(data):
-                    k = int(np.searchsorted(ends, start, side="right"))
-                    before = int(ends[k - 1]) if k else 0
-                    if end < ends[k]:
-                        out.extend((held[k][0], item, at, start - before, end - before, edits) for item, at in index.owners[w])
+                starts = [0, *accumulate(len(x) + 1 for _, x in held[:-1])]
+                for w, start, end, edits in index.matches(data, starts):
+                    k = bisect_right(starts, start) - 1
+                    out.extend((held[k][0], item, at, start - starts[k], end - starts[k], edits) for item, at in index.owners[w])
 
             held, size = [], 0
             for i, t in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):

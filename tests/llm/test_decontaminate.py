@@ -69,3 +69,16 @@ def test_awkward_documents(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in D.contaminated(docs, items).collect()} == pairs_
     assert D.decontaminated(docs, frame(spark, []).withColumnRenamed("doc_id", "item_id")).count() == docs.count()
     assert D.contaminated(frame(spark, []), items).count() == 0
+
+
+def test_verdict_does_not_hang_on_the_neighbours(spark):
+    text = "quick brown foxes jump over lazy dogs while seven wizards mix potions"
+    items = frame(spark, [(1, text)]).withColumnRenamed("doc_id", "item_id")
+    docs = [(k, text[k:]) for k in range(7)] + [(k + 10, text[: len(text) - k]) for k in range(7)]
+    rows = [r for i, t in docs for r in ((100 + i, "other words of no interest"), (i, t))] + [(99, "closing words of no interest")]
+    got = {r.doc_id: r for r in D.contaminated(frame(spark, rows).coalesce(1).orderBy("doc_id"), items).collect()}
+    most = D.budget(len(text))
+    assert set(got) == {i for i, t in docs if len(text) - len(t) <= most} and len(got) > 10
+    ordered = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)  # each after a document of other words
+    assert {r.doc_id for r in D.contaminated(ordered, items).collect()} == set(got)
+    assert all(0 <= r.start < r.end <= len(dict(docs)[i]) for i, r in got.items())
