@@ -41,6 +41,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from chapterflow.llm.common import Scratch, lowered, runs, stars, texts
 from chapterflow.llm.components import connected
@@ -330,13 +331,30 @@ def groups(docs: DataFrame, scratch: Scratch, width: int, num: int, den: int, id
     )
 
 
+def _with_node(width: int, text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [shingles(t.as_buffer().to_pybytes() if t.is_valid else b"", width) for t in b.column(text_col)]
+            yield b.append_column("_node", pa.array([node_of(s) if len(s) else None for s in found], pa.int64()))
+
+    return run
+
+
 def firsts(docs: DataFrame, scratch: Scratch, width: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, in all their columns, without those whose component has another one to stay.
 
     The row of a component's smallest id stays; of rows with that same id,
-    all with its set stay, as nothing tells them apart. Null ids stay.
+    all in its component stay. Rows of one id in other components are judged
+    by those. Null ids stay.
     """
     found = groups(docs, scratch, width, num, den, id_col, text_col)
-    gone = scratch.store("gone", found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
-    scratch.keep("gone")
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    found = scratch.store("found", found.select(F.col("doc_id").alias("_gone"), "node", (F.col("doc_id") != F.col("component_id")).alias("goes")).where("_gone IS NOT NULL").distinct())
+    gone = found.where("goes")
+    scratch.keep("found")
+    # ids of which some rows go and some stay: told apart by their sets
+    mixed = scratch.store("mixed", gone.join(found.where("NOT goes").select("_gone").distinct(), "_gone", "left_semi").select("_gone", "node"))
+    some = docs.join(mixed.select("_gone").distinct(), docs[id_col] == F.col("_gone"), "left_semi")
+    some = some.mapInArrow(_with_node(width, text_col), StructType([*docs.schema.fields, StructField("_node", LongType())]))
+    some = some.join(mixed, (some[id_col] == mixed["_gone"]) & (some["_node"] == mixed["node"]), "left_anti").drop("_node")
+    ids = gone.select("_gone").distinct()
+    return docs.join(ids, docs[id_col] == ids["_gone"], "left_anti").unionByName(some)

@@ -95,3 +95,11 @@ def test_components_of_a_long_path(spark):
     edges = spark.range(200).selectExpr("1000 - id * 3 AS a", "1000 - (id + 1) * 3 AS b").union(spark.sql("SELECT 5L, 7L"))
     got = {r.node: r.component for r in connected(edges, Scratch(spark, "t"), "e").collect()}
     assert got == {**{1000 - 3 * k: 400 for k in range(201)}, 5: 5, 7: 5}
+
+
+def test_rows_of_a_repeated_id_are_judged_by_their_own_sets(spark):
+    own, rest = "a long text of its own that no other row has", "what is left of a second copy"
+    rows = [(1, rest), (2, own), (2, rest), (3, own + " too"), (4, ""), (4, rest), (4, None), (None, own)]
+    left = jaccard.firsts(frame(spark, rows), Scratch(spark, "t"), 3, 4, 5)
+    assert left.columns == frame(spark, []).columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in left.collect()) == [(0, own), (1, rest), (2, own), (4, ""), (4, "")]
