@@ -32,8 +32,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 SUBSET, STEPS, MIN_ROWS = 0.75, 5, 100
 #: Distance classes for a doubling of the squared distance.
 CLASSES = 16
-#: Squared distance over which a document is rejected.
-CUTOFF = 75.0
+#: Chance of a document of a normal group to be rejected by distance.
+CHANCE = 1e-9
 #: Least standard deviations of the transformed statistics.
 FLOORS = {"x_words": 0.4, "x_length": 0.08, "x_symbols": 0.25, "x_lines": 0.7, "x_repeats": 0.7, "x_upper": 0.25}
 NAMES = list(FLOORS)
@@ -147,13 +147,21 @@ def chi2_cdf(x: float, df: float) -> float:
     return total * math.exp(a * math.log(y) - y - math.lgamma(a)) if y > 0 else 0.0
 
 
-def consistency(share: float, df: int) -> float:
-    """What the covariance of the nearest ``share`` of normal data is multiplied by to be that of all."""
+def chi2_quantile(share: float, df: int) -> float:
     low, high = 0.0, 200.0
     for _ in range(100):
         mid = (low + high) / 2
         low, high = (mid, high) if chi2_cdf(mid, df) < share else (low, mid)
-    return share / chi2_cdf(low, df + 2)
+    return low
+
+
+def consistency(share: float, df: int) -> float:
+    """What the covariance of the nearest ``share`` of normal data is multiplied by to be that of all."""
+    return share / chi2_cdf(chi2_quantile(share, df), df + 2)
+
+
+#: Squared distance over which a document is rejected.
+CUTOFF = chi2_quantile(1 - CHANCE, len(NAMES))
 
 
 def estimates(stats: DataFrame, scratch: Scratch) -> DataFrame:

@@ -100,3 +100,20 @@ def test_equal_rows_have_no_spread(spark):
     rows = [(i, " ".join(f"w{k}" for k in range(30))) for i in range(150)] + [(999, "### " * 10 + " ".join(f"w{k}" for k in range(30)))]
     got = {r.row.doc_id: r.kept for r in outliers.outliers(frame(spark, rows), Scratch(spark, "t")).collect()}
     assert not got.pop(999) and all(got.values())
+
+
+def test_duplicate_lines_and_repeats_decide():
+    """Two statistics alone, with the least variances that any group has, reach the cutoff."""
+    most = (math.log1p(100) / outliers.FLOORS["x_lines"]) ** 2 + (math.log1p(30) / outliers.FLOORS["x_repeats"]) ** 2
+    assert outliers.CUTOFF < most
+    assert outliers.chi2_cdf(outliers.CUTOFF, len(outliers.NAMES)) == pytest.approx(1 - outliers.CHANCE, abs=1e-12)
+
+
+def test_document_of_duplicate_lines_goes(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, "\n".join(f"w{k:04d}" for k in rng.choice(10_000, 400, replace=False))) for i in range(120)]
+    few = [f"w{k:04d}" for k in rng.integers(0, 40, 350)]
+    rows.append((999, "\n".join([*few, *few[:50]])))
+    got = {r.row.doc_id: r for r in outliers.outliers(frame(spark, rows), Scratch(spark, "t")).collect()}
+    assert not got[999].base_failed and got[999].n_dup_lines > 350
+    assert not got.pop(999).kept and all(r.kept for r in got.values())
