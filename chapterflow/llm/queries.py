@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from chapterflow.llm import bpe, context_tree, decontaminate, discriminant, fuzzy_lines, jaccard, outliers, sequences, suffix_dedup, token_counts
+from chapterflow.llm import bpe, context_tree, decontaminate, discriminant, filter_audit, fuzzy_lines, jaccard, outliers, sequences, suffix_dedup, token_counts
 from chapterflow.llm.common import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,6 +111,50 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removals of five filters in all 120 orders, for every language."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    counts = Scratch(spark, "op11").store("masks", filter_audit.masks(documents(spark, sf_dir), labels))
+    return filter_audit.audit(counts, "ABCDE")
+
+
+ORACLES["op11_filter_audit"] = r"""
+with texts as (
+  select doc_id, coalesce(text, '') as t, coalesce(lang, '') as part, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as words from documents
+), failed as (
+  select part, [
+      len(words) < 200,
+      100 * len(list_distinct(words)) < 50 * len(words),
+      100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t),
+      regexp_matches(t, '[#$%&*|]'),
+      coalesce(doc_id > min(doc_id) over (partition by t), false)] as fails,
+    coalesce(quality = 1, false) as good, coalesce(toxic = 1, false) as bad
+  from texts left join labels using (doc_id)
+), masks as (
+  select part, fails, count(*) as n, count(*) filter (good) as good, count(*) filter (bad) as bad from failed group by all
+), five as (
+  select unnest(range(1, 6)) as f
+), orders as (
+  select [a.f, b.f, c.f, d.f, e.f] as o from five a, five b, five c, five d, five e where len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+), steps as (
+  select array_to_string(list_transform(o, lambda x: chr((64 + x)::int)), '') as filter_order, s.f::int as step, o[s.f] as own, o[1:s.f - 1] as earlier from orders, five s
+), told as (
+  select *, fails[own] as hit, len(list_filter(earlier, lambda x: fails[x])) > 0 as gone, len(list_filter(fails, lambda x: x)) as n_failed from masks, steps
+), rows as (
+  select part, filter_order, step, own,
+    coalesce(sum(n) filter (not hit and not gone), 0)::bigint as kept,
+    coalesce(sum(n) filter (hit and not gone), 0)::bigint as removed,
+    coalesce(sum(n) filter (hit and gone), 0)::bigint as redundant,
+    coalesce(sum(n) filter (hit and n_failed = 1), 0)::bigint as unique_fails,
+    coalesce(sum(good) filter (hit and not gone), 0)::bigint as good_lost,
+    coalesce(sum(bad) filter (hit and not gone), 0)::bigint as toxic_lost
+  from told group by all
+)
+select * exclude (own), (sum(removed) over (partition by part, own))::bigint as shapley from rows
+"""
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline over all documents."""
