@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from chapterflow.llm import bpe, context_tree, decontaminate, discriminant, filter_audit, fuzzy_lines, jaccard, outliers, sequences, suffix_dedup, token_counts
+from chapterflow.llm import alignment, bpe, context_tree, decontaminate, discriminant, filter_audit, fuzzy_lines, jaccard, outliers, sequences, suffix_dedup, token_counts
 from chapterflow.llm.common import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -17,6 +17,7 @@ ORACLES: dict[str, str] = {}
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -155,6 +156,12 @@ select * exclude (own), (sum(removed) over (partition by part, own))::bigint as
 """
 
 
+@query
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the byte-level and the piece tokens of every text line up."""
+    return alignment.alignments(documents(spark, sf_dir), BYTE_BPE, PIECE_BPE, Scratch(spark, "op13"))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline over all documents."""
