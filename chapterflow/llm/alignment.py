@@ -35,12 +35,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chapterflow.llm.bpe import cutter, token_bytes
-from chapterflow.llm.common import Scratch, blocks, unpacked
+from chapterflow.llm.common import Scratch, blocks, planes, unpacked, unplaned
 
 #: Fragments that a task remembers, and the longest one it remembers, in bytes.
 REMEMBERED, LONGEST = 300_000, 64
@@ -163,18 +162,6 @@ class Aligner:
         return [own[f] if f in own else known[f] for f in fragments]
 
 
-def packed(values: np.ndarray) -> bytes:
-    """Integers byte plane by byte plane, compressed."""
-    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
-
-
-def loaded(data: bytes, dtype: type) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    width = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(raw.reshape(width, -1).T).view(dtype).ravel()
-
-
 def _pairs_of_blocks(path_a: str, path_b: str):
     """Function for mapInArrow: every block's documents aligned, their pairs numbered within the block."""
 
@@ -203,8 +190,8 @@ def _pairs_of_blocks(path_a: str, path_b: str):
                     **{c: pa.array([row], pa.list_(pa.int64())) for c, row in zip(TOTALS, totals, strict=True)},
                     "groups_sha256": pa.array([shas], pa.list_(pa.string())),
                     "sizes": pa.array([[len(x) for x, _ in own]], pa.list_(pa.int64())),
-                    "pairs": pa.array([packed(np.diff(pairs, prepend=0))], pa.binary()),
-                    "used": pa.array([packed(np.concatenate([index, times]).astype(np.uint32))], pa.binary()),
+                    "pairs": pa.array([planes(np.diff(pairs, prepend=0))], pa.binary()),
+                    "used": pa.array([planes(np.concatenate([index, times]).astype(np.uint32))], pa.binary()),
                 }
             )
 
@@ -213,7 +200,7 @@ def _pairs_of_blocks(path_a: str, path_b: str):
 
 def _used(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of a block, and for every document's pair its number in them and how often it is linked."""
-    pairs, used = np.cumsum(loaded(row["pairs"], np.int64)), loaded(row["used"], np.uint32).reshape(2, -1)
+    pairs, used = np.cumsum(unplaned(row["pairs"], np.int64)), unplaned(row["used"], np.uint32).reshape(2, -1)
     return pairs, used[0].astype(np.int64), used[1].astype(np.int64)
 
 

@@ -132,6 +132,18 @@ def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, np.
             yield (k.as_py(), *unpack(i, s, p))
 
 
+def planes(values: np.ndarray) -> bytes:
+    """Integers byte plane by byte plane, compressed: small or sorted and differenced ones take few bytes."""
+    bytes_of = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(bytes_of.T).tobytes())
+
+
+def unplaned(data: bytes, dtype: type) -> np.ndarray:
+    """What ``planes`` packed."""
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
+
+
 def lowered(data: bytes) -> bytes:
     """A-Z in lower case; other bytes stay."""
     return data.translate(_LOWER)

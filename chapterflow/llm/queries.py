@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from chapterflow.llm import alignment, bpe, context_tree, decontaminate, discriminant, filter_audit, fuzzy_lines, jaccard, outliers, sequences, suffix_dedup, token_counts
+from chapterflow.llm import alignment, bpe, context_tree, decontaminate, discriminant, filter_audit, fuzzy_lines, jaccard, outliers, sequences, suffix_dedup, token_counts, word_repeats
 from chapterflow.llm.common import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,6 +156,14 @@ select * exclude (own), (sum(removed) over (partition by part, own))::bigint as
 """
 
 
+@query
+def op12_word_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is removed from every text where 35 words stand again, and the digest of what is kept."""
+    left = word_repeats.deduplicated(documents(spark, sf_dir), Scratch(spark, "op12"))
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return left.select("doc_id", "n_words", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the byte-level and the piece tokens of every text line up."""
