@@ -29,37 +29,28 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from typing import NamedTuple
+from itertools import accumulate, compress, count, product
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chapterflow.llm.bpe import cutter, token_bytes
+from chapterflow.llm.bpe import ASCII_SPACE, OTHER_SPACE, cutter, inner_pairs, token_bytes
 from chapterflow.llm.common import Scratch, blocks, planes, unpacked, unplaned
 
-#: Fragments that a task remembers, and the longest one it remembers, in bytes.
-REMEMBERED, LONGEST = 300_000, 64
+#: Fragments that a process remembers between blocks, and fragments that are encoded in one string.
+REMEMBERED, TOGETHER = 600_000, 500
 TOTALS = ("n_a", "n_b", "n_groups", "n_links")
 ALIGNED = "block bigint, ids array<bigint>, n_a array<bigint>, n_b array<bigint>, n_groups array<bigint>, n_links array<bigint>, groups_sha256 array<string>, sizes array<bigint>, pairs binary, used binary"
 COUNTED = "block bigint, a int, b int, n bigint"
 RESULT = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string"
 
 
-class Aligned(NamedTuple):
-    """A fragment: lengths of both id lists, groups and links, the groups as text, and the links as a << 32 | b."""
-
-    n_a: int
-    n_b: int
-    n_groups: int
-    n_links: int
-    text: str
-    links: np.ndarray
-
-
 @lru_cache(maxsize=2)
 def byte_level(path: str):
     """The byte-level tokenizer, for which strings of special tokens are ordinary text."""
@@ -88,108 +79,169 @@ def piece_bytes(path: str) -> list[bytes]:
     return [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(named)]
 
 
-def groups(ends_a: list[int], ends_b: list[int]) -> list[tuple[slice, slice]]:
-    """Slices of both lists between their common ends."""
-    index_a, index_b = {e: k for k, e in enumerate(ends_a, 1)}, {e: k for k, e in enumerate(ends_b, 1)}
-    out, a, b = [], 0, 0
+def groups(ends_a: list[int], ends_b: list[int]) -> Iterator[tuple[int, int, int, int]]:
+    """First and end index of each group in both lists: the lists cut at their common ends."""
+    index_a, index_b = dict(zip(ends_a, count(1))), dict(zip(ends_b, count(1)))
+    a = b = 0
     for end in sorted(index_a.keys() & index_b.keys()):
-        out.append((slice(a, index_a[end]), slice(b, index_b[end])))
-        a, b = index_a[end], index_b[end]
-    return out
+        to_a, to_b = index_a[end], index_b[end]
+        yield a, to_a, b, to_b
+        a, b = to_a, to_b
 
 
-def links(ends_a: list[int], ends_b: list[int], a: slice, b: slice) -> Iterator[tuple[int, int]]:
+def links(ends_a: list[int], ends_b: list[int], a: int, to_a: int, b: int, to_b: int) -> Iterator[tuple[int, int]]:
     """Index pairs of a group whose byte ranges overlap."""
-    i, j = a.start, b.start
-    while i < a.stop and j < b.stop:
-        yield i, j
-        ahead = ends_a[i] - ends_b[j]
-        i, j = i + (ahead <= 0), j + (ahead >= 0)
-
-
-def aligned(ids_a: list[int], ids_b: list[int], bytes_a: list[int], bytes_b: list[int]) -> Aligned:
-    """Groups and links of two id lists over the same bytes; ``bytes_a`` and ``bytes_b`` are the token lengths."""
-    ends_a, ends_b = np.cumsum(bytes_a).tolist(), np.cumsum(bytes_b).tolist()
-    shown, found = [], []
-    for a, b in groups(ends_a, ends_b):
-        shown.append(f"{','.join(map(str, ids_a[a]))}|{','.join(map(str, ids_b[b]))}")
-        found += [ids_a[i] << 32 | ids_b[j] for i, j in links(ends_a, ends_b, a, b)]
-    return Aligned(len(ids_a), len(ids_b), len(shown), len(found), ";".join(shown), np.array(found, np.int64))
+    if to_a == a + 1 or to_b == b + 1:  # one token spans the group
+        yield from product(range(a, to_a), range(b, to_b))
+        return
+    while a < to_a and b < to_b:
+        yield a, b
+        ahead = ends_a[a] - ends_b[b]
+        a, b = a + (ahead <= 0), b + (ahead >= 0)
 
 
 class Aligner:
-    """Aligned fragments of texts; None for one that a tokenizer does not give back."""
+    """Aligned fragments, numbered; a process keeps the frequent ones between blocks of texts.
+
+    A fragment is named without the space that it begins with. ``counts``: for
+    each fragment the ids of both, groups and links, the first -1 where a
+    tokenizer does not give it back. ``shown``: its groups as text.
+    ``linked``: the links of all fragments as a << 32 | b. ``hits``: how often
+    it was met.
+    """
 
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b, self.cut = byte_level(path_a), pieces(path_b), cutter(path_a)
-        self.bytes_a, self.bytes_b = token_bytes(path_a), piece_bytes(path_b)
-        self.known: dict[bytes, Aligned | None] = {}
+        known, self.bytes_b = token_bytes(path_a), piece_bytes(path_b)
+        if any(" " in p.decode("utf-8", "replace").lstrip(" ") for p in self.bytes_b):
+            raise ValueError(f"{path_b}: a piece goes on after a space, so a space ends no token")
+        self.bytes_a = [known.get(i, b"") for i in range(max(known) + 1)]
+        self.size_a, self.size_b = [*map(len, self.bytes_a)], [*map(len, self.bytes_b)]
+        self.names = [str(i) for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
+        open_ends = bytes(b for b in range(256) if b in ASCII_SPACE or inner_pairs(path_a)[b, 0x20])
+        others = "|".join([f"[{re.escape(open_ends.decode('latin-1'))}]", *(c.encode().decode("latin-1") for c in OTHER_SPACE)])
+        self.odd = re.compile(f"(?:{others}) ".encode("latin-1"))
+        self.number: dict[bytes, int] = {}
+        self.counts, self.linked, self.shown, self.hits = array("q"), array("q"), [], np.zeros(0, np.int64)
 
     def fragments(self, data: bytes) -> list[bytes]:
-        """The bytes of a space and a text, cut before spaces that end a token of both."""
+        """A space and a text cut before spaces that end a token of both, each fragment without its space."""
+        if not self.odd.search(b" " + data):
+            return data.split(b" ")
         out: list[bytes] = []
-        for f in self.cut(data):
+        for f in self.cut(b" " + data):
             if out and not f.startswith(b" "):
                 out[-1] += f
             else:
-                out.append(f)
+                out.append(f[1:])
         return out
 
-    def pieces_of(self, fragments: list[str]) -> list[list[int]]:
-        """Piece ids of fragments; the model adds the space that each begins with, but to an empty string."""
-        found = self.b.encode([f[1:] for f in fragments], num_threads=1) if fragments else []
+    def byte_ids(self, fragments: list[bytes]) -> list[list[int]]:
+        """Byte-level ids of each fragment; those that do not end in white space are encoded many in one string."""
+        out: list[list[int]] = [[]] * len(fragments)
+        texts = [" " + f.decode() for f in fragments]
+        joined = [k for k, t in enumerate(texts) if not t[-1].isspace()]
+        alone = [k for k, t in enumerate(texts) if t[-1].isspace()]
+        for part in (joined[k : k + TOGETHER] for k in range(0, len(joined), TOGETHER)):
+            ids = self.a.encode("".join([texts[k] for k in part]), add_special_tokens=False).ids
+            ends = {e: n for n, e in enumerate(accumulate([self.size_a[i] for i in ids]), 1)}
+            lo = 0
+            for k, end in zip(part, accumulate([len(fragments[k]) + 1 for k in part])):
+                hi = ends[end]
+                out[k], lo = ids[lo:hi], hi
+        for k, found in zip(alone, self.a.encode_batch_fast([texts[k] for k in alone], add_special_tokens=False), strict=True):
+            out[k] = found.ids
+        return out
+
+    def piece_ids(self, fragments: list[bytes]) -> list[list[int]]:
+        """Piece ids of each fragment; the model adds the space that each begins with, but to an empty string."""
+        found = self.b.encode([f.decode() for f in fragments], num_threads=1) if fragments else []
         return [ids or [self.b.piece_to_id("▁")] for ids in found]
 
-    def align(self, fragments: list[bytes]) -> list[Aligned | None]:
-        ids_a = [e.ids for e in self.a.encode_batch_fast([f.decode() for f in fragments], add_special_tokens=False)]
-        ids_b = self.pieces_of([f.decode() for f in fragments])
-        out: list[Aligned | None] = []
-        for f, a, b in zip(fragments, ids_a, ids_b, strict=True):
-            parts_a, parts_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-            whole = b"".join(parts_a) == f and b"".join(parts_b) == f
-            out.append(aligned(a, b, [*map(len, parts_a)], [*map(len, parts_b)]) if whole else None)
+    def learn(self, fragments: list[bytes]) -> None:
+        """Aligns and numbers new fragments."""
+        names, bytes_a, bytes_b, size_a, size_b = self.names, self.bytes_a, self.bytes_b, self.size_a, self.size_b
+        for f, a, b in zip(fragments, self.byte_ids(fragments), self.piece_ids(fragments), strict=True):
+            self.number[f] = len(self.shown)
+            whole = b" " + f
+            if b"".join([bytes_a[i] for i in a]) != whole or b"".join([bytes_b[i] for i in b]) != whole:
+                self.counts.extend((-1, -1, -1, 0))
+                self.shown.append("")
+                continue
+            ends_a, ends_b = list(accumulate([size_a[i] for i in a])), list(accumulate([size_b[i] for i in b]))
+            shown, found = [], []
+            for lo_a, to_a, lo_b, to_b in groups(ends_a, ends_b):
+                if to_a == lo_a + 1 and to_b == lo_b + 1:
+                    i, j = a[lo_a], b[lo_b]
+                    shown.append(names[i] + "|" + names[j])
+                    found.append(i << 32 | j)
+                    continue
+                shown.append(",".join([names[i] for i in a[lo_a:to_a]]) + "|" + ",".join([names[i] for i in b[lo_b:to_b]]))
+                found += [a[i] << 32 | b[j] for i, j in links(ends_a, ends_b, lo_a, to_a, lo_b, to_b)]
+            self.counts.extend((len(a), len(b), len(shown), len(found)))
+            self.shown.append(";".join(shown))
+            self.linked.extend(found)
+
+    def texts(self, data: bytes, sizes: list[int]) -> list[np.ndarray]:
+        """The numbers of the fragments of each text; an empty text has none."""
+        if len(self.number) > REMEMBERED:
+            self.forget()
+        out, at, number = [], 0, self.number
+        for size in sizes:
+            fragments = self.fragments(data[at : at + size]) if size else []
+            at += size
+            new = set(fragments).difference(number)
+            if new:
+                self.learn(list(new))
+            out.append(np.array(list(map(number.__getitem__, fragments)), np.int64))
+        met = np.bincount(np.concatenate([np.zeros(0, np.int64), *out]), minlength=len(self.shown))
+        met[: len(self.hits)] += self.hits
+        self.hits = met
         return out
 
-    def text(self, data: bytes) -> list[Aligned | None]:
-        fragments, known = self.fragments(b" " + data), self.known
-        missing = [f for f in set(fragments) if f not in known]
-        own: dict[bytes, Aligned | None] = {}
-        if missing and len(known) > REMEMBERED:
-            known.clear()
-            missing = list(set(fragments))
-        for f, x in zip(missing, self.align(missing), strict=True):
-            (known if len(f) <= LONGEST else own)[f] = x
-        return [own[f] if f in own else known[f] for f in fragments]
+    def forget(self) -> None:
+        """Keeps at most half as many fragments as may be remembered, the frequent ones."""
+        least = 2
+        while (keep := self.hits >= least).sum() > REMEMBERED // 2:
+            least *= 2
+        n = np.array(self.counts, np.int64).reshape(-1, 4)
+        linked = np.array(self.linked, np.int64)[np.repeat(keep, n[:, 3])]
+        self.number = {f: k for k, f in enumerate(compress(self.number, keep.tolist()))}
+        self.shown = list(compress(self.shown, keep.tolist()))
+        self.counts, self.linked, self.hits = array("q", n[keep].tobytes()), array("q", linked.tobytes()), self.hits[keep] // 2
+
+
+@lru_cache(maxsize=1)
+def aligner(path_a: str, path_b: str) -> Aligner:
+    return Aligner(path_a, path_b)
 
 
 def _pairs_of_blocks(path_a: str, path_b: str):
     """Function for mapInArrow: every block's documents aligned, their pairs numbered within the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(path_a, path_b)
+        memory = aligner(path_a, path_b)
         for block, ids, sizes, data in unpacked(batches):
-            totals, shas, used, at = np.zeros((4, len(ids)), np.int64), [], [], 0
-            for k, size in enumerate(sizes.tolist()):
-                found = aligner.text(data[at : at + size]) if size else []
-                at += size
-                if not found or None in found:
-                    shas.append("")
-                    used.append(np.zeros(0, np.int64))
-                    continue
-                totals[:, k] = np.array([x[:4] for x in found]).sum(axis=0)
-                shas.append(hashlib.sha256(";".join([x.text for x in found]).encode()).hexdigest())
-                used.append(np.concatenate([x.links for x in found]))
-            own = [np.unique(x, return_counts=True) for x in used]
-            joined = np.concatenate([x for x, _ in own]) if own else np.zeros(0, np.int64)
-            pairs, index = np.unique(joined, return_inverse=True)
-            times = np.concatenate([n for _, n in own]) if own else joined
+            found = memory.texts(data, sizes.tolist())
+            counts = np.array(memory.counts, np.int64).reshape(-1, 4)
+            whole = [bool(len(x)) and counts[x, 0].min() >= 0 for x in found]
+            found = [x if ok else x[:0] for x, ok in zip(found, whole, strict=True)]
+            totals = np.array([counts[x].sum(axis=0) for x in found], np.int64).reshape(-1, 4)
+            shas = [hashlib.sha256(";".join([memory.shown[k] for k in x.tolist()]).encode()).hexdigest() if ok else "" for x, ok in zip(found, whole, strict=True)]
+            every = np.concatenate([np.zeros(0, np.int64), *found])
+            n, ends = counts[every, 3], np.cumsum(counts[:, 3])
+            place = np.arange(int(n.sum())) + np.repeat(ends[every] - n - np.cumsum(n) + n, n)
+            pairs, index = np.unique(np.array(memory.linked, np.int64)[place], return_inverse=True)
+            doc = np.repeat(np.arange(len(found)), totals[:, 3])
+            used, times = np.unique(doc * max(1, len(pairs)) + index, return_counts=True)
+            doc, index = np.divmod(used, max(1, len(pairs)))
             yield pa.record_batch(
                 {
                     "block": pa.array([block], pa.int64()),
                     "ids": pa.array([ids], pa.list_(pa.int64())),
-                    **{c: pa.array([row], pa.list_(pa.int64())) for c, row in zip(TOTALS, totals, strict=True)},
+                    **{c: pa.array([row], pa.list_(pa.int64())) for c, row in zip(TOTALS, totals.T, strict=True)},
                     "groups_sha256": pa.array([shas], pa.list_(pa.string())),
-                    "sizes": pa.array([[len(x) for x, _ in own]], pa.list_(pa.int64())),
+                    "sizes": pa.array([np.bincount(doc, minlength=len(found))], pa.list_(pa.int64())),
                     "pairs": pa.array([planes(np.diff(pairs, prepend=0))], pa.binary()),
                     "used": pa.array([planes(np.concatenate([index, times]).astype(np.uint32))], pa.binary()),
                 }

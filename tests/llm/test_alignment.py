@@ -100,10 +100,12 @@ def test_fragments_give_the_tokens_of_whole_texts():
     byte, piece = alignment.byte_level(A), alignment.pieces(B)
     for _ in range(3000):
         t = "".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(0xA0, 0x250), rng.randrange(0x3000, 0x30FF), *map(ord, SPACES)])) for _ in range(rng.randint(1, 25)))
-        fragments = [f.decode() for f in aligner.fragments(b" " + t.encode())]
-        assert "".join(fragments) == " " + t and all(f[0] == " " for f in fragments)
-        assert [i for f in fragments for i in byte.encode(f, add_special_tokens=False).ids] == byte.encode(" " + t, add_special_tokens=False).ids
-        assert [i for ids in aligner.pieces_of(fragments) for i in ids] == piece.encode(t)
+        fragments = aligner.fragments(t.encode())
+        assert b"".join(b" " + f for f in fragments).decode() == " " + t
+        assert [i for ids in aligner.byte_ids(fragments) for i in ids] == byte.encode(" " + t, add_special_tokens=False).ids
+        assert [i for ids in aligner.piece_ids(fragments) for i in ids] == piece.encode(t)
+        random.shuffle(fragments)  # fragments meet other neighbours when they are encoded together
+        assert aligner.byte_ids(fragments) == [byte.encode(" " + f.decode(), add_special_tokens=False).ids for f in fragments]
 
 
 def test_links_are_the_overlaps_of_each_group():
@@ -112,7 +114,13 @@ def test_links_are_the_overlaps_of_each_group():
         n = rng.randint(1, 30)
         ends = [sorted({n, *(rng.randint(1, n) for _ in range(rng.randint(0, n)))}) for _ in range(2)]
         want = {(i, j) for i, e in enumerate(ends[0]) for j, f in enumerate(ends[1]) if max(([0] + ends[0])[i], ([0] + ends[1])[j]) < min(e, f)}
-        assert [x for a, b in alignment.groups(*ends) for x in alignment.links(*ends, a, b)] == sorted(want)
+        assert [x for g in alignment.groups(*ends) for x in alignment.links(*ends, *g)] == sorted(want)
+
+
+def test_forgetting(spark, monkeypatch):
+    monkeypatch.setattr(alignment, "REMEMBERED", 2)
+    rows = [(i, f"w{i} x y z {i % 3} w{i}") for i in range(30)]
+    assert got(spark, rows, block_bytes=20) == brute(rows)
 
 
 def test_a_very_long_text(spark):
