@@ -59,6 +59,44 @@ def words_from(documents: DataFrame) -> DataFrame:
     return _timed(rows, "video_id")
 
 
+#: Deliveries of the live feed; words of a part come one delivery after it at the latest, its mark with them.
+PARTS = 5
+
+
+def word_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and marks with the delivery in which each arrives: long videos first, some words late.
+
+    Every word comes twice, as from two overlapping chunks; the second copy
+    may come one delivery later.
+    """
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("video_id"), _tokens(F.col("text")).alias("toks"))
+    docs = docs.withColumn("n", F.size("toks").cast("long"))
+    docs = docs.withColumn("duration_s", _last_end_ms(F.col("toks")) / F.lit(1000.0))
+    after = F.when(F.col("n") > 1000, 0).otherwise(2)
+    said = docs.select("video_id", "n", "duration_s", after.alias("after"), F.posexplode("toks").alias("p", "word"))
+    said = _timed(said.withColumn("pos", F.col("p").cast("long")), "video_id")
+    part = F.expr(f"pos * {PARTS} div n")
+    copies = said.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    late = F.when((F.col("pos") % 97 == 5) | ((F.col("copy") == 1) & (F.col("pos") % 2 == 0)), 1).otherwise(0)
+    none = F.lit(None)
+    heard = copies.select(
+        "video_id", "pos", "word", "start_s", "end_s", "confidence", none.cast("double").alias("from_s"), none.cast("double").alias("to_s"), "duration_s",
+        none.cast("boolean").alias("final"), "copy", (F.col("after") + part + late).cast("int").alias("delivery"),
+    )
+    # The mark of a part: its first word and that of the next part.
+    at = lambda p: F.expr(f"cast(ceil({p} * n / {PARTS}) as bigint)")
+    marks = docs.select("video_id", "n", "duration_s", after.alias("after"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    marks = marks.withColumns({"pos0": at("part"), "pos1": at("(part + 1)"), "final": F.col("part") == PARTS - 1})
+    marks = marks.select(
+        "video_id", F.when(F.col("final"), F.col("n")).alias("pos"), none.cast("string").alias("word"), none.cast("double").alias("start_s"),
+        none.cast("double").alias("end_s"), none.cast("double").alias("confidence"),
+        F.when(F.col("part") == 0, F.lit(0.0)).otherwise(_start_ms("pos0") / F.lit(1000.0)).alias("from_s"),
+        F.when(F.col("final"), F.col("duration_s")).otherwise(_start_ms("pos1") / F.lit(1000.0)).alias("to_s"), "duration_s",
+        "final", F.lit(0).alias("copy"), (F.col("after") + F.col("part") + 1).cast("int").alias("delivery"),
+    )
+    return heard.unionByName(marks)
+
+
 def words_disordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = F.when(F.col("pos") % 37 == 5, F.lit(0.45)).otherwise(F.lit(0.0))
     return words(spark, sf_dir).withColumns(

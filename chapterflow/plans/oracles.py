@@ -929,4 +929,8 @@ oracle(
          SELECT *, sum(CAST(opens AS INT)) OVER (PARTITION BY video_id ORDER BY pos) AS run FROM (
            SELECT *, coalesce(start_s - lag(end_s) OVER (PARTITION BY video_id ORDER BY pos) > 0.5, true) AS opens FROM words)) GROUP BY video_id, run""",
 )
+ORACLES["captions_closed_stream"] = ORACLES["captions"]
+ORACLES["confidence_windows_closed_stream"] = ORACLES["confidence_windows"]
+ORACLES["spend_alerts_closed_stream"] = ORACLES["spend_alerts_stream"]
+oracle("distinct_words_closed_stream", "words", "SELECT video_id, pos, word FROM words")
 oracle("distinct_words_stream", "words", "SELECT video_id, pos, word FROM words")

@@ -22,7 +22,7 @@ from chapterflow.operators import timeline as L
 from chapterflow.plans import fixtures as X
 from chapterflow.sources import asr, responses
 from chapterflow.sources.stages import StageStore
-from chapterflow.streaming import jobs, live
+from chapterflow.streaming import jobs, live, stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -761,6 +761,59 @@ def distinct_words_stream(spark, sf_dir):
     return out.select("video_id", "pos", "word")
 
 
+def _deliveries(spark, rows, n):
+    """A folder to which the rows are appended delivery by delivery, and a stream of it, one delivery a batch."""
+    staged, arrived = jobs.new_folder(spark, "staged"), jobs.new_folder(spark, "arrivals")
+    rows.write.partitionBy("delivery").parquet(staged)
+    for k in range(n):
+        spark.read.schema(rows.schema).parquet(staged).filter(F.col("delivery") == k).repartition(4, "pos").write.mode("append").parquet(arrived)
+    return jobs.read_stream(spark, arrived, "*.parquet", 4)
+
+
+def _feed(spark, sf_dir, copies=1):
+    rows = X.word_feed(spark, sf_dir).filter(F.col("copy") < copies).drop("copy")
+    return _deliveries(spark, rows, X.PARTS + 3).drop("delivery")
+
+
+def _drained(stream, mode, name, keys=None):
+    """The stream's table; fails if any state is left behind."""
+    told = []
+    out = jobs.run_to_table(stream, mode, name, keys, told)
+    if (left := stateful.rows_of_state(told)) != 0:
+        raise RuntimeError(f"{name}: {left} rows of state are left")
+    return out
+
+
+@query
+def captions_closed_stream(spark, sf_dir):
+    """Captions of words that arrive in eight deliveries, long videos first, some words late."""
+    return rounded(_drained(stateful.captions_stream(_feed(spark, sf_dir)), "append", "captions"))
+
+
+@query
+def confidence_windows_closed_stream(spark, sf_dir):
+    return rounded(_drained(stateful.confidence_windows_stream(_feed(spark, sf_dir)), "append", "windows"))
+
+
+@query
+def distinct_words_closed_stream(spark, sf_dir):
+    """Every word arrives twice, in one delivery or in two."""
+    out = _drained(stateful.distinct_words_stream(_feed(spark, sf_dir, copies=2)), "append", "distinct_closed")
+    return out.select("video_id", "pos", "word")
+
+
+@query
+def spend_alerts_closed_stream(spark, sf_dir):
+    """Events in three deliveries, then the end of every run."""
+    events = X.progress_events(spark, sf_dir).select("run_id", F.col("seq").alias("pos"), "type", "cost_usd", "budget_usd", F.pmod("seq", F.lit(3)).cast("int").alias("delivery"))
+    ends = events.select("run_id").distinct().select(
+        "run_id", F.lit(None).cast("long").alias("pos"), F.lit("run_end").alias("type"), F.lit(None).cast("double").alias("cost_usd"),
+        F.lit(None).cast("double").alias("budget_usd"), F.lit(3).alias("delivery"),
+    )
+    stream = _deliveries(spark, events.unionByName(ends), 4)
+    return rounded(_drained(stateful.spend_alerts_stream(stream), "update", "spend_closed", keys=["run_id"]))
+
+
 @query
 def process_stage_stream(spark, sf_dir):
     """Cleaning as an incremental stage over arriving documents."""

@@ -28,12 +28,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/streams/{name}-{uuid.uuid4().hex}"
 
 
-def run_to_table(stream: DataFrame, mode: str, name: str, keys: list[str] | None = None) -> DataFrame:
+def run_to_table(stream: DataFrame, mode: str, name: str, keys: list[str] | None = None, told: list | None = None) -> DataFrame:
     """Drain a stream into a table of the shared folder and return the table.
 
     ``append`` output is written as it comes. ``update`` output is written per
     micro-batch and the latest batch wins for each of ``keys``; a batch
     replayed after a failure overwrites its own folder, so nothing doubles.
+    ``told`` receives the progress reports of the query.
     """
     spark = stream.sparkSession
     root = new_folder(spark, name)
@@ -47,6 +48,8 @@ def run_to_table(stream: DataFrame, mode: str, name: str, keys: list[str] | None
         .option("checkpointLocation", progress).trigger(availableNow=True).start()
     )
     query.awaitTermination()
+    if told is not None:
+        told.extend(query.recentProgress)
     schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
     written = spark.read.schema(schema).parquet(table)
     if mode == "append" or keys is None:
