@@ -14,6 +14,7 @@ from chapterflow.functions import text as T
 from chapterflow.functions import timefmt as M
 from chapterflow.operators import blocks
 from chapterflow.operators.blocks import BLOCK
+from chapterflow.sources.responses import sound_chapter
 
 CHAPTERS_PER_BLOCK = 4096
 KEY = ["video_id"]
@@ -152,18 +153,16 @@ def review_queue(chapters: DataFrame, limit: int, threshold: float = 0.7) -> Dat
     return flagged.orderBy("confidence", "video_id", "number").limit(limit)
 
 
-def validate_chapters(chapters: DataFrame) -> tuple[DataFrame, DataFrame]:
+def validate_chapters(chapters: DataFrame, keys: tuple[str, ...] = ("video_id",)) -> tuple[DataFrame, DataFrame]:
     """Split parsed chapters by response: every row must be complete and in range.
 
-    One bad row rejects its whole response (to be asked again).
+    One bad row rejects its whole response (to be asked again); ``keys`` name
+    a response. Where the responses themselves are at hand,
+    ``responses.read_chapters`` says the same without a join.
     """
-    required = ["number", "title", "start_time", "end_time", "start_seconds", "end_seconds", "confidence", "transcript"]
-    complete = F.lit(True)
-    for c in required:
-        complete = complete & F.col(c).isNotNull()
-    good = F.coalesce(complete & F.col("confidence").between(0, 1), F.lit(False))
-    rejects = chapters.filter(~good).select("video_id").distinct()
-    return chapters.join(rejects, "video_id", "left_anti"), chapters.join(rejects, "video_id", "left_semi")
+    good = F.coalesce(sound_chapter(F.col), F.lit(False))
+    rejects = chapters.filter(~good).select(*keys).distinct()
+    return chapters.join(rejects, [*keys], "left_anti"), chapters.join(rejects, [*keys], "left_semi")
 
 
 def audit_chapters(chapters: DataFrame, size: int = CHAPTERS_PER_BLOCK, tolerance_s: float = 0.001) -> DataFrame:

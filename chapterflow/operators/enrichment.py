@@ -14,8 +14,9 @@ from chapterflow.operators.chapters import chapter_context
 def build_segment_prompts(routed: DataFrame, templates: dict[str, str]) -> DataFrame:
     """Fill the template each transcript was routed to.
 
-    Rows carry (title, topic, duration_s, text, template); a template name
-    without text gives no prompt.
+    Rows carry (title, topic, duration_s, text, template), and ``block`` where
+    a text is asked about block by block; a template name without text gives
+    no prompt.
     """
     template = S.lookup(templates, F.col("template"))
     values = {
@@ -24,7 +25,8 @@ def build_segment_prompts(routed: DataFrame, templates: dict[str, str]) -> DataF
         "VIDEO_TOTAL_DURATION": M.clock_time(F.col("duration_s")),
         "FULL_TRANSCRIPT": F.col("text"),
     }
-    return routed.select("video_id", "template", T.fill_template(template, values).alias("prompt"))
+    keys = ["video_id", *(c for c in ("block",) if c in routed.columns)]
+    return routed.select(*keys, "template", T.fill_template(template, values).alias("prompt"))
 
 
 def build_enrich_prompts(chapters: DataFrame, template: str) -> DataFrame:

@@ -294,6 +294,40 @@ def block_chapters(spark: SparkSession, sf_dir: str, plan: DataFrame) -> DataFra
     )
 
 
+def block_answers(prompts: DataFrame) -> DataFrame:
+    """Model answers to prompts about blocks: two chapters each over the text of the prompt, sound or damaged.
+
+    By (video + block) % 7: plain, fenced, bare keys in prose with other
+    brackets (one chapter), broken off in a third chapter, a field missing,
+    no answer at all, a trailing comma.
+    """
+    said = F.regexp_replace("prompt", r'[,:{}\[\]"\\\\]', " ")
+    half = F.ceil(F.length("said") / 2).cast("int")
+    chapter = lambda k, text: F.to_json(
+        F.struct(
+            F.lit(k).alias("number"), F.concat(F.lit(f"Parte {k} de "), F.col("block").cast("string")).alias("title"),
+            F.lit("00:00:00.000").alias("start_time"), F.lit("00:00:01.000").alias("end_time"), F.lit(k * 2.0).alias("start_seconds"),
+            F.lit(k * 2.0 + 2.0).alias("end_seconds"), F.lit(0.5 + k / 4).alias("confidence"), text.alias("transcript"),
+        )
+    )
+    rows = prompts.withColumn("said", said).withColumns(
+        {"a": chapter(1, F.substring(F.col("said"), F.lit(1), half)), "b": chapter(2, F.substring(F.col("said"), half + 1, F.length("said")))}
+    )
+    both = F.concat(F.lit("["), F.col("a"), F.lit(","), F.col("b"), F.lit("]"))
+    bare = F.regexp_replace("a", r'"(number|title|start_time|end_time|start_seconds|end_seconds|confidence|transcript)":', "$1:")
+    way = (F.col("video_id") + F.col("block")) % 7
+    text = (
+        F.when(way == 0, both)
+        .when(way == 1, F.concat(F.lit("```json\n"), both, F.lit("\n```")))
+        .when(way == 2, F.concat(F.lit("Nota [uno]: "), F.regexp_replace(bare, r"\}\z", ",}"), F.lit(" y [dos]")))
+        .when(way == 3, F.concat(F.lit("["), F.col("a"), F.lit(","), F.col("b"), F.lit(',{"number":3,"title":"cort{ado')))
+        .when(way == 4, F.regexp_replace(both, '"confidence":0.75,', ""))
+        .when(way == 5, F.lit("No puedo ayudar con eso."))
+        .otherwise(F.regexp_replace(both, r"\]\z", ",]"))
+    )
+    return rows.select("video_id", "block", text.alias("text"))
+
+
 def short_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """40-second chunks every 30 seconds, so their words do overlap."""
     return table(spark, sf_dir, "conversations").select(

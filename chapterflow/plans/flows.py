@@ -34,13 +34,19 @@ def merge_transcription(chunks: DataFrame, results: DataFrame, words: DataFrame,
     return merged, K.reassembled_words(chunks, words, overlap)
 
 
-def segment(answers: DataFrame, threshold: float = 0.7) -> tuple[DataFrame, DataFrame]:
-    """Flagged chapters of sound answers; video ids to ask again."""
-    parsed, unread = responses.parse_chapters(answers)
-    ok, rejected = C.validate_chapters(parsed)
-    chapters = C.flag_for_review(ok.withColumnsRenamed({"start_seconds": "start_s", "end_seconds": "end_s"}), threshold)
-    again = unread.select("video_id").unionByName(rejected.select("video_id").distinct())
-    return chapters.drop("parse_stage"), again
+def segment(answers: DataFrame, threshold: float = 0.7, plan: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Flagged chapters of sound answers; videos, or blocks of them, to ask again.
+
+    With a ``plan`` of blocks the answers are (video_id, block, text): sound
+    blocks are shifted to their place and numbered through, others skipped.
+    """
+    keys = ("video_id",) if plan is None else ("video_id", "block")
+    read = responses.read_chapters(answers, keys)
+    rows = responses.chapter_rows(read.filter("verdict = 'ok'"), keys).drop("parse_stage")
+    rows = rows.withColumnsRenamed({"start_seconds": "start_s", "end_seconds": "end_s"})
+    if plan is not None:
+        rows, _ = C.merge_block_chapters(rows, plan)
+    return C.flag_for_review(rows, threshold), read.filter("verdict <> 'ok'").select(*keys)
 
 
 def enrich(chapters: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -543,6 +543,26 @@ oracle(
        round(start_s + k * half, 6) AS end_s FROM
        (SELECT video_id, block, start_s, (end_s - start_s) / 2 AS half, unnest([1, 2]) AS k FROM blocks WHERE (video_id + block) % 5 <> 0)""",
 )
+cte(
+    "answered",
+    r"""SELECT video_id, block, start_s AS offset_s, (video_id + block) % 7 AS way, ceil(length(said) / 2)::BIGINT AS half, said FROM
+        (SELECT *, regexp_replace(text, '[,:{}\[\]"\\]', ' ', 'g') AS said FROM blocks)""",
+    "blocks",
+)
+oracle(
+    "segmented_blocks", "answered",
+    f"""SELECT video_id, number, block, title, round(a, 6) AS start_s, round(b, 6) AS end_s, {clock("a")} AS start_time, {clock("b")} AS end_time, confidence, transcript, confidence < 0.7 AS needs_review FROM (
+          SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY block, k) AS number, block, 'Parte ' || k || ' de ' || block AS title,
+            offset_s + k * 2::DOUBLE AS a, offset_s + (k * 2 + 2)::DOUBLE AS b, 0.5 + k / 4 AS confidence,
+            CASE k WHEN 1 THEN left(said, half) ELSE substr(said, half + 1) END AS transcript
+          FROM (SELECT *, unnest([1, 2]) AS k FROM answered WHERE way NOT IN (4, 5)) WHERE NOT (way = 2 AND k = 2))""",
+)
+oracle("blocks_to_ask_again", "answered", "SELECT video_id, block FROM answered WHERE way IN (4, 5)")
+oracle(
+    "read_block_answers", "answered",
+    """SELECT video_id, block, CASE way WHEN 0 THEN 'whole' WHEN 1 THEN 'array' WHEN 2 THEN 'mended' WHEN 3 THEN 'balanced' WHEN 4 THEN 'whole' WHEN 5 THEN 'failed' ELSE 'mended' END AS parse_stage,
+       CASE way WHEN 4 THEN 'incomplete' WHEN 5 THEN 'unread' ELSE 'ok' END AS verdict, CASE way WHEN 2 THEN 1 WHEN 5 THEN 0 ELSE 2 END AS n_chapters FROM answered""",
+)
 oracle("unsegmented_videos", "blocks", "SELECT video_id FROM blocks GROUP BY 1 HAVING bool_and((video_id + block) % 5 = 0)")
 oracle(
     "estimate_ratios", "chapters transcripts",

@@ -20,6 +20,7 @@ from chapterflow.operators import models as A
 from chapterflow.operators import ops as O
 from chapterflow.operators import timeline as L
 from chapterflow.plans import fixtures as X
+from chapterflow.plans import flows
 from chapterflow.sources import asr, responses
 from chapterflow.sources.stages import StageStore
 from chapterflow.streaming import jobs, live, stateful
@@ -453,6 +454,33 @@ def enriched_index(spark, sf_dir):
 # --- model answers ----------------------------------------------------------
 
 
+def _block_prompts(spark, sf_dir):
+    plan = _block_plan(spark, sf_dir)
+    asked = plan.withColumns({"title": F.lit("t"), "topic": F.lit("p"), "duration_s": F.col("end_s") - F.col("start_s"), "template": F.lit("block")})
+    return plan.select("video_id", "block", "start_s", "end_s"), E.build_segment_prompts(asked, {"block": "{{FULL_TRANSCRIPT}}"})
+
+
+@query
+def segmented_blocks(spark, sf_dir):
+    """Blocks from prompt to merged chapters, through damaged answers."""
+    plan, prompts = _block_prompts(spark, sf_dir)
+    chapters, _ = flows.segment(X.block_answers(prompts), plan=plan)
+    return rounded(chapters.select("video_id", "number", "block", "title", "start_s", "end_s", "start_time", "end_time", "confidence", "transcript", "needs_review"))
+
+
+@query
+def blocks_to_ask_again(spark, sf_dir):
+    plan, prompts = _block_prompts(spark, sf_dir)
+    return flows.segment(X.block_answers(prompts), plan=plan)[1]
+
+
+@query
+def read_block_answers(spark, sf_dir):
+    """How every answer about a block was read."""
+    read = responses.read_chapters(X.block_answers(_block_prompts(spark, sf_dir)[1]), ("video_id", "block"))
+    return read.select("video_id", "block", "parse_stage", "verdict", F.coalesce(F.size("chapters"), F.lit(0)).cast("long").alias("n_chapters"))
+
+
 @query
 def parse_chapters(spark, sf_dir):
     parsed, _ = responses.parse_chapters(X.chapter_responses(spark, sf_dir))

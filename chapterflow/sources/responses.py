@@ -9,6 +9,10 @@ from chapterflow import schemas as S
 from chapterflow.functions.text import strip
 
 
+#: Fields of a chapter in a model's answer, all required.
+CHAPTER_FIELDS = ["number", "title", "start_time", "end_time", "start_seconds", "end_seconds", "confidence", "transcript"]
+
+
 def sealed(df: DataFrame) -> DataFrame:
     """The same rows, opaque to filters applied later.
 
@@ -34,15 +38,40 @@ def _outermost(c: Column, left: str, right: str) -> Column:
     return F.nullif(found, F.lit(""))
 
 
-def _mended(c: Column) -> Column:
-    """Drop code fences, cut to the outer braces or brackets, whichever open first, drop trailing commas, quote bare keys."""
-    c = F.regexp_replace(c, r"(?iU)```json\s*|\s*```", "")
-    c = F.regexp_replace(c, r"(?s)\A[^{\[]*([{\[])", "$1")
-    c = F.regexp_replace(c, r"(?s)([}\]])[^}\]]*\z", "$1")
+def _tidied(c: Column) -> Column:
+    """Drop trailing commas and quote bare keys."""
     c = F.regexp_replace(c, r"(?U),\s*([}\]])", "$1")
     return strip(F.regexp_replace(c, r"(?U)([{,]\s*)(\w+)(\s*:)", '$1"$2"$3'))
 
 
+def _mended(c: Column, left: str = r"{\[", right: str = r"}\]") -> Column:
+    """Drop code fences, cut from the first opening to the last closing character of the given ones, tidy up."""
+    c = F.regexp_replace(c, r"(?iU)```json\s*|\s*```", "")
+    c = F.regexp_replace(c, rf"(?s)\A[^{left}]*([{left}])", "$1")
+    return _tidied(F.regexp_replace(c, rf"(?s)([{right}])[^{right}]*\z", "$1"))
+
+
+def balanced_pattern(depth: int) -> str:
+    """Pattern of an object whose braces close, those inside strings not counted, nested up to ``depth`` deep.
+
+    All loops are possessive, so nothing is tried twice and the matcher's
+    stack does not grow with the text.
+    """
+    inner = r'[^{}"]++|"(?:[^"\\]++|\\.)*+"'
+    found = rf"\{{(?:{inner})*+\}}"
+    for _ in range(depth):
+        found = rf"\{{(?:{inner}|{found})*+\}}"
+    return f"(?s){found}"
+
+
+def whole_objects(c: Column, keys: list[str], depth: int = 4) -> Column:
+    """The complete objects of a truncated or mixed text that have any of the keys, as a JSON array (null if none)."""
+    objects = F.regexp_extract_all(c, F.lit(balanced_pattern(depth)), F.lit(0))
+    read = F.transform(objects, lambda o: F.coalesce(_json_or_null(o), _json_or_null(_tidied(o))))
+    known = F.filter(read, lambda o: F.coalesce(F.arrays_overlap(F.json_object_keys(o), F.array(*map(F.lit, keys))), F.lit(False)))
+    return F.when(F.size(known) > 0, F.concat(F.lit("["), F.array_join(known, ","), F.lit("]")))
+
+
 def scrape_pairs(c: Column) -> Column:
     """``key: value`` pairs anywhere in the text, as a JSON object (null if none).
 
@@ -66,21 +95,28 @@ def scrape_pairs(c: Column) -> Column:
     return F.when(F.size(merged) > 0, F.concat(F.lit("{"), F.array_join(fields, ","), F.lit("}")))
 
 
-def extract_json(responses: DataFrame, text_col: str = "text") -> DataFrame:
+def extract_json(responses: DataFrame, text_col: str = "text", keys: list[str] | None = None) -> DataFrame:
     """Add ``json`` and the ``parse_stage`` that found it (``failed`` if none did).
 
     Candidates become columns one by one, each built only where the earlier
-    ones failed, so a clean response is parsed once.
+    ones failed, so a clean response is parsed once. A damaged text is cut at
+    the outer brackets of either kind, then at its outer braces, then at its
+    outer square brackets. With ``keys`` the complete objects of a text that
+    breaks off are kept before single pairs are scraped.
     """
     c = F.col(text_col)
-    candidates = {
-        "whole": strip(c),
-        "object": _outermost(c, "{", "}"),
-        "array": _outermost(c, "[", "]"),
-        "mended": _mended(c),
-    }
+    candidates = [
+        ("whole", strip(c)),
+        ("object", _outermost(c, "{", "}")),
+        ("array", _outermost(c, "[", "]")),
+        ("mended", _mended(c)),
+        ("mended", _mended(c, "{", "}")),
+        ("mended", _mended(c, r"\[", r"\]")),
+    ]
+    if keys:
+        candidates.append(("balanced", whole_objects(c, keys)))
     rows = responses.withColumns({"json": F.lit(None).cast("string"), "parse_stage": F.lit(None).cast("string")})
-    for stage, candidate in candidates.items():
+    for stage, candidate in candidates:
         rows = rows.withColumn("__try", F.when(F.col("json").isNull(), candidate))
         rows = rows.withColumn("__found", _json_or_null(F.col("__try")))
         rows = rows.withColumns(
@@ -98,32 +134,54 @@ def extract_json(responses: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
-def parse_chapters(responses: DataFrame, array_mode: str = "all") -> tuple[DataFrame, DataFrame]:
-    """Chapter rows of each response, and a quarantine of responses without any.
+def read_chapters(responses: DataFrame, keys: tuple[str, ...] = ("video_id",), array_mode: str = "all") -> DataFrame:
+    """(keys.., parse_stage, verdict, chapters, text): every response parsed once, with its chapters as an array.
 
-    ``array_mode="first"`` keeps only the first object of an array that was
-    embedded in other text.
+    ``keys`` name a response: a video, or a video and the block of its text
+    that was asked about. ``verdict`` is ``ok``, ``incomplete`` (a chapter
+    lacks a field or its confidence is out of range, which rejects the
+    response) or ``unread``. ``array_mode="first"`` keeps only the first
+    object of an array that was embedded in other text.
     """
-    found = extract_json(responses)
+    found = extract_json(responses.select(*keys, "text"), keys=CHAPTER_FIELDS)
     as_array = F.when(F.col("json").startswith("["), F.col("json")).otherwise(
         F.concat(F.lit("["), F.col("json"), F.lit("]"))
     )
     rows = F.from_json(as_array, S.CHAPTERS_JSON)
     if array_mode == "first":
         rows = F.when(F.col("parse_stage") == "array", F.slice(rows, 1, 1)).otherwise(rows)
-    found = found.withColumn("__rows", rows)
-    quarantine = found.filter(F.coalesce(F.size("__rows"), F.lit(0)) < 1).select(
-        "video_id", "parse_stage", F.col("text").alias("raw_response")
-    )
-    opened = found.select("video_id", "parse_stage", F.posexplode_outer("__rows").alias("__i", "__row"))
-    parsed = opened.filter("__i is not null").select("video_id", "parse_stage", "__row.*")
-    return parsed, quarantine
+    sound = F.forall("chapters", lambda c: F.coalesce(sound_chapter(c.getField), F.lit(False)))
+    verdict = F.when(F.coalesce(F.size("chapters"), F.lit(0)) < 1, "unread").when(sound, "ok").otherwise("incomplete")
+    return sealed(found.withColumn("chapters", rows).select(*keys, "parse_stage", verdict.alias("verdict"), "chapters", "text"))
+
+
+def sound_chapter(field) -> Column:
+    """Are all fields of a chapter there and is its confidence a share? ``field`` gives a field by name."""
+    complete = F.lit(True)
+    for c in CHAPTER_FIELDS:
+        complete = complete & field(c).isNotNull()
+    return complete & field("confidence").between(0, 1)
+
+
+def chapter_rows(read: DataFrame, keys: tuple[str, ...] = ("video_id",)) -> DataFrame:
+    """The chapters of ``read_chapters``, one row each."""
+    opened = read.select(*keys, "parse_stage", F.posexplode_outer("chapters").alias("__i", "__row"))
+    return opened.filter("__i is not null").select(*keys, "parse_stage", "__row.*")
+
+
+def parse_chapters(
+    responses: DataFrame, array_mode: str = "all", keys: tuple[str, ...] = ("video_id",)
+) -> tuple[DataFrame, DataFrame]:
+    """Chapter rows of each response, sound or not, and a quarantine of responses without any."""
+    found = read_chapters(responses, keys, array_mode)
+    quarantine = found.filter("verdict = 'unread'").select(*keys, "parse_stage", F.col("text").alias("raw_response"))
+    return chapter_rows(found, keys), quarantine
 
 
 def parse_enrichments(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Typed enrichments and rejects with the list of missing top-level keys."""
     needed = ["chapter", "content", "knowledge", "highlights", "pedagogy", "confidence"]
-    found = extract_json(responses)
+    found = extract_json(responses, keys=needed)
     keys = F.json_object_keys("json")
     missing = F.array_except(F.array(*map(F.lit, needed)), F.coalesce(keys, F.array().cast("array<string>")))
     found = found.withColumns({"missing": missing, "is_object": F.col("json").startswith("{")})
