@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from chapterflow import schemas as S
 from chapterflow.functions import text as T
 from chapterflow.functions import timefmt as M
-from chapterflow.operators import blocks
+from chapterflow.operators import blocks, search
 from chapterflow.operators.blocks import BLOCK
 from chapterflow.sources.responses import sound_chapter
 
@@ -72,20 +72,27 @@ def merge_block_chapters(block_chapters: DataFrame, plan: DataFrame, size: int =
 def estimate_ratios(chapters: DataFrame, transcripts: DataFrame) -> DataFrame:
     """Where a chapter's text begins and ends inside the full text, as shares.
 
-    Looked up by its first and last 50 characters, then by 20.
+    Looked up by its first and last 50 characters, then by 20. The pieces of
+    all chapters are found in one walk over each text; chapters and texts do
+    not meet otherwise.
     """
-    full = transcripts.select("video_id", F.col("text").alias("__text"))
-    rows = chapters.join(full, "video_id")
-    size = F.length("__text")
-    find = lambda piece: F.position(piece, F.col("__text"))  # noqa: E731  (1-based, 0 = absent)
-    head50, head20 = F.substring("transcript", 1, 50), F.substring("transcript", 1, 20)
-    tail50, tail20 = F.expr("right(transcript, 50)"), F.expr("right(transcript, 20)")
-    start = F.when(find(head50) > 0, find(head50)).otherwise(find(head20)) - 1
-    end = F.when(find(tail50) > 0, find(tail50)).otherwise(find(tail20)) - 1
+    ends_of = {"__head": F.coalesce(F.substring("transcript", 1, 50), F.lit("")), "__tail": F.coalesce(F.expr("right(transcript, 50)"), F.lit(""))}
+    sizes = transcripts.select("video_id", F.length("text").alias("__size"))
+    rows = chapters.withColumns(ends_of).join(sizes, "video_id")
+    kinds = {"head50": F.col("__head"), "head20": F.substring("__head", 1, 20), "tail50": F.col("__tail"), "tail20": F.expr("right(__tail, 20)")}
+    asked = chapters.withColumns(ends_of).select("video_id", "__head", "__tail").distinct()
+    pieces = asked.select("*", F.explode(F.create_map(*[x for k, c in kinds.items() for x in (F.lit(k), c)])).alias("kind", "piece"))
+    found = pieces.join(search.locate(transcripts, pieces), ["video_id", "piece"])
+    places = found.groupBy("video_id", "__head", "__tail").agg(*(F.max(F.when(F.col("kind") == k, F.col("place"))).alias(f"__{k}") for k in kinds))
+    rows = rows.join(places, ["video_id", "__head", "__tail"], "left")
+    at = {k: F.coalesce(F.col(f"__{k}"), F.lit(-1)) for k in kinds}
+    start = F.when(at["head50"] >= 0, at["head50"]).otherwise(at["head20"])
+    end = F.when(at["tail50"] >= 0, at["tail50"]).otherwise(at["tail20"])
+    size = F.col("__size")
     empty = (F.col("transcript") == "") | (size == 0)
     begins = F.when(empty, F.lit(0.0)).otherwise(F.greatest(start / size, F.lit(0.0)))
-    ends = F.when(empty | (end < 0), F.lit(1.0)).otherwise(F.least((end + F.length(tail50)) / size, F.lit(1.0)))
-    return rows.withColumns({"start_ratio": begins, "end_ratio": ends}).drop("__text")
+    ends = F.when(empty | (end < 0), F.lit(1.0)).otherwise(F.least((end + F.length("__tail")) / size, F.lit(1.0)))
+    return rows.withColumns({"start_ratio": begins, "end_ratio": ends}).select(*chapters.columns, "start_ratio", "end_ratio")
 
 
 def repair_chapters(chapters: DataFrame, size: int = CHAPTERS_PER_BLOCK) -> DataFrame:
