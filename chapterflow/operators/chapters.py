@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from chapterflow import schemas as S
 from chapterflow.functions import text as T
 from chapterflow.functions import timefmt as M
-from chapterflow.operators import blocks, search
+from chapterflow.operators import blocks, recurrence, search
 from chapterflow.operators.blocks import BLOCK
 from chapterflow.sources.responses import sound_chapter
 
@@ -99,38 +99,17 @@ def repair_chapters(chapters: DataFrame, size: int = CHAPTERS_PER_BLOCK) -> Data
     """Make chapter times chronological, contiguous and within the duration.
 
     Each start is at least 0.1 s after the previous repaired end, an end not
-    after its start becomes start + 1 s, and ends stop at the duration. That
-    is a recurrence, but it forgets its past wherever a chapter ends clearly
-    after everything before it could have been pushed: there its repaired end
-    is its own. Chapters are folded only within the short islands between
-    such points. Then the first start moves to 0, the last end to the
-    duration, and gaps over 5 s close.
+    after its start becomes start + 1 s, and ends stop at the duration, which
+    is one number for a video. That recurrence is folded block by block: a
+    block's effect on the end before it is a step function (see ``recurrence``),
+    the functions are composed along the video, and only one number goes into
+    each block, whatever the chapters before it did. Then the first start
+    moves to 0, the last end to the duration, and gaps over 5 s close.
     """
-    s, e, d = F.col("start_s"), F.col("end_s"), F.col("duration_s")
-    reach = F.greatest(e, s + 1.0) - 1.1 * F.col("number")
-    rows = blocks.carry(blocks.spread(chapters, KEY, "number", size), KEY, __m=(F.max(reach), "max_before"))
-    reach_before = F.greatest(F.max(reach).over(blocks.before(KEY, "number")), F.col("__m"))
-    rows = rows.withColumn("__pushed", reach_before + 1.1 * (F.col("number") - 1)).drop("__m")
-    free = F.col("__pushed").isNull() | ((s < e) & (F.col("__pushed") + 0.1 + 1e-6 < e))
-    rows = blocks.add_running_max(rows, KEY, "number", "__island", F.when(free, F.col("number")))
-
-    others = [c for c in chapters.columns if c != "video_id"]
-    islands = rows.groupBy(*KEY, "__island").agg(F.array_sort(F.collect_list(F.struct("number", *[c for c in others if c != "number"]))).alias("items"))
-
-    def step(state: Column, c: Column) -> Column:
-        start = F.when(state["end"].isNull(), c["start_s"]).otherwise(
-            F.greatest(c["start_s"], state["end"] + 0.1)
-        )
-        # The first chapter of an island keeps its own end whatever came before.
-        end = F.when(c["end_s"] <= start, start + 1.0).otherwise(c["end_s"])
-        end = F.least(end, c["duration_s"])
-        return F.struct(end.alias("end"), F.concat(state["ends"], F.array(end)).alias("ends"))
-
-    zero = F.struct(F.lit(None).cast("double").alias("end"), F.array().cast("array<double>").alias("ends"))
-    ends = F.aggregate("items", zero, step, lambda st: st["ends"])
-    folded = islands.select(*KEY, "items", ends.alias("ends"))
-    folded = folded.select(*KEY, F.explode(F.arrays_zip("items", "ends")).alias("x"))
-    folded = folded.select(*KEY, *[F.col(f"x.items.{c}").alias(c) for c in others], F.col("x.ends").alias("__end"))
+    s, d = F.col("start_s"), F.col("duration_s")
+    rows = blocks.spread(chapters, KEY, "number", size)
+    entered = recurrence.entering_ends(rows.select(*KEY, BLOCK, "number", "start_s", "end_s", "duration_s"), KEY)
+    folded = recurrence.folded_ends(rows.join(entered, [*KEY, BLOCK]), KEY, chapters.schema)
 
     near = blocks.with_neighbours(folded, KEY, "number", size, end=F.col("__end"), start=s)
     start = F.greatest(s, F.coalesce(F.col("prev_end") + 0.1, s))
