@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,6 +22,22 @@ class PermanentError(Exception):
     """Not worth retrying."""
 
 
+class TokenBucket:
+    """At most ``rate`` calls a second on average and ``burst`` at once; ``take`` waits for its turn."""
+
+    def __init__(self, rate: float, burst: int, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        self.rate, self.burst, self.clock, self.sleep = rate, burst, clock, sleep
+        self.lock, self.tokens, self.at = threading.Lock(), float(burst), clock()
+
+    def take(self) -> None:
+        with self.lock:
+            now = self.clock()
+            self.tokens = min(self.burst, self.tokens + (now - self.at) * self.rate) - 1
+            self.at, wait = now, max(0.0, -self.tokens / self.rate)
+        if wait:
+            self.sleep(wait)
+
+
 def register_model(name: str, call: Callable[[str], str]) -> None:
     _MODELS[name] = call
 
@@ -30,16 +48,22 @@ def apply_model(
     prompt_col: str = "prompt",
     key_col: str = "request_id",
     max_retries: int = 2,
-    base_delay_s: float = 0.0,
+    base_delay_s: float = 1.0,
     max_delay_s: float = 10.0,
     partitions: int | None = None,
+    concurrency: int = 8,
+    calls_per_s: float | None = None,
 ) -> DataFrame:
     """Attempt log of calling models in fallback order for every request.
 
     Requests are spread evenly first, since calls cost far more than rows.
     Transient errors are retried with doubling delays, permanent ones move on
     to the next model. One row per attempt; ``resolve_attempts`` picks the
-    outcome. Attempts stream out batch by batch.
+    outcome. A task has up to ``concurrency`` requests under way and starts
+    at most ``calls_per_s`` calls a second; with ``partitions`` tasks that
+    bounds all calls together. The log keeps the order of the requests and of
+    each one's attempts, as if they were made one by one. Attempts stream out
+    batch by batch; a request that waits holds one thread, no row.
     """
     calls = [(n, _MODELS[n]) for n in names]
     key_type = dict(requests.dtypes)[key_col]
@@ -48,11 +72,13 @@ def apply_model(
         "error_class string, error_message string, response string"
     )
 
-    def attempts(key, prompt: str) -> Iterator[tuple]:
+    def attempts(key, prompt: str, bucket: TokenBucket | None) -> Iterator[tuple]:
         number = 0
         for order, (name, call) in enumerate(calls):
             for retry in range(max_retries + 1):
                 number += 1
+                if bucket:
+                    bucket.take()
                 try:
                     yield key, order, number, name, True, None, None, call(prompt)
                     return
@@ -66,9 +92,11 @@ def apply_model(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names_out = [f.split()[0] for f in schema.split(", ")]
-        for batch in batches:
-            rows = [row for key, prompt in zip(batch[key_col], batch[prompt_col]) for row in attempts(key, prompt)]
-            yield pd.DataFrame(rows, columns=names_out)
+        bucket = None if calls_per_s is None else TokenBucket(calls_per_s, max(1, concurrency))
+        with ThreadPoolExecutor(max(1, concurrency)) as pool:
+            for batch in batches:
+                logs = pool.map(lambda key, prompt: list(attempts(key, prompt, bucket)), batch[key_col], batch[prompt_col])
+                yield pd.DataFrame([row for log in logs for row in log], columns=names_out)
 
     narrow = requests.select(key_col, prompt_col)
     spread = narrow.repartition(partitions, key_col) if partitions else narrow.repartition(key_col)

@@ -16,6 +16,8 @@ from chapterflow.operators import blocks
 from chapterflow.operators.blocks import BLOCK
 
 BLOCK_WORDS = 65536
+#: Crowded cells that are sent to all tasks; above that number they are joined.
+BROADCAST_CELLS = 10_000
 SENTENCE_ENDS = r"[.!?:;]"
 
 # --- fixed values -----------------------------------------------------------
@@ -138,20 +140,28 @@ def captions_from_text(chapters: DataFrame, keys: tuple[str, ...] = ("video_id",
     )
 
 
+def crowded_cells(df: DataFrame, keys: list[str], cell_rows: int) -> DataFrame:
+    """(keys.., __salts) of cells with more than ``cell_rows`` rows: as many salts as give each that many."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > cell_rows)
+    return counts.select(*keys, F.ceil(F.col("__n") / cell_rows).cast("int").alias("__salts"))
+
+
 def interval_join(
     many: DataFrame,
     few: DataFrame,
     on: tuple[str, ...] = ("video_id",),
     bucket_s: float = 60.0,
-    salts: int = 8,
+    cell_rows: int = 100_000,
 ) -> DataFrame:
     """Inner join on closed-interval overlap of (start_s, end_s).
 
     Both sides are cut to ``bucket_s`` cells and equi-joined per cell; a pair
-    meeting in several cells is kept only in the first common one. Rows of
-    ``many`` sharing a cell are salted and ``few`` is repeated per salt, so
-    one crowded cell is worked on by ``salts`` tasks. Columns of ``few`` that
-    clash get the suffix ``_r``.
+    meeting in several cells is kept only in the first common one. A first
+    pass counts the rows of ``many`` in each cell: a cell with more than
+    ``cell_rows`` gets salts after its count, and ``few`` is repeated for
+    these cells alone, so a crowded cell is worked on by many tasks and thin
+    ones are left as they are. Columns of ``few`` that clash get the suffix
+    ``_r``.
     """
 
     def cells(df: DataFrame, side: str) -> DataFrame:
@@ -159,13 +169,21 @@ def interval_join(
         df = df.withColumn(f"__first_{side}", F.least(a, b))
         return df.withColumn("__cell", F.explode(F.sequence(F.col(f"__first_{side}"), F.greatest(a, b))))
 
-    # Places tell rows with the same times apart, such as untimed words at 0.
-    told_by = [c for c in ("pos", "start_s", "end_s") if c in many.columns]
-    left = cells(many, "l").withColumn("__salt", F.pmod(F.xxhash64(*told_by), F.lit(salts)).cast("int"))
+    left, right = cells(many, "l"), cells(few, "r")
     clash = [c for c in few.columns if c in many.columns and c not in on]
-    right = cells(few, "r").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     right = right.withColumnsRenamed({c: c + "_r" for c in clash})
-    keys = [*on, "__cell", "__salt"]
+    keys = [*on, "__cell"]
+    crowded = crowded_cells(left, keys, cell_rows)
+    known = crowded.limit(BROADCAST_CELLS + 1).collect()
+    if known:
+        # Few crowded cells go to all tasks; more of them meet the rows by their key.
+        marks = F.broadcast(many.sparkSession.createDataFrame(known, crowded.schema)) if len(known) <= BROADCAST_CELLS else crowded
+        salts = F.coalesce("__salts", F.lit(1))
+        # Places tell rows with the same times apart, such as untimed words at 0.
+        told_by = [c for c in ("pos", "start_s", "end_s") if c in many.columns]
+        left = left.join(marks, keys, "left").withColumn("__salt", F.pmod(F.xxhash64(*told_by), salts).cast("int")).drop("__salts")
+        right = right.join(marks, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")
+        keys.append("__salt")
     pairs = left.join(right, keys).filter(
         (F.col("end_s") >= F.col("start_s_r"))
         & (F.col("start_s") <= F.col("end_s_r"))
@@ -186,7 +204,8 @@ def chapter_captions(words: DataFrame, chapters: DataFrame) -> DataFrame:
     k = ("video_id", "number")
     inside = chapter_words(words, chapters)
     timed = captions(inside, keys=k).select(*k, "cue", "start_s", "end_s", "text", F.lit("words").alias("origin"))
-    covered = chapter_words(words.select("video_id", "pos", "start_s", "end_s"), chapters).select(*k).distinct()
+    # With all columns of the captions asked for, both uses have the same shuffles, which run once.
+    covered = timed.groupBy(*k).agg(F.max(F.struct("start_s", "end_s", "text")).alias("said")).filter("said is not null").select(*k)
     plain = captions_from_text(chapters.join(covered, list(k), "left_anti"))
     return timed.unionByName(plain.withColumn("origin", F.lit("text")))
 
@@ -247,11 +266,13 @@ def failed_regions(transcripts: DataFrame, words: DataFrame, gap_s: float = 5.0)
     return gaps.unionByName(silent)
 
 
-def confidence_windows(transcripts: DataFrame, words: DataFrame, window_s: float = 60.0, salts: int = 8) -> DataFrame:
+def confidence_windows(transcripts: DataFrame, words: DataFrame, window_s: float = 60.0) -> DataFrame:
     """Mean word confidence per time window; windows without words report 0.
 
-    A word counts where it lies wholly inside the closed window. Windows are
-    repeated per salt so that a crowded window is summed by several tasks.
+    A word counts where it lies wholly inside the closed window. Words are
+    summed by window where they are read, so a crowded window sends one row a
+    task. Only a last window that ends with its video before a word of it does
+    is summed again, with that end.
     """
     spans = transcripts.filter(F.col("duration_s") > 0).select("video_id", "duration_s")
     n = F.ceil(F.col("duration_s") / window_s)
@@ -267,26 +288,19 @@ def confidence_windows(transcripts: DataFrame, words: DataFrame, window_s: float
     # A zero-length word on a border lies inside the window on either side.
     on_border = (F.col("end_s") == F.col("start_s")) & (F.col("start_s") == cell * window_s) & (cell > 0)
     placed = words.select(
-        "video_id",
-        F.explode(F.when(on_border, F.array(cell - 1, cell)).otherwise(F.array(cell))).alias("window"),
-        F.col("end_s").alias("w_end"),
-        "confidence",
-        F.pmod(F.xxhash64("pos", "start_s", "end_s"), F.lit(salts)).cast("int").alias("salt"),
-    )
-    salted = windows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    fits = F.col("w_end") <= F.col("end_s")
+        "video_id", F.explode(F.when(on_border, F.array(cell - 1, cell)).otherwise(F.array(cell))).alias("window"), F.col("end_s").alias("w_end"), "confidence"
+    ).filter(F.col("w_end") <= (F.col("window") + 1) * F.lit(window_s))
+    sums = [F.sum("confidence").alias("s"), F.count(F.lit(1)).alias("c")]
     k = ["video_id", "window", "start_s", "end_s"]
-    partial = (
-        salted.join(placed, ["video_id", "window", "salt"], "left")
-        .groupBy(*k, "salt")
-        .agg(F.sum(F.when(fits, F.col("confidence"))).alias("s"), F.count(F.when(fits, F.lit(1))).alias("c"))
-    )
+    total = windows.join(placed.groupBy("video_id", "window").agg(*sums, F.max("w_end").alias("last")), ["video_id", "window"], "left")
+    cut = total.filter(F.col("last") > F.col("end_s")).select(*k)
+    again = placed.join(cut, ["video_id", "window"]).filter(F.col("w_end") <= F.col("end_s")).groupBy(*k).agg(*sums)
+    whole = total.filter(F.col("last").isNull() | (F.col("last") <= F.col("end_s"))).select(*k, "s", "c")
     # Videos without any word report no window at all.
     spoken = words.select("video_id").distinct()
-    total = partial.groupBy(*k).agg(F.sum("s").alias("s"), F.sum("c").alias("n_words"))
-    return total.join(spoken, "video_id", "left_semi").select(
-        "video_id", "window", "start_s", "end_s",
-        "n_words", F.coalesce(F.col("s") / F.col("n_words"), F.lit(0.0)).alias("confidence"),
+    n_words = F.coalesce("c", F.lit(0).cast("long"))
+    return whole.unionByName(cut.join(again, k, "left")).join(spoken, "video_id", "left_semi").select(
+        *k, n_words.alias("n_words"), F.coalesce(F.col("s") / F.col("c"), F.lit(0.0)).alias("confidence")
     )
 
 

@@ -146,13 +146,13 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def dirty_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dirty_from(table(spark, sf_dir, "documents"))
+def dirty_text(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    return dirty_from(table(spark, sf_dir, "documents"), keep)
 
 
-def dirty_from(documents: DataFrame) -> DataFrame:
+def dirty_from(documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Documents with recogniser debris in front; also usable on a stream."""
-    docs = documents.select("doc_id", "text")
+    docs = documents.select("doc_id", "text", *keep)
     prefix = (
         F.when(F.col("doc_id") % 6 == 1, F.lit("[Risas] (MÚSICA) "))
         .when(F.col("doc_id") % 6 == 2, F.lit("eh um hmm "))
@@ -161,7 +161,7 @@ def dirty_from(documents: DataFrame) -> DataFrame:
         .when(F.col("doc_id") % 6 == 5, F.lit("\\u00bfC\\u00f3mo est\\u00e1s? \xa0\x07"))
         .otherwise(F.lit(""))
     )
-    return docs.select("doc_id", F.concat(prefix, F.col("text")).alias("text"))
+    return docs.select("doc_id", F.concat(prefix, F.col("text")).alias("text"), *keep)
 
 
 def media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -239,7 +239,8 @@ oracle("process_stage_repeated", "clean", "SELECT doc_id, text FROM clean")
 oracle(
     "cleaning_report", "dirty clean",
     """SELECT lang, count(*) AS n_docs, sum(length(b.text)) AS chars_before, sum(length(a.text)) AS chars_after,
-       round(avg(1 - length(a.text) / length(b.text)), 6) AS mean_reduction
+       round(avg(1 - length(a.text) / length(b.text)), 6) AS mean_reduction, round(quantile_disc(1 - length(a.text) / length(b.text), 0.1), 6) AS p10_reduction,
+       round(quantile_disc(1 - length(a.text) / length(b.text), 0.5), 6) AS p50_reduction, round(quantile_disc(1 - length(a.text) / length(b.text), 0.9), 6) AS p90_reduction
        FROM documents d JOIN dirty b USING (doc_id) JOIN clean a USING (doc_id) GROUP BY lang""",
 )
 _RULES = [
@@ -623,13 +624,13 @@ oracle(
        CASE WHEN video_id % 4 <> 3 THEN false END AS needs_review, CASE WHEN video_id % 4 <> 3 THEN 'About ' || title END AS description
        FROM chapters WHERE video_id % 4 <> 3 OR number <> 2""",
 )
-cte("short_slugs", f"SELECT video_id, number, {slug('left(title, 3)')} AS slug FROM chapters", "chapters")
+cte("shared_slugs", f"SELECT video_id, number, {slug("CASE WHEN number % 3 = 0 THEN 'Capítulo final' ELSE title END")} AS slug FROM chapters", "chapters")
 oracle(
-    "resolve_slugs", "short_slugs",
+    "resolve_slugs", "shared_slugs",
     """SELECT video_id, number, CASE WHEN n > 1 THEN slug || '-' || n ELSE slug END AS slug FROM
-       (SELECT *, row_number() OVER (PARTITION BY video_id, slug ORDER BY number) AS n FROM short_slugs)""",
+       (SELECT *, row_number() OVER (PARTITION BY video_id, slug ORDER BY number) AS n FROM shared_slugs)""",
 )
-oracle("resolve_slugs_last_wins", "short_slugs", "SELECT video_id, max(number) AS number, slug FROM short_slugs GROUP BY video_id, slug")
+oracle("resolve_slugs_last_wins", "shared_slugs", "SELECT video_id, max(number) AS number, slug FROM shared_slugs GROUP BY video_id, slug")
 cte(
     "stats",
     f"SELECT *, CAST(trunc(end_s - start_s) AS BIGINT) AS duration_seconds, len({_toks('transcript')}) AS word_count FROM chapters",
@@ -806,7 +807,7 @@ oracle(
     "resolve_attempts", "asked",
     """SELECT request_id, CASE WHEN n % 5 = 0 THEN 2 WHEN n % 5 = 1 THEN 4 ELSE 1 END AS n_attempts, CASE WHEN n % 5 = 0 THEN 2 WHEN n % 5 = 1 THEN 4 ELSE 1 END AS attempt,
        CASE WHEN n % 5 > 1 THEN 'primary' ELSE 'backup' END AS provider, n % 35 <> 0 AS success, CASE WHEN n % 35 = 0 THEN 'permanent' END AS error_class,
-       CASE WHEN n % 35 <> 0 THEN CASE WHEN n % 5 > 1 THEN 'primary:' ELSE 'backup:' END || left(text, 20) END AS response FROM asked""",
+       CASE WHEN n % 35 <> 0 THEN CASE WHEN n % 5 > 1 THEN 'primary:' ELSE 'backup:' END || text END AS response FROM asked""",
 )
 
 # --- recogniser answers -----------------------------------------------------
