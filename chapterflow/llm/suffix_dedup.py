@@ -41,47 +41,68 @@ LEFT = LENGTH - GRAM
 SPAN = LEFT + LENGTH
 #: Segments that a task sorts together (more if one gram has more), and those that are cut out at once.
 TOGETHER, AT_ONCE = 40_000, 20_000
+#: Bytes whose anchors are found at once.
+SLICE = 512 << 10
 NO_ID = (1 << 63) - 1
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 SEGMENTS = "gram bigint, doc bigint, block bigint, row bigint, place bigint, lo int, hi int, segment binary"
 INTERVALS = "block bigint, row bigint, start bigint, end bigint"
 
 
-def anchors(data: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place in data, digest) of the grams that are least in a string of LENGTH bytes within a text."""
-    n, none = len(data), (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    if n < LENGTH:
-        return none
+def _digests(data: bytes) -> np.ndarray:
+    """Digest of the gram at every place."""
     h, power, width = np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1), _B, 1
-    while width < GRAM:  # digests of strings twice as long each time
-        h = h[:-width] * power + h[width:]
-        power, width = power * power, 2 * width
+    with np.errstate(over="ignore"):
+        while width < GRAM:  # digests of strings twice as long each time
+            h = h[:-width] * power + h[width:]
+            power, width = power * power, 2 * width
     h ^= h >> np.uint64(31)
     h *= _A
     h ^= h >> np.uint64(29)
+    return h
+
+
+def _slid(values: np.ndarray, width: int, choose: np.ufunc) -> np.ndarray:
+    """``choose`` over every ``width`` neighbours."""
+    done = 1
+    while 2 * done <= width:
+        values = choose(values[:-done], values[done:])
+        done *= 2
+    return choose(values[: len(values) - (width - done)], values[width - done :])
+
+
+def anchors(data: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in data, digest) of the grams that are least in a string of LENGTH bytes within a text.
+
+    The data are walked in slices, each with the bytes around it that strings
+    over its places reach, so memory does not grow with a block.
+    """
+    n, around = len(data), LENGTH - GRAM
     ends = np.cumsum(sizes)
-    steps = np.zeros(n + 1, np.int32)
     begin = ends - sizes
-    valid = sizes >= LENGTH  # strings that lie within one text
-    np.add.at(steps, begin[valid], 1)
-    np.add.at(steps, ends[valid] - LENGTH + 1, -1)
-    inside = np.cumsum(steps[: n - LENGTH + 1]) > 0
-    least, width, wanted = h, 1, LENGTH - GRAM + 1
-    while 2 * width <= wanted:
-        least = np.minimum(least[:-width], least[width:])
-        width *= 2
-    least = np.minimum(least[: len(least) - (wanted - width)], least[wanted - width :])
-    least = np.where(inside, least, 0)
-    pad = np.zeros(wanted - 1, np.uint64)
-    most, width = np.concatenate([pad, least, pad]), 1  # the greatest least of the strings over each gram
-    while 2 * width <= wanted:
-        most = np.maximum(most[:-width], most[width:])
-        width *= 2
-    most = np.maximum(most[: len(most) - (wanted - width)], most[wanted - width :])
-    at = np.flatnonzero((most[: len(h)] == h) & (most[: len(h)] > 0))
-    text = np.searchsorted(ends, at, side="right")
-    at = at[at + GRAM <= ends[text]]
-    return at, h[at].view(np.int64)
+    places, digests = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for lo in range(0, n, SLICE):
+        a, b = max(0, lo - around), min(n, lo + SLICE + LENGTH - 1)
+        if b - a < LENGTH:
+            continue
+        h = _digests(data[a:b])
+        own = slice(np.searchsorted(ends, a, side="right"), np.searchsorted(begin, b, side="left"))
+        first, last = np.maximum(begin[own], a) - a, np.minimum(ends[own], b) - a - LENGTH + 1
+        steps = np.zeros(b - a + 1, np.int32)
+        valid = last > first  # strings that lie within one text
+        np.add.at(steps, first[valid], 1)
+        np.add.at(steps, last[valid], -1)
+        inside = np.cumsum(steps[: b - a - LENGTH + 1]) > 0
+        least = np.where(inside, _slid(h, around + 1, np.minimum), 0)
+        pad = np.zeros(around, np.uint64)
+        most = _slid(np.concatenate([pad, least, pad]), around + 1, np.maximum)  # the greatest least of the strings over each gram
+        at = np.flatnonzero((most[: len(h)] == h) & (most[: len(h)] > 0))
+        at = at[(at >= lo - a) & (at < lo - a + SLICE)]
+        places.append(at + a)
+        digests.append(h[at].view(np.int64))
+    at, found = np.concatenate(places), np.concatenate(digests)
+    within = at + GRAM <= ends[np.searchsorted(ends, at, side="right")] if len(at) else np.zeros(0, bool)
+    return at[within], found[within]
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

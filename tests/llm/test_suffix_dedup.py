@@ -55,3 +55,19 @@ def test_awkward_documents(spark):
 def test_query(spark, sf_dir):
     found = {tuple(r) for r in queries.op9_suffix_dedup(spark, sf_dir).collect()}
     assert found == {(i, n, sum(e - s for s, e in spans), len(spans), hashlib.sha256(kept).hexdigest()) for i, n, spans, kept in brute(pairs(spark, sf_dir))}
+
+
+def test_anchors_do_not_depend_on_slices(monkeypatch):
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("ab", k=rng.choice([0, 5, 99, 100, 101, 400, 3000]))).encode() for _ in range(60)]
+    data, sizes = b"".join(texts), np.array([len(t) for t in texts])
+    whole = suffix_dedup.anchors(data, sizes)
+    grams = {p: int(h) for p, h in zip(*(x.tolist() for x in whole))}
+    begin = 0
+    for t in texts:  # every string holds one of its least grams
+        for p in range(begin, begin + len(t) - 99):
+            assert any(q in grams for q in range(p, p + 69))
+        begin += len(t)
+    for step in (1000, 137, 70):
+        monkeypatch.setattr(suffix_dedup, "SLICE", step)
+        assert [x.tolist() for x in suffix_dedup.anchors(data, sizes)] == [x.tolist() for x in whole]
