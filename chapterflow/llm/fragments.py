@@ -6,8 +6,10 @@ import os
 from collections.abc import Callable, Iterable
 from functools import lru_cache
 
-#: Fragments that a task remembers, and the longest one it remembers, in bytes.
-REMEMBERED, LONGEST = 500_000, 64
+import numpy as np
+
+#: Fragments that a memo remembers, the longest one it remembers, in bytes, and fragments encoded in one string.
+REMEMBERED, LONGEST, TOGETHER = 500_000, 64, 500
 
 
 @lru_cache(maxsize=4)
@@ -26,12 +28,37 @@ class Memo:
     """What ``make`` gives for the ids of each fragment, remembered for short fragments.
 
     ``lookup`` serves one text: a fragment that is not known is encoded by the
-    library, all unknown ones of the text in one call. Memory is bounded: the
-    memo starts anew when it is full.
+    library, all unknown ones of the text in one call. With a ``separator``,
+    a string that the library turns into one id between any two words, they
+    are joined to few strings and their ids told apart at that id; fragments
+    that hold the separator are left out of that. Memory is bounded: the memo
+    starts anew when it is full.
     """
 
-    def __init__(self, path: str, make: Callable[[list[int]], object]):
+    def __init__(self, path: str, make: Callable[[list[int]], object], separator: str | None = None):
         self.library, self.make, self.known = tokenizer(path), make, {}
+        own = [] if separator is None else self._encoded([separator])[0]
+        self.separator, self.cut = (separator.encode(), own[0]) if len(own) == 1 else (None, None)
+
+    def _encoded(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, fragments: list[bytes]) -> list:
+        """Ids of fragments."""
+        if self.separator is None or len(fragments) < 2:
+            return self._encoded([f.decode() for f in fragments])
+        out: list = [None] * len(fragments)
+        joined = [k for k, f in enumerate(fragments) if self.separator not in f]
+        for part in (joined[k : k + TOGETHER] for k in range(0, len(joined), TOGETHER)):
+            ids = np.array(self._encoded([f" {self.separator.decode()} ".join([fragments[k].decode() for k in part])])[0], np.int64)
+            cuts = np.flatnonzero(ids == self.cut).tolist()
+            if len(cuts) == len(part) - 1:
+                for k, lo, hi in zip(part, [-1, *cuts], [*cuts, len(ids)], strict=True):
+                    out[k] = ids[lo + 1 : hi]
+        alone = [k for k, x in enumerate(out) if x is None]
+        for k, ids in zip(alone, self._encoded([fragments[k].decode() for k in alone]), strict=True):
+            out[k] = ids
+        return out
 
     def lookup(self, fragments: list[bytes]) -> Iterable:
         known = self.known
@@ -41,9 +68,8 @@ class Memo:
             if len(known) > REMEMBERED:
                 known.clear()
                 missing = list(set(fragments))
-            encoded = self.library.encode_batch_fast([f.decode() for f in missing], add_special_tokens=False)
-            for f, e in zip(missing, encoded, strict=True):
-                (known if len(f) <= LONGEST else own)[f] = self.make(e.ids)
+            for f, ids in zip(missing, self.encode(missing), strict=True):
+                (known if len(f) <= LONGEST else own)[f] = self.make(ids)
         if own:
             return [own[f] if f in own else known[f] for f in fragments]
         return map(known.__getitem__, fragments)

@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,10 +40,24 @@ DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa
 
 
 def _place(uri: str) -> tuple[fs.FileSystem, str]:
-    """Arrow's file system of a folder or file, and its path there."""
-    if "://" in uri:
-        return fs.FileSystem.from_uri(uri)
-    return fs.LocalFileSystem(), re.sub("^file:", "", uri)
+    """Arrow's file system of a folder or file, and its path there.
+
+    A scheme that Arrow does not know is an error, also with a single slash:
+    it must never be taken for a folder of the machine.
+    """
+    uri = re.sub("^s3[an]:", "s3:", uri)
+    scheme = re.match("([A-Za-z][A-Za-z0-9+.-]*):", uri)
+    if scheme is None:
+        return fs.LocalFileSystem(), uri
+    if scheme[1].lower() == "file":
+        return fs.LocalFileSystem(), "/" + re.sub("^file:/*", "", uri, flags=re.IGNORECASE)
+    return fs.FileSystem.from_uri(uri if "://" in uri else re.sub(":/*", ":///", uri, count=1))
+
+
+@lru_cache(maxsize=2)
+def _memo(path: str, width: str) -> Memo:
+    """One memo of words for all tasks of a process."""
+    return Memo(path, lambda ids: np.array(ids, width).tobytes(), separator="|")
 
 
 def ids_schema(width: np.dtype, length: int, batch_rows: int) -> pa.Schema:
@@ -132,7 +147,7 @@ def write_sequences(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = np.dtype(np.uint16 if tokenizer(path).get_vocab_size() <= 1 << 16 else np.uint32)
-        memo, end = Memo(path, lambda ids: np.array(ids, width).tobytes()), np.array([end_id], width).tobytes()
+        memo, end = _memo(path, width.str), np.array([end_id], width).tobytes()
         part, tail = TaskContext.get().partitionId(), uuid.uuid4().hex
         names = [f"{folder}/{part:06d}-{tail}{x}.arrow" for x in ("", "-docs")]
         ids_out = docs_out = None

@@ -2,13 +2,14 @@
 
 import hashlib
 import os
+import random
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from chapterflow.llm import bpe, queries, sequences, token_counts
+from chapterflow.llm import bpe, fragments, queries, sequences, token_counts
 from chapterflow.llm.fragments import tokenizer
 
 from .helpers import AWKWARD, frame, pairs
@@ -108,3 +109,23 @@ def test_sequence_files(spark, tmp_path, word):
     assert starts == set(np.cumsum([0, *(len(ids_of(word, t)) + 1 for _, t in rows)])[:-1].tolist())
     empty = sequences.write_sequences(frame(spark, []), queries.WORD_BPE, f"{tmp_path}/none")
     assert empty.count() == 0 and sequences.read_documents(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_joined_words_have_their_own_ids():
+    """Words encoded many in one string, against each on its own."""
+    rng = random.Random(12)
+    alphabet = [*"abcXYZ'|.-12é€Σςß́", "ﬀ", "İ", "中", "😀", "s", "'ll", "</w>", "<|endoftext|>", "｜", "¦", "\x1c", "\xa0", "　"]
+    words = list({"".join(rng.choices(alphabet, k=rng.randint(1, 8))).encode() for _ in range(20_000)})
+    words = [w for w in words if w.split() == [w]]
+    memo = fragments.Memo(queries.WORD_BPE, tuple, separator="|")
+    assert memo.separator == b"|" and [tuple(map(int, x)) for x in memo.lookup(words)] == list(fragments.Memo(queries.WORD_BPE, tuple).lookup(words))
+
+
+@pytest.mark.parametrize("uri", ["hdfsx://host/a", "dbfs:/a", "abc+d:/x/y"])
+def test_unknown_stores_are_refused(uri):
+    with pytest.raises(Exception):
+        sequences._place(uri)
+
+
+def test_local_folders():
+    assert [sequences._place(u)[1] for u in ("/a/b", "file:/a/b", "file:///a/b")] == ["/a/b"] * 3
