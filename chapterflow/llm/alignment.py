@@ -6,9 +6,9 @@ ends of either list are kept as a dictionary from end to index, the keys that
 both dictionaries hold are sorted, and each slice between two of them is a
 group. Inside a group every pair of tokens whose bytes overlap is a link.
 
-A space after a character that is no white space is an end in both: no entry
-of either vocabulary spans it, and the byte-level tokenizer cuts there before
-it looks at bytes. So texts are cut into fragments there, a fragment is
+A space after a character that is no white space is an end in both: the
+byte-level tokenizer splits there before it looks at bytes, and no piece goes
+on after a space. So texts are cut into fragments there, a fragment is
 aligned once a task and remembered, and a text is the sequence of its
 fragments.
 
@@ -29,22 +29,22 @@ from __future__ import annotations
 
 import hashlib
 import os
-import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate, compress, count, product
+from itertools import accumulate, chain, compress, count, product
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chapterflow.llm.bpe import ASCII_SPACE, OTHER_SPACE, cutter, inner_pairs, token_bytes
+from chapterflow.llm.bpe import ASCII_SPACE, OTHER_SPACE, cutter, token_bytes
 from chapterflow.llm.common import Scratch, blocks, planes, unpacked, unplaned
 
-#: Fragments that a process remembers between blocks, and fragments that are encoded in one string.
-REMEMBERED, TOGETHER = 600_000, 500
+#: Fragments that a process remembers between blocks, fragments that are encoded in one string, and bytes of texts
+#: whose new fragments are learnt together.
+REMEMBERED, TOGETHER, LEARNT_BYTES = 240_000, 500, 1 << 20
 TOTALS = ("n_a", "n_b", "n_groups", "n_links")
 ALIGNED = "block bigint, ids array<bigint>, n_a array<bigint>, n_b array<bigint>, n_groups array<bigint>, n_links array<bigint>, groups_sha256 array<string>, sizes array<bigint>, pairs binary, used binary"
 COUNTED = "block bigint, a int, b int, n bigint"
@@ -118,15 +118,14 @@ class Aligner:
         self.bytes_a = [known.get(i, b"") for i in range(max(known) + 1)]
         self.size_a, self.size_b = [*map(len, self.bytes_a)], [*map(len, self.bytes_b)]
         self.names = [str(i) for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
-        open_ends = bytes(b for b in range(256) if b in ASCII_SPACE or inner_pairs(path_a)[b, 0x20])
-        others = "|".join([f"[{re.escape(open_ends.decode('latin-1'))}]", *(c.encode().decode("latin-1") for c in OTHER_SPACE)])
-        self.odd = re.compile(f"(?:{others}) ".encode("latin-1"))
+        self.odd = [bytes([b, 0x20]) for b in ASCII_SPACE], [c.encode() + b" " for c in OTHER_SPACE]
         self.number: dict[bytes, int] = {}
         self.counts, self.linked, self.shown, self.hits = array("q"), array("q"), [], np.zeros(0, np.int64)
 
     def fragments(self, data: bytes) -> list[bytes]:
         """A space and a text cut before spaces that end a token of both, each fragment without its space."""
-        if not self.odd.search(b" " + data):
+        always, beyond_ascii = self.odd
+        if not data.startswith(b" ") and not any(x in data for x in always) and (data.isascii() or not any(x in data for x in beyond_ascii)):
             return data.split(b" ")
         out: list[bytes] = []
         for f in self.cut(b" " + data):
@@ -143,7 +142,7 @@ class Aligner:
         joined = [k for k, t in enumerate(texts) if not t[-1].isspace()]
         alone = [k for k, t in enumerate(texts) if t[-1].isspace()]
         for part in (joined[k : k + TOGETHER] for k in range(0, len(joined), TOGETHER)):
-            ids = self.a.encode("".join([texts[k] for k in part]), add_special_tokens=False).ids
+            ids = self.a.encode_batch_fast(["".join([texts[k] for k in part])], add_special_tokens=False)[0].ids
             ends = {e: n for n, e in enumerate(accumulate([self.size_a[i] for i in ids]), 1)}
             lo = 0
             for k, end in zip(part, accumulate([len(fragments[k]) + 1 for k in part])):
@@ -186,14 +185,24 @@ class Aligner:
         """The numbers of the fragments of each text; an empty text has none."""
         if len(self.number) > REMEMBERED:
             self.forget()
-        out, at, number = [], 0, self.number
-        for size in sizes:
-            fragments = self.fragments(data[at : at + size]) if size else []
-            at += size
-            new = set(fragments).difference(number)
+        out: list[np.ndarray] = []
+        waiting: list[list[bytes]] = []
+        at = held = 0
+
+        def number() -> None:
+            new = set(chain.from_iterable(waiting)).difference(self.number)
             if new:
                 self.learn(list(new))
-            out.append(np.array(list(map(number.__getitem__, fragments)), np.int64))
+            out.extend(np.array(list(map(self.number.__getitem__, fragments)), np.int64) for fragments in waiting)
+            waiting.clear()
+
+        for size in sizes:
+            waiting.append(self.fragments(data[at : at + size]) if size else [])
+            at, held = at + size, held + size
+            if held >= LEARNT_BYTES:
+                number()
+                held = 0
+        number()
         met = np.bincount(np.concatenate([np.zeros(0, np.int64), *out]), minlength=len(self.shown))
         met[: len(self.hits)] += self.hits
         self.hits = met
@@ -285,7 +294,7 @@ def _scored(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table([pa.array(c, pa.string() if name == "groups_sha256" else pa.int64()) for name, c in zip(names, columns, strict=True)], names=names)
 
 
-def alignments(docs: DataFrame, path_a: str, path_b: str, scratch: Scratch, block_bytes: int = 4 << 20) -> DataFrame:
+def alignments(docs: DataFrame, path_a: str, path_b: str, scratch: Scratch, block_bytes: int = 2 << 20) -> DataFrame:
     """One row per document: tokens of both, groups, links, links that are their first id's best, counts, digest of the groups.
 
     path_a: a byte-level vocabulary of the tokenizers library; path_b: a
@@ -301,7 +310,7 @@ def alignments(docs: DataFrame, path_a: str, path_b: str, scratch: Scratch, bloc
     return found.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_scored, RESULT)
 
 
-def pairs(docs: DataFrame, path_a: str, path_b: str, block_bytes: int = 4 << 20) -> DataFrame:
+def pairs(docs: DataFrame, path_a: str, path_b: str, block_bytes: int = 2 << 20) -> DataFrame:
     """(a, b, documents) of all linked id pairs of the corpus."""
     texts = blocks(docs, block_bytes).select("block", "ids", "sizes", "payload")
     counts = texts.mapInArrow(_pairs_of_blocks(path_a, path_b), ALIGNED).select("block", "pairs", "used").mapInArrow(_counts, COUNTED)
