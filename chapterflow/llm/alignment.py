@@ -36,11 +36,12 @@ from itertools import accumulate, chain, compress, count, product
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chapterflow.llm.bpe import ASCII_SPACE, OTHER_SPACE, cutter, token_bytes
-from chapterflow.llm.common import Scratch, blocks, planes, unpacked, unplaned
+from chapterflow.llm.common import Scratch, planes, texts, unplaned
 
 #: Fragments that a process remembers between blocks, fragments that are encoded in one string, and bytes of texts
 #: whose new fragments are learnt together.
@@ -225,12 +226,28 @@ def aligner(path_a: str, path_b: str) -> Aligner:
     return Aligner(path_a, path_b)
 
 
-def _pairs_of_blocks(path_a: str, path_b: str):
+def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[tuple[int, list, np.ndarray, bytes]]:
+    """(block, ids, sizes, joined texts) of whole documents, up to ``block_bytes`` or one longer document."""
+    part, block, ids, parts, held = TaskContext.get().partitionId(), 0, [], [], 0
+    for batch in batches:
+        for i, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
+            data = text.as_buffer().to_pybytes()
+            if ids and held + len(data) > block_bytes:
+                yield (part << 32) | block, ids, np.array([*map(len, parts)]), b"".join(parts)
+                block, ids, parts, held = block + 1, [], [], 0
+            ids.append(i.as_py())
+            parts.append(data)
+            held += len(data)
+    if ids:
+        yield (part << 32) | block, ids, np.array([*map(len, parts)]), b"".join(parts)
+
+
+def _pairs_of_blocks(path_a: str, path_b: str, block_bytes: int):
     """Function for mapInArrow: every block's documents aligned, their pairs numbered within the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = aligner(path_a, path_b)
-        for block, ids, sizes, data in unpacked(batches):
+        for block, ids, sizes, data in _blocks(batches, block_bytes):
             found = memory.texts(data, sizes.tolist())
             counts = np.array(memory.counts, np.int64).reshape(-1, 4)
             whole = [bool(len(x)) and counts[x, 0].min() >= 0 for x in found]
@@ -300,8 +317,7 @@ def alignments(docs: DataFrame, path_a: str, path_b: str, scratch: Scratch, bloc
     path_a: a byte-level vocabulary of the tokenizers library; path_b: a
     sentencepiece model without normalisation and with byte pieces.
     """
-    texts = blocks(docs, block_bytes).select("block", "ids", "sizes", "payload")
-    found = scratch.store("aligned", texts.mapInArrow(_pairs_of_blocks(path_a, path_b), ALIGNED))
+    found = scratch.store("aligned", texts(docs).mapInArrow(_pairs_of_blocks(path_a, path_b, block_bytes), ALIGNED))
     counts = found.select("block", "pairs", "used").mapInArrow(_counts, COUNTED)
     totals = counts.groupBy("a", "b").agg(F.sum("n").alias("count"))
     # an id has at most as many partners as the other vocabulary has entries
@@ -312,6 +328,5 @@ def alignments(docs: DataFrame, path_a: str, path_b: str, scratch: Scratch, bloc
 
 def pairs(docs: DataFrame, path_a: str, path_b: str, block_bytes: int = 2 << 20) -> DataFrame:
     """(a, b, documents) of all linked id pairs of the corpus."""
-    texts = blocks(docs, block_bytes).select("block", "ids", "sizes", "payload")
-    counts = texts.mapInArrow(_pairs_of_blocks(path_a, path_b), ALIGNED).select("block", "pairs", "used").mapInArrow(_counts, COUNTED)
+    counts = texts(docs).mapInArrow(_pairs_of_blocks(path_a, path_b, block_bytes), ALIGNED).select("block", "pairs", "used").mapInArrow(_counts, COUNTED)
     return counts.groupBy("a", "b").agg(F.sum("n").alias("documents"))

@@ -130,6 +130,12 @@ def test_a_very_long_text(spark):
     assert one[1] == 400_000 * len(byte) // 2 and one[4] == one[5] and two[1] > 0
 
 
+def test_pairs(spark):
+    found = {(r.a, r.b): r.documents for r in alignment.pairs(frame(spark, [(1, "the the cat"), (2, "the"), (None, ""), (3, None)]), A, B).collect()}
+    (a, b), *_ = [(x[0][0], y[0][0]) for x, y in tokens(["the"])]
+    assert found[a, b] == 2 and sum(found.values()) >= 3
+
+
 def test_query(spark, sf_dir):
     rows = pairs(spark, sf_dir)
     assert sorted((tuple(r) for r in queries.op13_alignment(spark, sf_dir).collect()), key=str) == brute(rows)
