@@ -45,7 +45,7 @@ from chapterflow.llm.common import Scratch, planes, texts, unplaned
 
 #: Fragments that a process remembers between blocks, fragments that are encoded in one string, and bytes of texts
 #: whose new fragments are learnt together.
-REMEMBERED, TOGETHER, LEARNT_BYTES = 240_000, 500, 1 << 20
+REMEMBERED, TOGETHER, LEARNT_BYTES = 450_000, 500, 1 << 20
 TOTALS = ("n_a", "n_b", "n_groups", "n_links")
 ALIGNED = "block bigint, ids array<bigint>, n_a array<bigint>, n_b array<bigint>, n_groups array<bigint>, n_links array<bigint>, groups_sha256 array<string>, sizes array<bigint>, pairs binary, used binary"
 COUNTED = "block bigint, a int, b int, n bigint"

@@ -134,7 +134,7 @@ def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, np.
 
 def planes(values: np.ndarray) -> bytes:
     """Integers byte plane by byte plane, compressed: small or sorted and differenced ones take few bytes."""
-    bytes_of = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1)
+    bytes_of = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize)
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(bytes_of.T).tobytes())
 
 

@@ -86,6 +86,7 @@ def test_awkward_documents(spark, block_bytes):
     rows = [*AWKWARD, (10, "a▁b c"), (11, " lead"), (12, "trail "), (13, "it's  two   spaces"), (14, "</s> <s> <unk> <0x0A> �"), (15, "x;\r\ny ();\r z\t q"), (16, "naïve 中文字 mid▁"), (17, "\x00 \x7f")]
     assert got(spark, rows, block_bytes=block_bytes) == brute(rows)
     assert got(spark, []) == []
+    assert got(spark, [(1, None), (2, "")]) == [(i, 0, 0, 0, 0, 0, 0, "") for i in (1, 2)]
 
 
 def test_random_documents(spark):
