@@ -11,7 +11,7 @@ ONE, TWO = (json.dumps(CHAPTER | {"number": n}) for n in (1, 2))
 CASES = [
     ('Nota [uno]: {number: 1, title: "a",} fin', "mended", [1]),
     ('{number: 1, title: "a",} ver [dos]', "mended", [1]),
-    ('[{number: 1, title: "a"}, {number: 2, title: "b",},] {nada}', "balanced", [1, 2]),
+    ('[{number: 1, title: "a"}, {number: 2, title: "b",},] {nada}', "mended", [1, 2]),  # at its square brackets
     (f"[{ONE},{TWO},]", "mended", [1, 2]),
     (f"[{ONE},{TWO},{{\"number\":3,\"title\":\"cor{{t", "balanced", [1, 2]),
     (f'{{"chapters": [{ONE}, {TWO}, {{"number": 3', "balanced", [1, 2]),
