@@ -3,10 +3,11 @@
 A byte is removed when a string of ``LENGTH`` bytes that covers it also starts
 earlier in the collection (smaller id, or same text and earlier place).
 
-Equal strings of that length hold the same least ``GRAM``-byte gram at the
-same place (winnowing), so all occurrences of a gram that is chosen anywhere
-twice, each with the bytes around it that a string over the gram can reach,
-are a collection of aligned segments in which every match can be seen. The
+Equal strings of that length hold the same leftmost least ``GRAM``-byte gram
+at the same place (winnowing), so all occurrences of a gram that is chosen
+twice, each with the bytes of the strings that choose it, are a collection of
+aligned segments in which every match can be seen. Every string belongs to
+one segment. The
 segments of a gram are sorted column by column from the right: each round
 inserts one symbol of every segment before its suffix, keeps the
 Burrows-Wheeler order by a stable sort of the inserted symbols, and updates
@@ -39,14 +40,14 @@ from chapterflow.llm.common import Scratch, blocks, runs, unpacked
 LENGTH, GRAM = 100, 32
 LEFT = LENGTH - GRAM
 SPAN = LEFT + LENGTH
-#: Segments that a task sorts together (more if one gram has more), and those that are cut out at once.
-TOGETHER, AT_ONCE = 40_000, 20_000
+#: Segments that a task sorts together (more if one gram has more).
+TOGETHER = 40_000
 #: Bytes whose anchors are found at once.
 SLICE = 512 << 10
 NO_ID = (1 << 63) - 1
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-SEGMENTS = "gram bigint, doc bigint, block bigint, row bigint, place bigint, lo int, hi int, segment binary"
-INTERVALS = "block bigint, row bigint, start bigint, end bigint"
+SEGMENTS = "gram bigint, doc bigint, block bigint, at bigint, lo int, segment binary"
+INTERVALS = "block bigint, start bigint, end bigint"
 
 
 def _digests(data: bytes) -> np.ndarray:
@@ -62,47 +63,45 @@ def _digests(data: bytes) -> np.ndarray:
     return h
 
 
-def _slid(values: np.ndarray, width: int, choose: np.ufunc) -> np.ndarray:
-    """``choose`` over every ``width`` neighbours."""
-    done = 1
-    while 2 * done <= width:
-        values = choose(values[:-done], values[done:])
-        done *= 2
-    return choose(values[: len(values) - (width - done)], values[width - done :])
+def _leftmost_least(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, value) of the least of every ``width`` neighbours, the leftmost of equal ones."""
+    value, at, done = h, np.arange(len(h), dtype=np.int32), 1
+    while done < width:
+        step = min(done, width - done)
+        later = value[step:] < value[:-step]
+        value, at = np.where(later, value[step:], value[:-step]), np.where(later, at[step:], at[:-step])
+        done += step
+    return at, value
 
 
-def anchors(data: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place in data, digest) of the grams that are least in a string of LENGTH bytes within a text.
+def anchors(data: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place, digest, first, last) of the grams that are leftmost least in a string of LENGTH bytes within a text.
 
-    The data are walked in slices, each with the bytes around it that strings
-    over its places reach, so memory does not grow with a block.
+    first and last are the starts of the strings that choose the gram: every
+    string belongs to one anchor. The data are walked in slices of strings,
+    so memory does not grow with a block.
     """
-    n, around = len(data), LENGTH - GRAM
     ends = np.cumsum(sizes)
     begin = ends - sizes
-    places, digests = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for lo in range(0, n, SLICE):
-        a, b = max(0, lo - around), min(n, lo + SLICE + LENGTH - 1)
-        if b - a < LENGTH:
-            continue
-        h = _digests(data[a:b])
-        own = slice(np.searchsorted(ends, a, side="right"), np.searchsorted(begin, b, side="left"))
-        first, last = np.maximum(begin[own], a) - a, np.minimum(ends[own], b) - a - LENGTH + 1
-        steps = np.zeros(b - a + 1, np.int32)
+    out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(4)]
+    for lo in range(0, max(0, len(data) - LENGTH + 1), SLICE):
+        hi = min(len(data), lo + SLICE + LENGTH - 1)
+        h = _digests(data[lo:hi])
+        at, value = _leftmost_least(h, LENGTH - GRAM + 1)
+        own = slice(np.searchsorted(ends, lo, side="right"), np.searchsorted(begin, hi, side="left"))
+        first, last = np.maximum(begin[own], lo) - lo, np.minimum(ends[own], hi) - lo - LENGTH + 1
+        steps = np.zeros(len(at) + 1, np.int32)
         valid = last > first  # strings that lie within one text
         np.add.at(steps, first[valid], 1)
         np.add.at(steps, last[valid], -1)
-        inside = np.cumsum(steps[: b - a - LENGTH + 1]) > 0
-        least = np.where(inside, _slid(h, around + 1, np.minimum), 0)
-        pad = np.zeros(around, np.uint64)
-        most = _slid(np.concatenate([pad, least, pad]), around + 1, np.maximum)  # the greatest least of the strings over each gram
-        at = np.flatnonzero((most[: len(h)] == h) & (most[: len(h)] > 0))
-        at = at[(at >= lo - a) & (at < lo - a + SLICE)]
-        places.append(at + a)
-        digests.append(h[at].view(np.int64))
-    at, found = np.concatenate(places), np.concatenate(digests)
-    within = at + GRAM <= ends[np.searchsorted(ends, at, side="right")] if len(at) else np.zeros(0, bool)
-    return at[within], found[within]
+        start = np.flatnonzero(np.cumsum(steps[:-1]) > 0)
+        at = at[start]
+        cuts = np.flatnonzero(np.diff(at, prepend=-1, append=len(h)))  # strings of one anchor follow each other
+        for column, x in zip(out, (at[cuts[:-1]] + lo, value[start][cuts[:-1]].view(np.int64), start[cuts[:-1]] + lo, start[cuts[1:] - 1] + lo), strict=True):
+            column.append(x)
+    at, digest, first, last = map(np.concatenate, out)
+    new = np.flatnonzero(np.diff(at, prepend=-1))  # an anchor whose strings lie in two slices
+    return at[new], digest[new], first[new], last[np.append(new[1:], len(at))[: len(new)] - 1]
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,41 +111,40 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _segments(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Segments around the repeated grams; equal ones of the block once, the others with a null segment: wholly covered."""
+    """Segments of the repeated grams; equal ones of the block once.
+
+    What the others span is covered; neighbouring spans are merged and come
+    with a null segment, their start as place and their end as lo.
+    """
     asked = np.sort(right.column("gram").to_numpy())
-    out: list[list] = [[] for _ in range(8)]
+    out: list[list] = [[] for _ in range(6)]
     for block, ids, sizes, data in unpacked(iter(left.to_batches())) if len(asked) else ():
-        at, gram = anchors(data, sizes)
+        at, gram, first, last = anchors(data, sizes)
         slot = np.searchsorted(asked, gram)
         slot[slot == len(asked)] = 0
         repeated = asked[slot] == gram
-        at, gram = at[repeated], gram[repeated]
-        ends = np.cumsum(sizes)
-        row = np.searchsorted(ends, at, side="right")
-        doc = np.array([NO_ID if i is None else i for i in ids], np.int64)[row]
-        order = np.lexsort((at, row, doc))
-        at, gram, row, doc = at[order], gram[order], row[order], doc[order]
-        begin = (ends - sizes)[row]
-        lo = np.maximum(0, LEFT - (at - begin))
-        hi = np.minimum(LEFT, ends[row] - at + LEFT - LENGTH)
-        buffer = np.concatenate([np.zeros(LEFT, np.uint8), np.frombuffer(data, np.uint8), np.zeros(SPAN, np.uint8)])
-        columns, seen = np.arange(SPAN), set()
-        for k in range(0, len(at), AT_ONCE):
-            some = slice(k, k + AT_ONCE)
-            cut = buffer[at[some, None] + columns]
-            cut[(columns < lo[some, None]) | (columns >= hi[some, None] + LENGTH)] = 0
-            for x in range(len(cut)):
-                if lo[k + x] > hi[k + x]:
-                    continue
-                key = (int(lo[k + x]), int(hi[k + x]), cut[x].tobytes())
-                known = key in seen
+        at, gram, first, last = at[repeated], gram[repeated], first[repeated], last[repeated]
+        doc = np.array([NO_ID if i is None else i for i in ids], np.int64)[np.searchsorted(np.cumsum(sizes), at, side="right")]
+        order = np.argsort(doc, kind="stable")
+        lo = first - at + LEFT
+        seen, new = set(), np.zeros(len(at), bool)
+        for x, f, n, k in zip(order.tolist(), first[order].tolist(), last[order].tolist(), lo[order].tolist(), strict=True):
+            key = (k, data[f : n + LENGTH])
+            if key not in seen:
                 seen.add(key)
-                # a covered row has nothing to meet: it is dealt by its place, not with its gram
-                to = hash((block, int(at[k + x]))) if known else gram[k + x]
-                for column, v in zip(out, (to, doc[k + x], block, row[k + x], at[k + x] - begin[k + x], key[0], key[1], None if known else key[2]), strict=True):
-                    column.append(v)
-    kinds = [pa.int64()] * 5 + [pa.int32(), pa.int32(), pa.binary()]
-    return pa.table([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["gram", "doc", "block", "row", "place", "lo", "hi", "segment"])
+                new[x] = True
+        own = np.flatnonzero(new)
+        pieces = [data[f : n + LENGTH] for f, n in zip(first[own].tolist(), last[own].tolist(), strict=True)]
+        start, end = first[~new], last[~new] + LENGTH
+        apart = np.flatnonzero(np.concatenate([[True], start[1:] > end[:-1]])) if len(start) else np.zeros(0, np.int64)
+        start, end = start[apart], end[np.append(apart[1:], len(end))[: len(apart)] - 1]
+        # covered spans have nothing to meet: they are dealt by their place
+        to = np.array([hash((block, x)) for x in start.tolist()], np.int64)
+        for column, x in zip(out, ((gram[own], to), (doc[own], np.zeros(len(to), np.int64)), (np.full(len(own) + len(to), block),), (at[own], start), (lo[own], end)), strict=False):
+            column.append(np.concatenate(x))
+        out[5] += pieces + [None] * len(to)
+    columns = [pa.array(np.concatenate(c) if c else [], pa.int64()) for c in out[:5]]
+    return pa.table([*columns[:4], columns[4].cast(pa.int32()), pa.array(out[5], pa.binary())], names=["gram", "doc", "block", "at", "lo", "segment"])
 
 
 def covered(group: np.ndarray, segments: np.ndarray, lo: np.ndarray, hi: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -183,23 +181,27 @@ def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def done(held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
         t = pa.concat_tables(held)
-        block, row, place, lo, hi = (t.column(c).to_numpy() for c in ("block", "row", "place", "lo", "hi"))
+        block, at, lo = (t.column(c).to_numpy() for c in ("block", "at", "lo"))
         whole = t.column("segment").is_null().to_numpy()
-        yield pa.record_batch([pa.array(x) for x in (block[whole], row[whole], (place - LEFT + lo)[whole], (place - LEFT + hi + LENGTH)[whole])], names=["block", "row", "start", "end"])
+        yield pa.record_batch([pa.array(x) for x in (block[whole], at[whole], lo[whole].astype(np.int64))], names=["block", "start", "end"])
         t = t.filter(pa.array(~whole))
         if not t.num_rows:
             return
-        block, row, place, lo, hi, doc, gram = (t.column(c).to_numpy() for c in ("block", "row", "place", "lo", "hi", "doc", "gram"))
-        segments = np.frombuffer(b"".join(t.column("segment").to_pylist()), np.uint8).reshape(-1, SPAN)
+        block, at, lo, doc, gram = (t.column(c).to_numpy() for c in ("block", "at", "lo", "doc", "gram"))
+        pieces = t.column("segment").to_pylist()
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        segments = np.zeros((len(pieces), SPAN), np.uint8)
+        shift = np.arange(len(pieces)) * SPAN + lo - (np.cumsum(sizes) - sizes)
+        segments.ravel()[np.arange(sizes.sum()) + np.repeat(shift, sizes)] = np.frombuffer(b"".join(pieces), np.uint8)
         group = np.cumsum(np.concatenate([[False], gram[1:] != gram[:-1]]))
         rank = np.empty(len(group), np.int64)
-        rank[np.lexsort((place, row, block, doc))] = np.arange(len(group))
+        rank[np.lexsort((at, block, doc))] = np.arange(len(group))
         found = np.zeros((len(group), LEFT + 3), np.int8)
-        found[:, 1:-1] = covered(group, segments, lo, hi, rank)
+        found[:, 1:-1] = covered(group, segments, lo, lo + sizes - LENGTH, rank)
         change = np.diff(found, axis=1)
         (which, begin), (_, end) = np.nonzero(change == 1), np.nonzero(change == -1)
-        base = place[which] - LEFT
-        yield pa.record_batch([pa.array(x) for x in (block[which], row[which], base + begin, base + end - 1 + LENGTH)], names=["block", "row", "start", "end"])
+        base = at[which] - LEFT
+        yield pa.record_batch([pa.array(x) for x in (block[which], base + begin, base + end - 1 + LENGTH)], names=["block", "start", "end"])
 
     held, size = [], 0
     for group in runs(batches, ["gram"]):
@@ -214,12 +216,12 @@ def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _kept(left: pa.Table, right: pa.Table) -> pa.Table:
     out: list[tuple] = []
-    row, start, end = (right.column(c).to_numpy() for c in ("row", "start", "end"))
+    start, end = (right.column(c).to_numpy() for c in ("start", "end"))
     for _, ids, sizes, data in unpacked(iter(left.to_batches())):
         begin = np.cumsum(sizes) - sizes
         steps = np.zeros(len(data) + 1, np.int64)
-        np.add.at(steps, begin[row] + start, 1)
-        np.add.at(steps, begin[row] + end, -1)
+        np.add.at(steps, start, 1)
+        np.add.at(steps, end, -1)
         gone = np.cumsum(steps)[:-1] > 0
         a = np.frombuffer(data, np.uint8)
         for i, b, n in zip(ids, begin.tolist(), sizes.tolist(), strict=True):

@@ -62,7 +62,7 @@ def test_anchors_do_not_depend_on_slices(monkeypatch):
     texts = ["".join(rng.choices("ab", k=rng.choice([0, 5, 99, 100, 101, 400, 3000]))).encode() for _ in range(60)]
     data, sizes = b"".join(texts), np.array([len(t) for t in texts])
     whole = suffix_dedup.anchors(data, sizes)
-    grams = {p: int(h) for p, h in zip(*(x.tolist() for x in whole))}
+    grams = {p: int(h) for p, h in zip(*(x.tolist() for x in whole[:2]))}
     begin = 0
     for t in texts:  # every string holds one of its least grams
         for p in range(begin, begin + len(t) - 99):
