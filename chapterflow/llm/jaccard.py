@@ -10,9 +10,9 @@ keys of a size class, directly or through others, are a canopy; a canopy's
 sets travel once, and large ones are split into blocks that meet pair by pair.
 
 Within a canopy, every set is a query against an inverted index: with T the
-overlap that the threshold asks for, the shortest lists are heap-merged, the
-longest L are probed by binary search (DivideSkip), and documents that reach T
-stay. Only pivots are indexed: a set that links to a pivot joins its ball and
+overlap that the threshold asks for, the shortest lists are heap-merged for
+what T - L of them hold, the longest L are probed by binary search
+(DivideSkip), and documents that reach T stay. Only pivots are indexed: a set that links to a pivot joins its ball and
 needs no other link to it. As Jaccard distance is a metric, a query farther
 than twice the threshold's distance from a pivot links to none of its ball,
 and only for the distances between is the ball's own index searched. So no
@@ -34,12 +34,11 @@ import math
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -47,7 +46,7 @@ from chapterflow.llm.common import Scratch, lowered, runs, stars, texts
 from chapterflow.llm.components import connected
 
 #: Shingles of the sets in one block of a canopy.
-BLOCK_SHINGLES = 2_000_000
+BLOCK_SHINGLES = 500_000
 #: Parts beyond half as many again as two linking sets can differ in.
 SPARE = 3
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -85,9 +84,9 @@ class Threshold:
         """Smallest size that links with size s."""
         return -(-self.num * s // self.den)
 
-    def overlap(self, s: int) -> int:
-        """Least overlap of a set of size s with any that links."""
-        return -(-self.num * (s + self.least(s)) // (self.num + self.den))
+    def overlap(self, s: int, low: int = 0) -> int:
+        """Least overlap of a set of size s with any of size low or more that links."""
+        return -(-self.num * (s + max(low, self.least(s))) // (self.num + self.den))
 
     def wider(self) -> Threshold:
         """Similarity of two sets that both link to a third."""
@@ -190,28 +189,63 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"key": pa.array(k0), "member": pa.array(m0)})
 
 
+def merged(lists: list[list[int]], least: int) -> Iterator[tuple[int, int]]:
+    """(number, lists that hold it) of the numbers in ``least`` lists or more.
+
+    A heap holds the next number of every list. Where fewer than ``least``
+    lists begin with the smallest one, the next smallest are taken off as well
+    and all of them jump by binary search to the first number that can still
+    be in enough lists.
+    """
+    at = [0] * len(lists)
+    heap = [(x[0], k) for k, x in enumerate(lists)]
+    heapq.heapify(heap)
+    while len(heap) >= least:
+        number, taken = heap[0][0], []
+        while heap and heap[0][0] == number:
+            taken.append(heapq.heappop(heap)[1])
+        if len(taken) >= least:
+            yield number, len(taken)
+            number += 1
+        else:
+            while len(taken) < least - 1 and heap:
+                taken.append(heapq.heappop(heap)[1])
+            if not heap:
+                return
+            number = heap[0][0]
+        for k in taken:
+            x = lists[k]
+            i = at[k] = bisect_left(x, number, at[k])
+            if i < len(x):
+                heapq.heappush(heap, (x[i], k))
+
+
 class Index:
-    """Inverted lists of set numbers, in ascending order."""
+    """Inverted lists of set numbers, in the order in which sets are added."""
 
     def __init__(self) -> None:
         self.lists: dict[int, list[int]] = {}
+        self.members: list[int] = []
+        self.low = 1 << 62
 
-    def add(self, number: int, tokens: list[int]) -> None:
+    def add(self, member: int, tokens: list[int], size: int = 0) -> None:
+        """``size`` is the set's size or less: the overlap that is asked for follows from the least of them."""
+        self.low = min(self.low, size)
         for t in tokens:
-            self.lists.setdefault(t, []).append(number)
+            self.lists.setdefault(t, []).append(len(self.members))
+        self.members.append(member)
 
     def search(self, tokens: list[int], size: int, limit: Threshold, sizes: list[int]) -> Iterator[tuple[int, int]]:
-        """(number, overlap) of every indexed set within the limit of the query, by DivideSkip."""
+        """(member, overlap) of every indexed set within the limit of the query, by DivideSkip."""
         found = sorted((self.lists[t] for t in tokens if t in self.lists), key=len)
-        least = limit.overlap(size)
+        least = limit.overlap(size, self.low)
         if len(found) < least:
             return
         n_long = min(least - 1, int(least / (0.0085 * math.log2(len(found[-1]) + 1) + 1)))
         short, long = found[: len(found) - n_long], found[len(found) - n_long :]
-        for number, hits in groupby(heapq.merge(*short)):
-            t = sizes[number]
+        for number, overlap in merged(short, least - n_long):
+            t = sizes[self.members[number]]
             needed = -(-limit.num * (size + t) // (limit.num + limit.den))
-            overlap = sum(1 for _ in hits)
             if t < limit.least(size) or size < limit.least(t) or overlap < needed - n_long:
                 continue
             left = n_long
@@ -222,11 +256,17 @@ class Index:
                 overlap += at < len(x) and x[at] == number
                 left -= 1
             if limit.links(overlap, size, t):
-                yield number, overlap
+                yield self.members[number], overlap
 
 
 def linked(sets: list[np.ndarray], limit: Threshold) -> list[tuple[int, int]]:
-    """Links that connect whatever the links between the sets connect."""
+    """Links that connect whatever the links between the sets connect.
+
+    Pivots are searched at the limit itself, and only those with a ball
+    (centres) at the wider limit of what their ball may link with. Larger
+    sets come first, so a query's overlap with an indexed set is at least
+    that of two sets of its own size.
+    """
     sizes, wide = [len(s) for s in sets], limit.wider()
     _, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     often = n[at] > 1  # the others are in no other set
@@ -239,32 +279,27 @@ def linked(sets: list[np.ndarray], limit: Threshold) -> list[tuple[int, int]]:
             parent[x] = x = parent[parent[x]]
         return x
 
-    pivots, balls, ball_index, out = Index(), {}, {}, []
-    for q, (words, size) in enumerate(zip(tokens, sizes, strict=True)):
-        home, near = None, []
-        for p, overlap in pivots.search(words, size, wide, sizes):
-            if limit.links(overlap, size, sizes[p]):
-                home = p if home is None else home
-                if root(p) != root(q):
-                    parent[root(q)] = root(p)
-                    out.append((q, p))
-            else:
-                near.append(p)
-        for p in near:
-            if root(p) != root(q) and balls[p]:
-                index, done = ball_index.setdefault(p, (Index(), [0]))
-                for m in balls[p][done[0] :]:
-                    index.add(m, tokens[m])
-                done[0] = len(balls[p])
-                for m, _ in index.search(words, size, limit, sizes):
+    pivots, centres, balls, out = Index(), Index(), {}, []
+    for q in sorted(range(len(sets)), key=lambda k: -sizes[k]):
+        words, size, home = tokens[q], sizes[q], None
+        for p, _ in pivots.search(words, size, limit, sizes):
+            home = p if home is None else home
+            if root(p) != root(q):
+                parent[root(q)] = root(p)
+                out.append((q, p))
+        for p, _ in centres.search(words, size, wide, sizes):
+            if root(p) != root(q):
+                for m, _ in balls[p].search(words, size, limit, sizes):
                     parent[root(q)] = root(m)
                     out.append((q, m))
                     break
         if home is None:
-            pivots.add(q, words)
-            balls[q] = []
+            pivots.add(q, words, size)
         else:
-            balls[home].append(q)
+            if home not in balls:
+                balls[home] = Index()
+                centres.add(home, tokens[home], sizes[home])
+            balls[home].add(q, words, size)
     return out
 
 
@@ -315,14 +350,14 @@ def groups(docs: DataFrame, scratch: Scratch, width: int, num: int, den: int, id
     scratch.keep("sets", "canopies")
     # blocks of a canopy: as many as its shingles ask for, all pairs of them
     members = canopies.join(nodes.select("node", "n", "doc_id"), "node")
-    blocks = F.ceil(F.sum("n").over(Window.partitionBy("canopy")) / BLOCK_SHINGLES)
-    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    placed = members.withColumn("blocks", blocks).withColumn("own", own)
+    blocks = members.groupBy("canopy").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"))
+    placed = members.join(blocks, "canopy").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
     placed = placed.withColumn("other", F.explode(F.expr("CASE WHEN blocks = 1 THEN array(0L) ELSE filter(sequence(0L, blocks - 1), x -> x <> own) END")))
     placed = placed.select("canopy", "node", "doc_id", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     meet = plain.join(placed, plain["doc_id"].eqNullSafe(placed["doc_id"])).drop("doc_id")
     loaded = meet.mapInArrow(_wanted_sets(width), "canopy bigint, i bigint, j bigint, node bigint, shingles array<bigint>")
-    links = loaded.repartition("canopy", "i", "j").sortWithinPartitions("canopy", "i", "j").mapInArrow(_links(limit), "a bigint, b bigint")
+    tasks = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: not to be coalesced
+    links = loaded.repartition(tasks, "canopy", "i", "j").sortWithinPartitions("canopy", "i", "j").mapInArrow(_links(limit), "a bigint, b bigint")
     components = connected(links, scratch, "links")
     labelled = sets.drop("keys").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = labelled.where("node IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from chapterflow.llm import jaccard, queries
@@ -76,6 +77,29 @@ def test_search_of_one_index():
         index.add(k, s)
 
 
+@pytest.mark.parametrize(("num", "den"), [(9, 10), (4, 5)])
+def test_linked_sets_of_a_canopy(num, den):
+    rng, limit = random.Random(num), jaccard.Threshold(num, den)
+    for _ in range(40):
+        sets, size = [], rng.choice([3, 12, 40, 90])
+        for _ in range(rng.choice([1, 2, 60])):
+            base = set(rng.choice(sets)) if sets and rng.random() < 0.9 else set(rng.sample(range(2 * size), size))
+            for x in rng.sample(sorted(base), rng.choice([0, 0, 1, max(1, size // 20)])):
+                base.discard(x)
+                base |= {rng.randrange(4 * size)} if rng.random() < 0.6 or not base else set()
+            sets.append(sorted(base))
+        links = jaccard.linked([np.array(x, np.uint64) for x in sets], limit)
+        true = [(i, j) for i in range(len(sets)) for j in range(i) if den * len({*sets[i]} & {*sets[j]}) >= num * len({*sets[i]} | {*sets[j]})]
+        assert {(max(x), min(x)) for x in links} <= set(true)
+        parts = []
+        for edges in (links, true):
+            root = list(range(len(sets)))
+            for i, j in edges:
+                root = [root[i] if x == root[j] else x for x in root]
+            parts.append({tuple(k for k, x in enumerate(root) if x == r) for r in root})
+        assert parts[0] == parts[1]
+
+
 def test_query_against_all_pairs(spark, sf_dir):
     got = {(r.doc_id, r.n_shingles, r.component_id) for r in queries.op5_jaccard(spark, sf_dir).collect()}
     assert got == set(brute(pairs(spark, sf_dir), 3, 9, 10))
