@@ -47,6 +47,8 @@ from chapterflow.llm.components import connected
 
 #: Shingles of the sets in one block of a canopy.
 BLOCK_SHINGLES = 500_000
+#: Weight of the list length in the split into short and long lists; small: long lists are cheap to probe, as probes end early.
+MERGE_SHARE = 0.001
 #: Parts beyond half as many again as two linking sets can differ in.
 SPARE = 3
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -241,7 +243,7 @@ class Index:
         least = limit.overlap(size, self.low)
         if len(found) < least:
             return
-        n_long = min(least - 1, int(least / (0.0085 * math.log2(len(found[-1]) + 1) + 1)))
+        n_long = min(least - 1, int(least / (MERGE_SHARE * math.log2(len(found[-1]) + 1) + 1)))
         short, long = found[: len(found) - n_long], found[len(found) - n_long :]
         for number, overlap in merged(short, least - n_long):
             t = sizes[self.members[number]]
